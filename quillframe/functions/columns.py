@@ -65,7 +65,7 @@ def comparable(df: DataFrame, name: str) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part / whole * 100`` rounded half-even; null when ``whole`` is 0."""
-    return F.bround(F.try_divide(part.cast("double"), whole.cast("double")) * 100, digits)
+    return F.bround(F.try_divide(part.cast("double") * 100, whole.cast("double")), digits)
 
 
 def sum_or_zero(col: Column) -> Column:

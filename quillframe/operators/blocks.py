@@ -117,6 +117,12 @@ def grouped_total(placed: DataFrame, by: Sequence[str], **aggregates: Column) ->
 # --- statistics -----------------------------------------------------------------------
 
 
+def rows_per_column(one_row: DataFrame, specs: Sequence[dict[str, Column]]) -> DataFrame:
+    """Turn the single row of a wide aggregation into one row per spec."""
+    structs = [F.struct(*[c.alias(n) for n, c in spec.items()]) for spec in specs]
+    return one_row.select(F.inline(F.array(*structs)))
+
+
 def stats_row(df: DataFrame, aggregates: dict[str, Column]) -> dict:
     """Run one aggregation over the table and return its single row."""
     if not aggregates:
@@ -153,7 +159,7 @@ def quantiles(
     """
     long = long_form(df, columns, keep=by)
     keys = [*by, "column"]
-    if df.select(*by, *columns).limit(in_memory_rows + 1).count() <= in_memory_rows:
+    if df.select(*by, *columns).count() <= in_memory_rows:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
         return long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("value", probs).alias("q"))
     return _sketched_quantiles(long, keys, probabilities)
