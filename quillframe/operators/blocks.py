@@ -2,7 +2,7 @@
 
 None of them puts a whole table, or a whole key, into one task:
 
-* ``positions``      row numbers of a globally sorted table
+* ``positions``      row numbers of a globally sorted table; ``ordinals`` restarts them per key
 * ``prefix_scan``    running sum or maximum over such a table
 * ``blocked``        bounded ROWS frames, computed per block with copied edge rows
 * ``quantiles``      exact interpolated quantiles, overall or by group
@@ -24,57 +24,75 @@ from quillframe.session import write_out
 # many distinct values per column.
 IN_MEMORY_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
+BROADCAST_ROWS = 10_000  # largest table fetched and broadcast by ``join_small``
 LOW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with a table that is usually tiny (one row per group).
+
+    It is fetched and broadcast if it has at most ``limit`` rows, so that the big side is not
+    shuffled; otherwise it is an ordinary join, which Spark splits where a key is hot.
+    """
+    rows = small.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return big.join(small, list(keys))
+    held = big.sparkSession.createDataFrame(rows, small.schema)
+    return big.join(F.broadcast(held), list(keys))
+
+
 # --- global order ---------------------------------------------------------------------
 
 
 def positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``_part``, ``_pos`` (0-based in the whole table) and ``_ord`` (0-based within ``by``).
+    """Add ``_part`` and ``_pos``: the sorted partition, and the 0-based row number in the whole table.
 
     ``order_by`` (with ``by``) must identify a row, so that a hot ``by`` key or a hot
     timestamp is spread over many sorted partitions. The sorted rows are written once, which
-    pins the numbering; the only other shuffle is over one row per partition.
+    pins the numbering; the driver sees one row count per partition.
     """
     keys = [F.col(b) for b in by] + [F.col(o) if isinstance(o, str) else o for o in order_by]
-    ranked = df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
-    ranked = write_out(ranked, "positions")
-    part = F.shiftright("_mid", LOW_BITS).cast("int")
-    ranked = ranked.withColumn("_part", part)
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    ranked = write_out(df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    ranked = ranked.withColumn("_part", F.shiftright("_mid", LOW_BITS).cast("int"))
+    starts, total = [], 0
+    for row in sorted(ranked.groupBy("_part").count().collect()):
+        starts.append((row["_part"], total))
+        total += row["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
     in_part = F.col("_mid").bitwiseAND(F.lit((1 << LOW_BITS) - 1))
-    placed = (
+    return (
         ranked.join(F.broadcast(offsets), "_part")  # one row per sorted partition
         .withColumn("_pos", F.col("_start") + in_part)
         .drop("_mid", "_start")
     )
-    if not by:
-        return placed.withColumn("_ord", F.col("_pos"))
-    firsts = placed.groupBy(*by, "_part").agg(F.min("_pos").alias("_first"))
-    firsts = firsts.withColumn("_first", F.min("_first").over(Window.partitionBy(*by)))
-    return (
-        placed.join(firsts, [*by, "_part"])
-        .withColumn("_ord", F.col("_pos") - F.col("_first"))
-        .drop("_first")
-    )
 
 
-def prefix_scan(placed: DataFrame, value: Column, out: str, by: Sequence[str] = (), how: str = "sum") -> DataFrame:
+def ordinals(placed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_ord`` (0-based row number within ``by``) and ``_n`` (rows of that key)."""
+    spans = placed.groupBy("_part", *by).agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*by)  # one row per key and sorted partition
+    spans = spans.select("_part", *by, F.min("_first").over(whole).alias("_first"), F.sum("_rows").over(whole).alias("_n"))
+    return join_small(placed, spans, ["_part", *by]).withColumn("_ord", F.col("_pos") - F.col("_first")).drop("_first")
+
+
+def prefix_scan(
+    placed: DataFrame, value: Column, out: str, by: Sequence[str] = (), how: str = "sum", totals: dict[str, Column] | None = None
+) -> DataFrame:
     """Inclusive running ``sum`` or ``max`` of ``value`` in ``_pos`` order, per ``by``.
 
-    Each sorted partition is scanned on its own; the totals of earlier partitions are carried
-    in through a table with one row per (key, partition).
+    Each sorted partition is scanned on its own; what earlier partitions add is carried in
+    through a table with one row per (key, partition). ``totals`` attaches sums per key.
     """
     fold = {"sum": F.sum, "max": F.max}[how]
+    totals = totals or {}
     placed = placed.withColumn("_v", value)
     here = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    totals = placed.groupBy("_part", *by).agg(fold("_v").alias("_total"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("_part", *by, fold("_total").over(before).alias("_carry"))
-    local = placed.withColumn("_run", fold("_v").over(here)).join(carry, ["_part", *by])
+    parts = placed.groupBy("_part", *by).agg(fold("_v").alias("_total"), *[F.sum(c).alias(n) for n, c in totals.items()])
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(
+        "_part", *by, fold("_total").over(before).alias("_carry"), *[F.sum(n).over(whole).alias(n) for n in totals])
+    local = join_small(placed.withColumn("_run", fold("_v").over(here)), carry, ["_part", *by])
     if how == "sum":
         total = F.coalesce("_run", F.lit(0)) + F.coalesce("_carry", F.lit(0))
     else:
@@ -107,13 +125,6 @@ def blocked(
     return out.filter(F.floor(pos / block) == F.col("_block")).drop("_block")
 
 
-def grouped_total(placed: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
-    """Attach per-key aggregates to every row; Spark broadcasts or skew-splits by size."""
-    if not by:
-        return placed.crossJoin(F.broadcast(placed.agg(*[a.alias(n) for n, a in aggregates.items()])))
-    return placed.join(placed.groupBy(*by).agg(*[a.alias(n) for n, a in aggregates.items()]), list(by))
-
-
 # --- statistics -----------------------------------------------------------------------
 
 
@@ -186,7 +197,7 @@ def _sketched_quantiles(
     brackets = sketch.select(*keys, "n", wanted.alias("_wanted"))
     # One row per value and bracket it is not above; rows below a bracket fold into one count.
     near = (
-        long.join(brackets, keys)
+        join_small(long, brackets, keys)
         .select(*keys, "n", "value", F.explode("_wanted").alias("w"))
         .filter(F.col("value") <= F.col("w.hi"))
         .select(*keys, "n", F.col("w.i").alias("i"), F.col("w.rank").alias("rank"),
@@ -267,4 +278,4 @@ def hash_sample(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: i
     order = [F.col("_h"), *[F.col(k) for k in key]]
     if n <= 100_000:
         return hashed.orderBy(*order).limit(n).drop("_h")
-    return positions(hashed, order).filter(F.col("_ord") < n).drop("_h", "_part", "_pos", "_ord")
+    return positions(hashed, order).filter(F.col("_pos") < n).drop("_h", "_part", "_pos")

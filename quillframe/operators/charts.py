@@ -164,17 +164,14 @@ def chart_violin(df: DataFrame, value: str, group: str | None = None, points: in
     shape = shape.filter((F.col("n") >= VIOLIN_MIN) & (F.col("s") > 0)).select(
         "name", "n", "lo", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
         (F.col("s") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"))
-    grid = lambda i: F.col("lo") + F.col("step") * i
-
-    def kernel(i: int) -> Column:
-        u = (F.col("x") - grid(i)) / F.col("h")
-        return F.sum(F.exp(u * u * -0.5)).alias(f"k{i}")
-
-    sums = rows.join(shape, "name").groupBy("name", "n", "lo", "step", "h").agg(*[kernel(i) for i in range(points)])
+    at = F.col("lo") + F.col("step") * F.col("point")
+    u = (F.col("x") - at) / F.col("h")
+    sums = (  # the points multiply rows inside the task; one row per name and point is shuffled
+        blocks.join_small(rows, shape, ["name"]).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .groupBy("name", "n", "lo", "step", "h", "point").agg(F.sum(F.exp(u * u * -0.5)).alias("k"))
+    )
     scale = F.col("n") * F.col("h") * (2 * 3.141592653589793) ** 0.5
-    cells = F.array(*[F.struct(F.lit(i).alias("point"), F.bround(grid(i), 4).alias("x"),
-                               F.bround(F.col(f"k{i}") / scale, 6).alias("density")) for i in range(points)])
-    curve = sums.select("name", F.inline(cells))
+    curve = sums.select("name", "point", F.bround(at, 4).alias("x"), F.bround(F.col("k") / scale, 6).alias("density"))
     quartiles = blocks.quantiles(rows, ["x"], [0.25, 0.5, 0.75], by=["name"])
     quartiles = quartiles.select("name", *[F.col("q")[i].alias(n) for i, n in enumerate(["q1", "median", "q3"])])
     return curve.join(quartiles, "name")
@@ -211,88 +208,87 @@ INTENT_KINDS = {
 
 
 def column_roles(profiles: DataFrame) -> DataFrame:
-    """One row per dataset: its numeric, categorical and datetime columns in schema order.
+    """One row per dataset: what the chart rules need to know about its columns, in schema order.
 
     ``profiles`` has (dataset_id, position, name, inferred_type, unique_count, rows).
     """
-    def names(*kinds: str) -> Column:
+    def listed(*kinds: str) -> Column:
         chosen = F.when(F.col("inferred_type").isin(*kinds), F.struct("position", "name", "unique_count"))
-        return F.array_sort(F.collect_list(chosen))
-
-    roles = profiles.groupBy("dataset_id").agg(
-        F.max("rows").alias("rows"), names("numeric").alias("nums"), names("categorical", "boolean").alias("cats"),
-        names("datetime").alias("dates"))
-    return roles
+        return F.array_sort(F.collect_list(chosen))  # one struct per column
+
+    lists = profiles.groupBy("dataset_id").agg(
+        F.max("rows").alias("rows"), listed("numeric").alias("nums"), listed("categorical", "boolean").alias("cats"),
+        listed("datetime").alias("dates"))
+    small = F.filter("cats", lambda s: s["unique_count"] <= 10)
+    item = lambda cols, i, field="name": F.try_element_at(cols, F.lit(i + 1))[field]
+    names = F.transform("nums", lambda s: s["name"])
+    sizes = F.transform("cats", lambda s: s["unique_count"].cast("string"))
+    return lists.select(
+        "dataset_id", "rows", F.size("nums").alias("n_num"), F.size("cats").alias("n_cat"), F.size("dates").alias("n_date"),
+        *[item("nums", i).alias(f"num{i}") for i in range(4)], *[item("cats", i).alias(f"cat{i}") for i in range(2)],
+        item("cats", 0, "unique_count").alias("cat_size"), item("dates", 0).alias("date"),
+        item("dates", 0, "unique_count").alias("date_size"), item(small, 0).alias("small_cat"),
+        F.array_join(F.slice(names, 1, HEATMAP_COLUMNS), ",").alias("matrix"),
+        F.array_join(F.slice(names, 1, RADAR_AXES), ",").alias("axes"),
+        F.concat(F.lit("["), F.array_join(sizes, ", "), F.lit("]")).alias("sizes"))
 
 
 def _rules() -> dict[str, tuple[list, dict, Column | None]]:
     """Per kind: failed tests as (test, reason, alternative), the chosen columns, a warning."""
-    num, cat, date = F.col("nums"), F.col("cats"), F.col("dates")
-    n_num, n_cat, n_date = F.size(num), F.size(cat), F.size(date)
-
-    def pick(cols, i):
-        return F.try_element_at(cols, F.lit(i + 1))["name"]
-
-    def uniques(cols):
-        return F.try_element_at(cols, F.lit(1))["unique_count"]
-
-    def joined(cols, k):
-        return F.array_join(F.transform(F.slice(cols, 1, k), lambda s: s["name"]), ",")
+    n_num, n_cat, n_date = F.col("n_num"), F.col("n_cat"), F.col("n_date")
+    value, cat, date = F.col("num0"), F.col("cat0"), F.col("date")
+    axis, time_axis = F.coalesce(cat, date), F.coalesce(date, cat)
+    axis_size = F.coalesce(F.col("cat_size"), F.col("date_size"))
+    group = F.coalesce(cat, F.lit(""))
 
     def found(text):
         return F.concat(F.lit(text), n_num.cast("string"), F.lit("."))
 
-    def lit_or(test, yes, no):
-        return F.when(test, F.lit(yes)).otherwise(F.lit(no))
-
-    no_num = n_num == 0
-    small = F.filter(cat, lambda s: s["unique_count"] <= 10)
-    sizes = F.concat(F.lit("["), F.array_join(F.transform(cat, lambda s: s["unique_count"].cast("string")), ", "), F.lit("]"))
-    axis = F.coalesce(pick(cat, 0), pick(date, 0))
-    time_axis = F.coalesce(pick(date, 0), pick(cat, 0))
-    axis_size = F.when(n_cat > 0, uniques(cat)).otherwise(uniques(date))
-    crowded = F.when(axis_size > 50, F.format_string("'%s' has %d categories — top 20 shown.", axis, axis_size))
-    numeric = (no_num, F.lit("Needs ≥1 numeric column."))
-    line = ([(*numeric, F.lit("table")),
-             (time_axis.isNull(), F.lit("Needs a datetime or categorical x-axis."), F.lit("scatter"))],
-            {"x": time_axis, "y": pick(num, 0)}, None)
-    pie = ([(*numeric, F.lit("table")),
-            (F.size(small) == 0, F.concat(F.lit("Needs a categorical column with ≤10 unique values. Found cardinalities: "), sizes, F.lit(".")), F.lit("bar"))],
-           {"label": pick(small, 0), "value": pick(num, 0)}, None)
-    group = F.coalesce(pick(cat, 0), F.lit(""))
+    def if_numeric(yes, no):
+        return F.when(n_num > 0, F.lit(yes)).otherwise(F.lit(no))
+
+    def needs_number(alternative):
+        return (n_num == 0, F.lit("Needs ≥1 numeric column."), F.lit(alternative))
+
+    line = (
+        [needs_number("table"), (time_axis.isNull(), F.lit("Needs a datetime or categorical x-axis."), F.lit("scatter"))],
+        {"x": time_axis, "y": value}, None)
+    cardinalities = F.concat(F.lit("Needs a categorical column with ≤10 unique values. Found cardinalities: "), F.col("sizes"), F.lit("."))
+    pie = ([needs_number("table"), (F.col("small_cat").isNull(), cardinalities, F.lit("bar"))],
+           {"label": F.col("small_cat"), "value": value}, None)
     return {
-        "bar": ([(*numeric, F.lit("table")),
-                 ((n_cat == 0) & (n_date == 0), F.lit("Needs a categorical or datetime x-axis."), F.lit("histogram"))],
-                {"x": axis, "y": pick(num, 0)}, crowded),
+        "bar": ([needs_number("table"), (axis.isNull(), F.lit("Needs a categorical or datetime x-axis."), F.lit("histogram"))],
+                {"x": axis, "y": value},
+                F.when(axis_size > 50, F.format_string("'%s' has %d categories — top 20 shown.", axis, axis_size))),
         "line": line,
         "area": line,
         "pie": pie,
         "donut": pie,
-        "scatter": ([(n_num < 2, found("Needs ≥2 numeric columns; found "), lit_or(n_num > 0, "histogram", "table"))],
-                    {"x": pick(num, 0), "y": pick(num, 1)}, None),
+        "scatter": ([(n_num < 2, found("Needs ≥2 numeric columns; found "), if_numeric("histogram", "table"))],
+                    {"x": value, "y": F.col("num1")}, None),
         "bubble": ([(n_num < 3, found("Needs ≥3 numeric columns (x, y, size); found "), F.lit("scatter"))],
-                   {"x": pick(num, 0), "y": pick(num, 1), "size": pick(num, 2)}, None),
+                   {"x": value, "y": F.col("num1"), "size": F.col("num2")}, None),
         "heatmap": ([(n_num < 2, F.lit("Needs ≥2 numeric columns for correlation matrix."), F.lit("bar"))],
-                    {"matrix": joined(num, HEATMAP_COLUMNS)}, None),
-        "histogram": ([(*numeric, F.lit("bar"))], {"value": pick(num, 0)}, None),
-        "boxplot": ([(*numeric, F.lit("histogram"))], {"value": pick(num, 0), "group": group}, None),
-        "radar": ([(n_num < 3, found("Needs ≥3 numeric columns for axes; found "), lit_or(n_num > 0, "bar", "table"))],
-                  {"axes": joined(num, RADAR_AXES)},
+                    {"matrix": F.col("matrix")}, None),
+        "histogram": ([needs_number("bar")], {"value": value}, None),
+        "boxplot": ([needs_number("histogram")], {"value": value, "group": group}, None),
+        "radar": ([(n_num < 3, found("Needs ≥3 numeric columns for axes; found "), if_numeric("bar", "table"))],
+                  {"axes": F.col("axes")},
                   F.when(n_num > RADAR_AXES, F.lit("Radar chart truncated to 10 axes for readability."))),
-        "treemap": ([(no_num | (n_cat == 0), F.lit("Needs ≥1 categorical and ≥1 numeric column."), F.lit("bar"))],
-                    {"label": pick(cat, 0), "value": pick(num, 0), "parent": F.coalesce(pick(cat, 1), F.lit(""))}, None),
-        "waterfall": ([(no_num | ((n_cat == 0) & (n_date == 0)), F.lit("Needs a numeric column and a category/date column."), F.lit("bar"))],
-                      {"x": axis, "y": pick(num, 0)}, None),
-        "funnel": ([(no_num | (n_cat == 0), F.lit("Needs a stage (categorical) and value (numeric) column."), F.lit("bar")),
-                    (uniques(cat) > 12, F.format_string("Funnel needs ≤12 stages; '%s' has %d.", pick(cat, 0), uniques(cat)), F.lit("bar"))],
-                   {"stage": pick(cat, 0), "value": pick(num, 0)}, None),
+        "treemap": ([((n_num == 0) | (n_cat == 0), F.lit("Needs ≥1 categorical and ≥1 numeric column."), F.lit("bar"))],
+                    {"label": cat, "value": value, "parent": F.coalesce(F.col("cat1"), F.lit(""))}, None),
+        "waterfall": ([((n_num == 0) | axis.isNull(), F.lit("Needs a numeric column and a category/date column."), F.lit("bar"))],
+                      {"x": axis, "y": value}, None),
+        "funnel": ([((n_num == 0) | (n_cat == 0), F.lit("Needs a stage (categorical) and value (numeric) column."), F.lit("bar")),
+                    (F.col("cat_size") > 12, F.format_string("Funnel needs ≤12 stages; '%s' has %d.", cat, F.col("cat_size")), F.lit("bar"))],
+                   {"stage": cat, "value": value}, None),
         "candlestick": ([(n_num < 4, found("Needs 4 numeric columns (open, high, low, close); found "), F.lit("line"))],
-                        {"date": F.coalesce(pick(date, 0), F.lit("")), "open": pick(num, 0), "high": pick(num, 1),
-                         "low": pick(num, 2), "close": pick(num, 3)}, None),
-        "gauge": ([(*numeric, F.lit("table"))], {"value": pick(num, 0)}, None),
-        "sankey": ([((n_cat < 2) | no_num, F.lit("Needs 2 categorical columns (source, target) and 1 numeric column."), F.lit("bar"))],
-                   {"source": pick(cat, 0), "target": pick(cat, 1), "value": pick(num, 0)}, None),
-        "violin": ([(*numeric, F.lit("histogram"))], {"value": pick(num, 0), "group": group}, None),
+                        {"date": F.coalesce(date, F.lit("")), "open": value, "high": F.col("num1"),
+                         "low": F.col("num2"), "close": F.col("num3")}, None),
+        "gauge": ([needs_number("table")], {"value": value}, None),
+        "sankey": ([((n_cat < 2) | (n_num == 0), F.lit("Needs 2 categorical columns (source, target) and 1 numeric column."), F.lit("bar"))],
+                   {"source": cat, "target": F.col("cat1"), "value": value}, None),
+        "violin": ([needs_number("histogram")], {"value": value, "group": group}, None),
         "table": ([], {}, None),
     }
 
@@ -324,7 +320,7 @@ def chart_eligibility(profiles: DataFrame) -> DataFrame:
 
 def default_kind(roles: DataFrame) -> DataFrame:
     """(dataset_id, default): the kind chosen by column types alone."""
-    n_num, n_cat, n_date = F.size("nums"), F.size("cats"), F.size("dates")
+    n_num, n_cat, n_date = F.col("n_num"), F.col("n_cat"), F.col("n_date")
     kind = (
         F.when((n_date > 0) & (n_num > 0), "line").when((n_cat > 0) & (n_num > 0), "bar")
         .when(n_num >= 2, "scatter").when(n_num > 0, "histogram").otherwise("table")

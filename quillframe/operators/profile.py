@@ -69,13 +69,18 @@ def cardinality(unique: Column, rows: Column) -> Column:
     )
 
 
+def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) for every non-null cell, long values as digests."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), comparable(df, c).cast("string").alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("_c")).select("_c.column", "_c.value").filter(F.col("value").isNotNull())
+
+
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, unique_count): distinct non-null values."""
     columns = list(columns or df.columns)
     if exact:
-        counts = blocks.value_counts(df, columns, {c: comparable(df, c) for c in columns})
-        found = counts.groupBy("column").agg(F.count("*").alias("unique_count"))
-        names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+        found = cells(df, columns).distinct().groupBy("column").agg(F.count("*").alias("unique_count"))
+        names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
         return names.join(F.broadcast(found), "column", "left").fillna(0, ["unique_count"])  # one row per column
     one = df.agg(*[F.approx_count_distinct(comparable(df, c)).alias(f"u{i}") for i, c in enumerate(columns)])
     return blocks.rows_per_column(one, [
@@ -99,8 +104,8 @@ def sample_values(df: DataFrame, order_by: Sequence[str] | None = None, k: int =
     return parts
 
 
-def infer_schema(df: DataFrame, order_by: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """One row per column: types, nulls, distinct values, samples and range."""
+def column_stats(df: DataFrame) -> DataFrame:
+    """One row per column from one aggregation: types, nulls and range."""
     aggregates: list[Column] = [F.count("*").alias("rows")]
     specs = []
     for i, c in enumerate(df.columns):
@@ -129,14 +134,20 @@ def infer_schema(df: DataFrame, order_by: Sequence[str] | None = None, exact: bo
             "null_pct": F.coalesce(percent(nulls, F.col("rows")), F.lit(0.0)),
             "min_val": low, "max_val": high, "mean_val": mean.cast("double"), "std_val": std.cast("double"),
         })
-    base = blocks.rows_per_column(df.agg(*aggregates), specs)
-    out = base.join(F.broadcast(unique_counts(df, exact=exact)), "column", "left")  # one row per column
-    out = out.join(F.broadcast(sample_values(df, order_by)), "column", "left")
-    return out.select(
-        "position", F.col("column").alias("name"), "dtype", "inferred_type", "rows", "null_count", "null_pct",
-        "unique_count", cardinality(F.col("unique_count"), F.col("rows")).alias("cardinality"),
-        "sample_values", "min_val", "max_val", "mean_val", "std_val",
-    )
+    return blocks.rows_per_column(df.agg(*aggregates), specs)
+
+
+SCHEMA_FIELDS = (
+    "position", "name", "dtype", "inferred_type", "rows", "null_count", "null_pct", "unique_count", "cardinality",
+    "sample_values", "min_val", "max_val", "mean_val", "std_val",
+)
+
+
+def infer_schema(df: DataFrame, order_by: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """One row per column: types, nulls, distinct values, samples and range."""
+    out = column_stats(df).join(F.broadcast(unique_counts(df, exact=exact)), "column")  # one row per column
+    out = out.join(F.broadcast(sample_values(df, order_by)), "column", "left").withColumnRenamed("column", "name")
+    return out.withColumn("cardinality", cardinality(F.col("unique_count"), F.col("rows"))).select(*SCHEMA_FIELDS)
 
 
 # --- nulls, duplicates, quality -------------------------------------------------------

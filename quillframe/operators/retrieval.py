@@ -144,7 +144,8 @@ def hybrid_rerank(
         docs.select(doc_id, hash_embedding(F.col(content)).alias("_e")),
         queries.select(query_id, hash_embedding(F.col(question)).alias("_e")),
         2 * k, doc_id, "_e", query_id, "_e")
-    pairs = near.drop("rank").join(queries.select(query_id, question), query_id).join(docs.select(doc_id, content), doc_id)
+    asked_near = near.drop("rank").join(queries.select(query_id, question), query_id)
+    pairs = blocks.join_small(docs.select(doc_id, content), asked_near, [doc_id], limit=20 * QUERIES_PER_PASS)
     asked = tokens(F.col(question))
     shared = F.size(F.array_intersect(asked, tokens(F.col(content))))
     scored = pairs.withColumn("keyword_score", shared / F.greatest(F.size(asked), F.lit(1)))

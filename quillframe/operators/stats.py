@@ -90,9 +90,8 @@ def spearman(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
         .groupBy("column", "side", "x").agg(F.sum("c").alias("c"))
     )
     placed = blocks.positions(values, ["x"], by=["column", "side"])
-    ranked = blocks.prefix_scan(placed, F.col("c"), "_upto", by=["column", "side"])
-    sizes = ranked.groupBy("column").agg((F.max("_upto")).alias("n"))
-    ranked = ranked.join(F.broadcast(sizes), "column").select(  # one row per column
+    ranked = blocks.prefix_scan(placed, F.col("c"), "_upto", ["column", "side"], totals={"n": F.col("c")})
+    ranked = ranked.select(
         "column", "side", "x", (F.col("_upto") - (F.col("c") - 1) / 2 - (F.col("n") + 1) / 2).alias("rank"))
     of_t = ranked.filter("side = 't'").select("column", F.col("x").alias("t"), F.col("rank").alias("rt"))
     of_v = ranked.filter("side = 'v'").select("column", F.col("x").alias("v"), F.col("rank").alias("rv"))

@@ -33,26 +33,27 @@ def series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Se
 
 
 def placed_series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
-    return blocks.positions(series(df, time, value, by, key), ["time", *key], by=by)
+    return blocks.ordinals(blocks.positions(series(df, time, value, by, key), ["time", *key], by=by), by)
 
 
 # --- order statistics -----------------------------------------------------------------
 
 
 def _weighted(df: DataFrame, time: str, value: str, by: Sequence[str]) -> DataFrame:
-    """Distinct (time, value) pairs with their count ``c`` and first row index ``p``.
+    """Distinct (time, value) pairs with their count ``c``, first row index ``p``, and per key ``n`` and ``total``.
 
     Ties in time are ordered by value; equal pairs are one row, however many copies there are.
     """
     pairs = series(df, time, value, by).groupBy(*by, "time", "value").agg(F.count("*").alias("c"))
     placed = blocks.positions(pairs, ["time", "value"], by=by)
-    scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by=by)
+    totals = {"n": F.col("c"), "total": F.col("c") * F.col("value")}
+    scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by, totals=totals)
     return scanned.withColumn("p", F.col("_upto") - F.col("c"))
 
 
 def growth_rate(df: DataFrame, time: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., growth_rate): change of the second half's sum over the first half's, split by row count."""
-    rows = blocks.grouped_total(_weighted(df, time, value, by), by, n=F.sum("c"))
+    rows = _weighted(df, time, value, by)
     early = F.greatest(F.least(F.col("c"), F.floor(F.col("n") / 2) - F.col("p")), F.lit(0))
     halves = rows.groupBy(*by).agg(
         F.max("n").alias("n"), F.sum(F.col("value") * early).alias("a"),
@@ -69,10 +70,8 @@ def growth_rates(df: DataFrame, time: str, columns: Sequence[str]) -> DataFrame:
 
 def trend(df: DataFrame, time: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Regression of the value on its row index: direction, strength, slope, r², p and total change."""
-    rows = blocks.grouped_total(
-        _weighted(df, time, value, by), by,
-        n=F.sum("c"), mean=F.sum(F.col("value") * F.col("c")) / F.sum("c"))
-    c, dev = F.col("c"), F.col("value") - F.col("mean")
+    rows = _weighted(df, time, value, by)
+    c, dev = F.col("c"), F.col("value") - F.col("total") / F.col("n")
     middle = (F.col("n") - 1) / 2
     index_sum = c * (F.col("p") - middle) + c * (c - 1) / 2  # sum of centred indexes of the copies
     fit = rows.groupBy(*by).agg(
@@ -107,13 +106,12 @@ def _with_season(rows: DataFrame, by: Sequence[str], period: int) -> DataFrame:
     """Add ``seasonal`` (mean detrended value per index modulo the period) and ``residual``."""
     rows = rows.withColumns({"_phase": F.col("_ord") % period, "_detrended": F.col("value") - F.col("trend")})
     season = rows.groupBy(*by, "_phase").agg(F.avg("_detrended").alias("seasonal"))
-    return rows.join(season, [*by, "_phase"]).withColumn("residual", F.col("_detrended") - F.col("seasonal"))
+    return blocks.join_small(rows, season, [*by, "_phase"]).withColumn("residual", F.col("_detrended") - F.col("seasonal"))
 
 
 def decompose(df: DataFrame, time: str, value: str, period: int = PERIOD, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
     """Additive decomposition; series shorter than two periods are left out."""
-    placed = blocks.grouped_total(placed_series(df, time, value, by, key), by, _n=F.count("*"))
-    placed = placed.filter(F.col("_n") >= 2 * period)
+    placed = placed_series(df, time, value, by, key).filter(F.col("_n") >= 2 * period)
     rows = blocks.blocked(placed, lambda w: {"trend": _trend_column(w, period)}, period, period, by)
     rows = _with_season(rows, by, period)
     return rows.select(*by, "time", *key, F.col("value").alias("observed"), "trend", "seasonal", "residual")
@@ -152,7 +150,6 @@ def _ewma_column(window, span: int, block: int):
 
 def _moving(placed: DataFrame, spans: Sequence[int], by: Sequence[str], with_ewma: bool, more=None, after: int = 0) -> DataFrame:
     """Add ``sma_w`` (and ``ewma_w``) per span, and ``more(window)``, in one blocked pass."""
-    placed = blocks.grouped_total(placed, by, _n=F.count("*"))
     reach = max([*spans, *(_reach(s) for s in spans)]) if with_ewma else max(spans)
     size = _block_rows(spans) if with_ewma else 4096
 
@@ -194,7 +191,7 @@ def forecast(df: DataFrame, time: str, value: str, steps: int = FORECAST_STEPS,
         last = blocks.top_per(rows, by, order, PERIOD, "_r")
     else:
         last = rows.orderBy(*order).limit(PERIOD).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    last = blocks.grouped_total(last, by, _period=F.count("*"))  # at most seven rows per key
+    last = last.withColumn("_period", F.count("*").over(Window.partitionBy(*by)))  # at most seven rows per key
     step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
     return (
         last.withColumn("step", step).filter(F.col("step") % F.col("_period") == F.col("_period") - F.col("_r"))
@@ -226,7 +223,7 @@ def downsample(df: DataFrame, order_by: str, columns: Sequence[str], key: Sequen
     """Every ceil(n/points)-th complete row in order; all rows if there are at most ``points``."""
     kept = df.select(order_by, *columns, *[k for k in key if k not in columns and k != order_by])
     kept = kept.na.drop(subset=[order_by, *columns])
-    placed = blocks.grouped_total(blocks.positions(kept, [order_by, *key]), (), _n=F.count("*"))
+    placed = blocks.ordinals(blocks.positions(kept, [order_by, *key]))
     step = F.greatest(F.ceil(F.col("_n") / points), F.lit(1))
     return placed.filter(F.col("_ord") % step == 0).select(*kept.columns)
 

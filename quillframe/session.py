@@ -12,6 +12,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Wide aggregations build thousands of expressions; recording a stack trace for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

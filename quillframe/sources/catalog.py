@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,22 @@ def column_profiles(df: DataFrame, dataset_id: str, order_by=None, exact: bool =
     return profile.infer_schema(df, order_by, exact).select(F.lit(dataset_id).alias("dataset_id"), "*")
 
 
+def catalog_profiles(tables: dict[str, DataFrame]) -> DataFrame:
+    """(dataset_id, position, name, inferred_type, rows, unique_count, cardinality) for many tables.
+
+    The distinct values of all tables are counted in one shuffle.
+    """
+    stats, cells = [], []
+    for dataset_id, df in tables.items():
+        tag = F.lit(dataset_id).alias("dataset_id")
+        stats.append(profile.column_stats(df).select(tag, "position", "column", "inferred_type", "rows"))
+        cells.append(profile.cells(df, df.columns).select(tag, "column", "value"))
+    unique = reduce(DataFrame.unionByName, cells).distinct().groupBy("dataset_id", "column").agg(F.count("*").alias("unique_count"))
+    rows = reduce(DataFrame.unionByName, stats).join(F.broadcast(unique), ["dataset_id", "column"], "left")  # one row per column
+    rows = rows.fillna(0, ["unique_count"]).withColumnRenamed("column", "name")
+    return rows.withColumn("cardinality", profile.cardinality(F.col("unique_count"), F.col("rows")))
+
+
 def catalog_record(df: DataFrame, dataset_id: str, name: str | None = None, source_type: str = "parquet", size_bytes: int = 0, order_by=None) -> DataFrame:
     """One catalog row: counts, quality score and the column metadata as an array of structs."""
     rows = column_profiles(df, dataset_id, order_by)

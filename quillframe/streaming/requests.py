@@ -45,7 +45,7 @@ def rate_limit(
     """
     by = [endpoint, caller]
     names = list(dict.fromkeys([*by, time, *key]))
-    placed = blocks.positions(df.select(*names).na.drop(subset=[*by, time]), [time, *key], by=by)
+    placed = blocks.ordinals(blocks.positions(df.select(*names).na.drop(subset=[*by, time]), [time, *key], by=by), by)
     before = lambda w: {"_previous": F.lag(time).over(w)}
     rows = blocks.blocked(placed, before, before=1, by=by)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillframe.operators import charts
-from quillframe.sources.catalog import column_profiles
+from quillframe.sources.catalog import catalog_profiles
 from workload.base import (
     LINE_NUMBERS, SQL_GAPS, SQL_ORDERS, TABLES, all_rounded, day, gaps, instant, plain_orders, query, rounded, sql_instant,
     union_all,
@@ -216,7 +216,7 @@ def _roles_sql(name: str) -> str:
     cats = "[" + ", ".join(
         f"case when avg(length({c})) <= 40 then {{'name': '{c}', 'u': count(distinct {c})}} end" for c in strings) + "]" if strings else "[null::struct(name varchar, u bigint)]"
     date = DATES.get(name)
-    return f"""select '{name}' as dataset_id, count(*) as n, {nums} as nums, list_filter({cats}, c -> c is not null) as cats,
+    return f"""select '{name}' as dataset_id, count(*) as n, {nums} as nums, [x for x in {cats} if x is not null] as cats,
   {f"'{date}'" if date else "null"} as date, {f"count(distinct {date})" if date else "null"} as date_u from {name}"""
 
 
@@ -262,11 +262,7 @@ ELIGIBLE = f"with roles as ({ROLES}), e as ({RULES})"
 
 
 def _profiles(t):
-    out = None
-    for name in TABLES:
-        part = column_profiles(getattr(t, name), name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return catalog_profiles({name: getattr(t, name) for name in TABLES})
 
 
 @query(f"""

@@ -1 +1,101 @@
-"""Queries."""
+"""Sources, sinks and the catalog, as round trips of whole tables through the scratch folder."""
+
+from pyspark.sql import functions as F
+
+from quillframe.session import scratch_path
+from quillframe.sources import catalog, readers, writers
+from workload.base import SQL_GAPS, SQL_ORDERS, day, gaps, plain_orders, query
+
+CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+CUSTOMER_SQL = "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer"
+
+
+@query(CUSTOMER_SQL)
+def read_csv(t):
+    path = scratch_path(t.spark, "csv")
+    writers.write_csv(t.customer, path)
+    return readers.read_csv(t.spark, path)
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, l_tax, l_returnflag, l_shipdate from {SQL_GAPS}")
+def read_csv_schema(t):
+    """Null tokens come back as nulls under a declared schema."""
+    path = scratch_path(t.spark, "csv")
+    rows = gaps(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", F.coalesce("l_returnflag", F.lit("N/A")).alias("l_returnflag"), "l_shipdate")
+    writers.write_csv(rows, path)
+    return readers.read_csv(
+        t.spark, path, schema="l_orderkey bigint, l_linenumber int, l_partkey bigint, l_tax double, l_returnflag string, l_shipdate string")
+
+
+@query(CUSTOMER_SQL.replace("cast(c_nationkey as bigint) as c_nationkey", "c_nationkey"))
+def write_csv(t):
+    path = scratch_path(t.spark, "csv")
+    writers.write_csv(t.customer, path, ["c_custkey", "c_name", "absent", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    return t.spark.read.schema(CUSTOMER).csv(path, header=True, escape='"')
+
+
+@query(CUSTOMER_SQL)
+def read_json(t):
+    """JSON Lines back into rows."""
+    path = scratch_path(t.spark, "json")
+    writers.write_json(t.customer, path)
+    return readers.read_json(t.spark, path, lines=True)
+
+
+@query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
+def read_json_records(t):
+    """One document per region, each with its nations under its first list-valued key."""
+    path = scratch_path(t.spark, "json")
+    nations = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("nations"))
+    nations.select(F.to_json(F.struct("n_regionkey", "nations")).alias("value")).write.text(path)
+    return readers.read_json(t.spark, path, lines=True, records_path="nations")
+
+
+@query("select n_nationkey::bigint as n_nationkey, n_name from nation")
+def read_api_dump(t):
+    """Landed responses, one per region, with the rows at ``data.items``."""
+    path = scratch_path(t.spark, "api")
+    items = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("items"))
+    items.select(F.to_json(F.struct(F.lit("ok").alias("status"), F.struct("items").alias("data"))).alias("value")).write.text(path)
+    return readers.read_json(t.spark, path, records_path="data.items", lines=True)
+
+
+@query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+def write_json(t):
+    path = scratch_path(t.spark, "json")
+    writers.write_json(t.customer, path)
+    return t.spark.read.schema(CUSTOMER).json(path)
+
+
+@query(f"select * from {SQL_ORDERS}")
+def read_parquet(t):
+    return readers.read_parquet(t.spark, t.path("orders")).withColumn("o_orderdate", day("o_orderdate"))
+
+
+@query(f"select o_orderkey, o_totalprice, o_orderstatus from {SQL_ORDERS}")
+def write_parquet(t):
+    path = scratch_path(t.spark, "parquet")
+    writers.write_parquet(plain_orders(t), path, ["o_orderkey", "o_totalprice", "o_orderstatus"], partition_by=["o_orderstatus"])
+    return t.spark.read.parquet(path)
+
+
+@query(f"select *, (select count(*) from orders) as row_count, 6 as col_count from {SQL_ORDERS} x order by x.o_orderkey limit 20")
+def preview(t):
+    return readers.preview(plain_orders(t), 20, ["o_orderkey"])
+
+
+LISTED = ("customer", "part", "orders")
+
+
+@query("\nunion all\n".join(
+    f"select '{n}' as dataset_id, '{n}' as name, 'parquet' as source_type, count(*) as row_count, {k} as col_count, 2::bigint as size_bytes from {n}"
+    for n, k in (("customer", 5), ("part", 6), ("orders", 6))))
+def catalog_list(t):
+    """Two records per table; the later one is listed."""
+    out = None
+    for name in LISTED:
+        for version in (1, 2):
+            record = catalog.catalog_record(getattr(t, name), name, size_bytes=version)
+            record = record.withColumn("created_at", F.expr(f"timestamp '2024-01-0{version} 00:00:00'"))
+            out = record if out is None else out.unionByName(record)
+    return catalog.catalog_list(out).select("dataset_id", "name", "source_type", "row_count", "col_count", "size_bytes")

@@ -123,13 +123,13 @@ def extract_json(t):
 
 
 @query(f"""
-with x as (select conv_id, turn, role, json, json_extract(json, '$.insights') as held from ({EXTRACTED}))
-select conv_id, turn, role, case when json is null then 'LLM response is not valid JSON.'
+with x as (select conv_id, turn, role, json, json_extract(json, '$.insights') as held from ({EXTRACTED})),
+v as (select conv_id, turn, role, case when json is null then 'LLM response is not valid JSON.'
   when held is null then 'Missing ''insights'' key in LLM response.' when json_type(held) <> 'ARRAY' then '''insights'' must be a list.'
   else coalesce((select min_by('Insight [' || i || '] missing required key ''' || k || '''.', i * 10 + p)
-     from (select unnest(range(json_array_length(held))) i), (values ('category', 1), ('title', 2), ('description', 3)) v(k, p)
-     where json_extract(held, '$[' || i || '].' || k) is null), '') end as reason, reason = '' as accepted
-from x""")
+     from (select unnest(range(cast(json_array_length(held) as bigint))) i), (values ('category', 1), ('title', 2), ('description', 3)) v(k, p)
+     where json_extract(held, '$[' || i || '].' || k) is null), '') end as reason from x)
+select *, reason = '' as accepted from v""")
 def validate_insights(t):
     found = text.extract_json(_outputs(t), "answer").drop("answer", "parseable")
     return text.validate_insights(found, "json").drop("json")
@@ -209,7 +209,7 @@ def hash_embed(t):
 @query("""
 with c as (select label, list(m order by i) as q from (
   select label, i, avg(embedding[i]::double) m from embeddings, (select unnest(range(1, 65)) i) group by 1, 2) group by 1),
-s as (select label as query_id, vec_id, round(list_cosine_similarity(embedding::double[], q), 12) as score from c, embeddings)
+s as (select c.label as query_id, vec_id, round(list_cosine_similarity(embedding::double[], q), 12) as score from c, embeddings)
 select query_id, cast(r as int) as rank, vec_id, round(score, 9) as score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) r from s) where r <= 5""")
 def knn_cosine(t):
