@@ -31,15 +31,18 @@ def monday_zero(col: Column) -> Column:
     return F.weekday(col)
 
 
+def _clamped(number: Column, low, high, default) -> Column:
+    return F.when(number.isNull(), F.lit(default)).otherwise(F.least(F.greatest(number, F.lit(low)), F.lit(high)))
+
+
 def clamp_confidence(col: Column) -> Column:
     """[0, 1]; 0.5 for a value that is no number."""
-    number = col.try_cast("double")
-    return F.coalesce(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return _clamped(col.try_cast("double"), 0.0, 1.0, 0.5)
 
 
 def clamp_priority(col: Column, highest: int = 10) -> Column:
     """[1, highest]; 5 for a value that is no whole number."""
-    return F.coalesce(F.least(F.greatest(col.try_cast("int"), F.lit(1)), F.lit(highest)), F.lit(5))
+    return _clamped(col.try_cast("int"), 1, highest, 5)
 
 
 def corr_strength(r: Column) -> Column:

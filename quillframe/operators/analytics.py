@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.columns import as_double, comparable, known, numeric_columns, percent, plain, sum_or_zero
+from quillframe.functions.columns import as_double, comparable, complete, known, numeric_columns, percent, plain, sum_or_zero
 from quillframe.functions.scalars import month_of, months_apart
 from quillframe.operators import blocks, profile, stats, timeseries
 from quillframe.operators.prep import cast_column, predicate, sort_keys
@@ -37,7 +37,7 @@ def _aggregate(df: DataFrame, column: str, func: str) -> Column:
 
 
 def _without_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=list(keys))
+    return complete(df, list(keys))
 
 
 def grouped(df: DataFrame, group_cols: Sequence[str], column: str, func: str) -> DataFrame:
@@ -98,17 +98,19 @@ def cohort_retention(df: DataFrame, date_col: str, user_col: str, value_col: str
     """
     when = cast_column(df, date_col, "datetime")
     rows = df.select(F.col(user_col).alias("user"), month_of(when).alias("month"), plain(df, value_col).alias("v"))
-    active = rows.na.drop().select("user", "month").distinct()
+    active = complete(rows, ["user", "month", "v"]).select("user", "month").distinct()
     first = F.min("month").over(Window.partitionBy("user"))
     aged = active.withColumn("cohort", first).withColumn("period_index", months_apart(F.col("month"), F.col("cohort")))
     counts = aged.groupBy("cohort", "period_index").agg(F.count("*").alias("users"))
-    base = counts.filter("period_index = 0").select("cohort", F.col("users").alias("_base"))
-    ages = counts.agg(F.collect_set("period_index").alias("_ages"))  # one value per month of history
-    grid = base.crossJoin(F.broadcast(ages)).select("cohort", "_base", F.explode("_ages").alias("period_index"))
-    return grid.join(counts, ["cohort", "period_index"], "left").select(
-        F.date_format("cohort", "yyyy-MM").alias("cohort"), "period_index",
-        F.coalesce("users", F.lit(0)).alias("users"),
-        F.coalesce(percent(F.col("users"), F.col("_base"), 1), F.lit(0.0)).alias("retention_pct"))
+    # One map per cohort, with an entry per month of history; the windows see one row per cohort.
+    cell = F.struct("period_index", "users")
+    cohorts = counts.groupBy("cohort").agg(F.map_from_entries(F.collect_list(cell)).alias("_users"))
+    ages = F.array_distinct(F.flatten(F.collect_list(F.map_keys("_users")).over(Window.partitionBy())))
+    grid = cohorts.withColumn("_ages", ages).select("cohort", "_users", F.explode("_ages").alias("period_index"))
+    users = F.coalesce(F.try_element_at("_users", F.col("period_index")), F.lit(0))
+    return grid.select(
+        F.date_format("cohort", "yyyy-MM").alias("cohort"), "period_index", users.alias("users"),
+        percent(users, F.col("_users")[0], 1).alias("retention_pct"))
 
 
 def cohort_matrix(df: DataFrame, date_col: str, user_col: str, value_col: str, measure: str = "retention_pct") -> DataFrame:

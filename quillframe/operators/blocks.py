@@ -28,6 +28,11 @@ BROADCAST_ROWS = 10_000  # largest table fetched and broadcast by ``join_small``
 LOW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
+def few_keys(df: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``keys`` take at most ``limit`` values, so that one row per key may be broadcast."""
+    return not keys or df.select(*keys).distinct().limit(limit + 1).count() <= limit
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join with a table that is usually tiny (one row per group).
 
@@ -177,20 +182,25 @@ def quantiles(
 
 
 def _sketched_quantiles(
-    long: DataFrame, keys: list[str], probabilities: Sequence[float], accuracy: int = SKETCH_ACCURACY
+    long: DataFrame, keys: list[str], probabilities: Sequence[float], accuracy: int = SKETCH_ACCURACY, slack: int = 3
 ) -> DataFrame:
-    slack = 3.0 / accuracy  # the sketch errs by at most 1/accuracy of the rows
-    edges = [e for p in probabilities for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    """Bracket each quantile by sketched values ``slack`` sketch errors away, then rank inside the bracket.
+
+    Groups of at most ``accuracy`` rows are ranked whole. Should a bracket miss its rank, the
+    groups concerned are done again with a wider one.
+    """
+    margin = slack / accuracy  # the sketch errs by about 1/accuracy of the rows
+    edges = [float(e) for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    whole = (F.col("n") <= accuracy) | F.lit(margin >= 1)
     sketch = long.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("value", [float(e) for e in edges], accuracy).alias("_edges"),
-    )
+        F.count("*").alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
+        F.percentile_approx("value", edges, accuracy).alias("_edges"))
     wanted = F.array(*[
         F.struct(
             F.lit(i).alias("i"),
             (F.lit(float(p)) * (F.col("n") - 1)).alias("rank"),
-            F.col("_edges")[2 * i].alias("lo"),
-            F.col("_edges")[2 * i + 1].alias("hi"),
+            F.when(whole, F.col("_min")).otherwise(F.col("_edges")[2 * i]).alias("lo"),
+            F.when(whole, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("hi"),
         )
         for i, p in enumerate(probabilities)
     ])
@@ -214,8 +224,14 @@ def _sketched_quantiles(
     picked = ranked.groupBy(*keys, "n", "i", "rank").agg(
         at(F.floor("rank")).alias("lo"), at(F.ceil("rank")).alias("hi"))
     value = _lerp(F.col("lo"), F.col("hi"), F.col("rank") - F.floor("rank"))
-    return picked.groupBy(*keys, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))
+    found = write_out(picked.groupBy(*keys, "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q")), "quantiles")
+    missed = found.filter(F.exists("q", lambda v: v.isNull()) | (F.size("q") < len(probabilities)))
+    if margin >= 1 or missed.limit(1).count() == 0:
+        return found
+    again = join_small(long, missed.select(*keys), keys)
+    rest = found.join(missed.select(*keys), keys, "left_anti")
+    return rest.unionByName(_sketched_quantiles(again, keys, probabilities, accuracy, 4 * slack))
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], **options) -> dict[str, list]:

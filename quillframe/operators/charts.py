@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.columns import as_double, known, numeric_columns, percent, sum_or_zero
+from quillframe.functions.columns import as_double, complete, known, numeric_columns, percent, sum_or_zero
 from quillframe.operators import analytics, blocks, profile, stats, timeseries
 
 # Row limits of the chart reports.
@@ -33,7 +33,7 @@ DASHBOARD_CHARTS = 10
 
 
 def _top_sums(df: DataFrame, label: str, value: str, k: int) -> DataFrame:
-    sums = df.na.drop(subset=[label]).groupBy(F.col(label).alias("label")).agg(sum_or_zero(as_double(df, value)).alias("value"))
+    sums = complete(df, [label]).groupBy(F.col(label).alias("label")).agg(sum_or_zero(as_double(df, value)).alias("value"))
     return sums.orderBy(F.col("value").desc(), "label").limit(k)
 
 
@@ -61,12 +61,12 @@ chart_donut = chart_pie
 
 def chart_scatter(df: DataFrame, x: str, y: str, key: Sequence[str] = (), seed: int = 42) -> DataFrame:
     names = list(dict.fromkeys([x, y, *key]))
-    return blocks.hash_sample(df.select(*names).na.drop(subset=[x, y]), SCATTER_ROWS, list(key) or None, seed)
+    return blocks.hash_sample(complete(df.select(*names), [x, y]), SCATTER_ROWS, list(key) or None, seed)
 
 
 def chart_bubble(df: DataFrame, x: str, y: str, size: str, key: Sequence[str] = (), seed: int = 42) -> DataFrame:
     names = list(dict.fromkeys([x, y, size, *key]))
-    return blocks.hash_sample(df.select(*names).na.drop(subset=[x, y, size]), BUBBLE_ROWS, list(key) or None, seed)
+    return blocks.hash_sample(complete(df.select(*names), [x, y, size]), BUBBLE_ROWS, list(key) or None, seed)
 
 
 def chart_heatmap(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def chart_histogram(df: DataFrame, value: str) -> DataFrame:
 
 def chart_boxplot(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """Five-number summary, overall or per group with at least two values."""
-    rows = df.na.drop(subset=[group]) if group else df
+    rows = complete(df, [group]) if group else df
     found = blocks.quantiles(rows, [value], [0.0, 0.25, 0.5, 0.75, 1.0], by=[group] if group else [])
     name = F.col(group).cast("string") if group else F.col("column")
     names = ["min", "q1", "median", "q3", "max"]
@@ -108,7 +108,7 @@ def chart_treemap(df: DataFrame, label: str, value: str) -> DataFrame:
 def chart_waterfall(df: DataFrame, x: str, y: str, order_by: Sequence[str]) -> DataFrame:
     """First twenty complete rows with the running start and end of each bar."""
     names = list(dict.fromkeys([x, y, *order_by]))
-    rows = df.select(*names).na.drop(subset=[x, y]).orderBy(*order_by).limit(WATERFALL_ROWS)
+    rows = complete(df.select(*names), [x, y]).orderBy(*order_by).limit(WATERFALL_ROWS)
     upto = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)  # twenty rows
     end = F.sum(F.col(y).cast("double")).over(upto)
     return rows.select(F.col(x).cast("string").alias("label"), F.col(y).alias("value"), end.alias("end")).select(
@@ -124,13 +124,13 @@ def chart_candlestick(df: DataFrame, date: str, open: str, high: str, low: str,
     cols = [date, open, high, low, close]
     if len(known(df, cols[1:])) < 4:
         raise ValueError("a candlestick needs open, high, low and close")
-    return df.select(*cols).na.drop().orderBy(*cols).limit(CANDLES)
+    return complete(df.select(*cols), cols).orderBy(*cols).limit(CANDLES)
 
 
 def ohlc(df: DataFrame, time: str, value: str, every: str = "1 day", key: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Candles from single values: first, highest, lowest and last value per time window."""
     place = F.struct(F.col(time), *[F.col(k) for k in key])
-    return df.na.drop(subset=[time, value]).groupBy(*by, F.window(time, every).alias("_w")).agg(
+    return complete(df, [time, value]).groupBy(*by, F.window(time, every).alias("_w")).agg(
         F.min_by(value, place).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"),
         F.max_by(value, place).alias("close")).select(*by, F.col("_w.start").alias("date"), "open", "high", "low", "close")
 
@@ -143,7 +143,7 @@ def chart_gauge(df: DataFrame, value: str) -> DataFrame:
 
 def chart_sankey(df: DataFrame, source: str, target: str, value: str) -> DataFrame:
     """First fifty links in key order, with the summed value."""
-    links = df.na.drop(subset=[source, target]).groupBy(F.col(source).alias("source"), F.col(target).alias("target"))
+    links = complete(df, [source, target]).groupBy(F.col(source).alias("source"), F.col(target).alias("target"))
     return links.agg(sum_or_zero(as_double(df, value)).alias("value")).orderBy("source", "target").limit(SANKEY_LINKS)
 
 
@@ -159,7 +159,7 @@ def chart_violin(df: DataFrame, value: str, group: str | None = None, points: in
     are read and a large group is never gathered.
     """
     name = F.col(group).cast("string") if group else F.lit(value)
-    rows = df.select(name.alias("name"), as_double(df, value).alias("x")).na.drop()
+    rows = df.select(name.alias("name"), as_double(df, value).alias("x")).filter("name IS NOT NULL AND x IS NOT NULL")
     shape = rows.groupBy("name").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     shape = shape.filter((F.col("n") >= VIOLIN_MIN) & (F.col("s") > 0)).select(
         "name", "n", "lo", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
@@ -360,7 +360,7 @@ def dashboard_charts(df: DataFrame, key: Sequence[str]) -> dict[str, DataFrame]:
     dates = [c for c, t in types.items() if t == "datetime"]
     close = blocks.stats_row(df, {c: F.approx_count_distinct(F.col(f"`{c}`")) for c in cat})
     # The estimate only skips columns far above the limit; the others are counted.
-    sizes = {c: df.select(c).na.drop().distinct().limit(11).count() for c in cat if close[c] <= 20}
+    sizes = {c: complete(df.select(c), [c]).distinct().limit(11).count() for c in cat if close[c] <= 20}
     charts: dict[str, DataFrame] = {}
     if dates and num:
         charts["line"] = chart_line(df, dates[0], num[0], key)

@@ -141,13 +141,14 @@ def predicate(df: DataFrame, column: str, operator: str, value: Any) -> Column |
     """One filter condition; null for an unknown column or operator."""
     if column not in df.columns:
         return None
-    col = plain(df, column)
+    col = F.col(f"`{column}`")  # bare, so that comparisons reach the scan
+    number = ~F.isnan(col) if isinstance(dtype_of(df, column), FLOATING) else F.lit(True)  # NaN sorts above all numbers
     tests = {
         "eq": lambda: col == value,
         "ne": lambda: ~col.eqNullSafe(F.lit(value)),  # keeps nulls
-        "gt": lambda: col > value,
+        "gt": lambda: (col > value) & number,
         "lt": lambda: col < value,
-        "gte": lambda: col >= value,
+        "gte": lambda: (col >= value) & number,
         "lte": lambda: col <= value,
         "in": lambda: col.isin(list(value)),
         "contains": lambda: F.coalesce(col.cast("string").rlike(str(value)), F.lit(False)),

@@ -76,7 +76,7 @@ def _best_of(scores: np.ndarray, k: int) -> np.ndarray:
 
 def knn_cosine(
     docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", vector: str = "embedding",
-    query_id: str = "query_id", query_vector: str = "embedding",
+    query_id: str = "query_id", query_vector: str = "embedding", split: int = 0,
 ) -> DataFrame:
     """(query_id, rank, doc_id, score): the exact ``k`` most similar documents per query.
 
@@ -87,19 +87,22 @@ def knn_cosine(
     total = queries.count()
     if total > QUERIES_PER_PASS:
         parts = -(-2 * total // QUERIES_PER_PASS)  # half-full on average, so that hashing may be uneven
-        slot = F.pmod(F.xxhash64(query_id), F.lit(parts))
+        slot = F.pmod(F.xxhash64(query_id, F.lit(split)), F.lit(parts))
         out = None
         for i in range(parts):
-            part = knn_cosine(docs, queries.filter(slot == i), k, doc_id, vector, query_id, query_vector)
+            part = knn_cosine(docs, queries.filter(slot == i), k, doc_id, vector, query_id, query_vector, split + 1)
             out = part if out is None else out.unionByName(part)
         return out
+    doc_kind, query_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, doc_id), (queries, query_id)))
+    if total == 0:
+        return docs.sparkSession.createDataFrame([], f"`{query_id}` {query_kind}, rank int, `{doc_id}` {doc_kind}, score double")
     asked = queries.select(query_id, F.col(query_vector).cast("array<double>").alias("_q")).orderBy(query_id).collect()
     names = [r[query_id] for r in asked]
-    held = _unit(np.array([r["_q"] for r in asked], dtype="float64").reshape(len(asked), -1))
+    held = _unit(np.array([r["_q"] for r in asked], dtype="float64"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0 or not names:
+            if batch.num_rows == 0:
                 continue
             ids = batch.column(0)
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
@@ -116,13 +119,10 @@ def knn_cosine(
                 [pa.array(np.concatenate(places), type=pa.int32()), ids.take(pa.array(np.concatenate(picks))),
                  pa.array(np.concatenate(values), type=pa.float64())], names=["_place", doc_id, "score"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
     vectors = docs.select(doc_id, F.col(vector).cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
-    near = vectors.mapInArrow(score, f"_place int, `{doc_id}` {kind}, score double")
+    near = vectors.mapInArrow(score, f"_place int, `{doc_id}` {doc_kind}, score double")
     best = blocks.top_per(near, ["_place"], [F.col("score").desc(), F.col(doc_id)], k)
-    lookup = queries.sparkSession.createDataFrame(list(enumerate(names)), f"_place int, `{query_id}` {queries.schema[query_id].dataType.simpleString()}") if names else None
-    if lookup is None:
-        return best.select(F.lit(None).alias(query_id), "rank", doc_id, "score")
+    lookup = docs.sparkSession.createDataFrame(list(enumerate(names)), f"_place int, `{query_id}` {query_kind}")
     return best.join(F.broadcast(lookup), "_place").select(query_id, "rank", doc_id, "score")  # at most QUERIES_PER_PASS rows
 
 
@@ -144,8 +144,8 @@ def hybrid_rerank(
         docs.select(doc_id, hash_embedding(F.col(content)).alias("_e")),
         queries.select(query_id, hash_embedding(F.col(question)).alias("_e")),
         2 * k, doc_id, "_e", query_id, "_e")
-    asked_near = near.drop("rank").join(queries.select(query_id, question), query_id)
-    pairs = blocks.join_small(docs.select(doc_id, content), asked_near, [doc_id], limit=20 * QUERIES_PER_PASS)
+    pairs = blocks.join_small(docs.select(doc_id, content), near.drop("rank"), [doc_id], limit=20 * QUERIES_PER_PASS)
+    pairs = pairs.join(queries.select(query_id, question), query_id)
     asked = tokens(F.col(question))
     shared = F.size(F.array_intersect(asked, tokens(F.col(content))))
     scored = pairs.withColumn("keyword_score", shared / F.greatest(F.size(asked), F.lit(1)))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.columns import as_double, numeric_columns
+from quillframe.functions.columns import as_double, complete, numeric_columns
 from quillframe.functions.pvalues import correlation_p
 from quillframe.operators import blocks
 from quillframe.operators.prep import cast_column
@@ -29,7 +29,7 @@ def series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Se
     """(by..., time, key..., value) without nulls; strings are parsed as timestamps."""
     when = cast_column(df, time, "datetime")
     out = df.select(*by, when.alias("time"), *[k for k in key], as_double(df, value).alias("value"))
-    return out.na.drop(subset=[*by, "time", "value"])
+    return complete(out, [*by, "time", "value"])
 
 
 def placed_series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
@@ -102,18 +102,20 @@ def _trend_column(window, period: int):
     return F.when(F.count("value").over(frame) == period, F.avg("value").over(frame))
 
 
-def _with_season(rows: DataFrame, by: Sequence[str], period: int) -> DataFrame:
+def _with_season(rows: DataFrame, placed: DataFrame, by: Sequence[str], period: int) -> DataFrame:
     """Add ``seasonal`` (mean detrended value per index modulo the period) and ``residual``."""
     rows = rows.withColumns({"_phase": F.col("_ord") % period, "_detrended": F.col("value") - F.col("trend")})
     season = rows.groupBy(*by, "_phase").agg(F.avg("_detrended").alias("seasonal"))
-    return blocks.join_small(rows, season, [*by, "_phase"]).withColumn("residual", F.col("_detrended") - F.col("seasonal"))
+    if blocks.few_keys(placed, by):
+        season = F.broadcast(season)  # one row per key and phase
+    return rows.join(season, [*by, "_phase"]).withColumn("residual", F.col("_detrended") - F.col("seasonal"))
 
 
 def decompose(df: DataFrame, time: str, value: str, period: int = PERIOD, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
     """Additive decomposition; series shorter than two periods are left out."""
     placed = placed_series(df, time, value, by, key).filter(F.col("_n") >= 2 * period)
     rows = blocks.blocked(placed, lambda w: {"trend": _trend_column(w, period)}, period, period, by)
-    rows = _with_season(rows, by, period)
+    rows = _with_season(rows, placed, by, period)
     return rows.select(*by, "time", *key, F.col("value").alias("observed"), "trend", "seasonal", "residual")
 
 
@@ -207,7 +209,7 @@ def time_series_report(df: DataFrame, time: str, columns: Sequence[str] | None =
     placed = placed_series(long, "_time", "value", by=["series"], key=key)
     rows = _moving(placed, WINDOWS, ["series"], with_ewma=True, after=PERIOD,
                    more=lambda w: {"trend": F.when(F.col("_n") >= 2 * PERIOD, _trend_column(w, PERIOD))})
-    rows = _with_season(rows, ["series"], PERIOD)
+    rows = _with_season(rows, placed, ["series"], PERIOD)
     names = [f"{kind}_{w}" for w in WINDOWS for kind in ("sma", "ewma")]
     return rows.select("series", "time", *key, F.col("value").alias("observed"), "trend", "seasonal", "residual", *names)
 
@@ -222,7 +224,7 @@ def forecasts(df: DataFrame, time: str, columns: Sequence[str], key: Sequence[st
 def downsample(df: DataFrame, order_by: str, columns: Sequence[str], key: Sequence[str] = (), points: int = LINE_POINTS) -> DataFrame:
     """Every ceil(n/points)-th complete row in order; all rows if there are at most ``points``."""
     kept = df.select(order_by, *columns, *[k for k in key if k not in columns and k != order_by])
-    kept = kept.na.drop(subset=[order_by, *columns])
+    kept = complete(kept, [order_by, *columns])
     placed = blocks.ordinals(blocks.positions(kept, [order_by, *key]))
     step = F.greatest(F.ceil(F.col("_n") / points), F.lit(1))
     return placed.filter(F.col("_ord") % step == 0).select(*kept.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.functions.columns import percent
+from quillframe.functions.columns import complete, percent
 from quillframe.operators import blocks
 from quillframe.session import scratch_path
 
@@ -45,7 +45,7 @@ def rate_limit(
     """
     by = [endpoint, caller]
     names = list(dict.fromkeys([*by, time, *key]))
-    placed = blocks.ordinals(blocks.positions(df.select(*names).na.drop(subset=[*by, time]), [time, *key], by=by), by)
+    placed = blocks.ordinals(blocks.positions(complete(df.select(*names), [*by, time]), [time, *key], by=by), by)
     before = lambda w: {"_previous": F.lag(time).over(w)}
     rows = blocks.blocked(placed, before, before=1, by=by)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
