@@ -20,25 +20,35 @@ from pyspark.sql import functions as F
 from quillframe.functions.columns import as_double, plain
 from quillframe.session import write_out
 
-# Rows up to which Spark's in-memory exact percentile is used: its state holds at most this
-# many distinct values per column.
-IN_MEMORY_ROWS = 1_000_000
+# Cells up to which Spark's in-memory exact percentile is used: its state holds at most this
+# many distinct values.
+IN_MEMORY_CELLS = 8_000_000
+# Rows up to which a table is ordered by one window in one task; larger ones are range-partitioned.
+SMALL_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 BROADCAST_ROWS = 10_000  # largest table fetched and broadcast by ``join_small``
 LOW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether one task may hold the table (a count, which a Parquet scan answers from its footers)."""
+    return df.count() <= SMALL_ROWS
+
+
 def few_keys(df: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``keys`` take at most ``limit`` values, so that one row per key may be broadcast."""
     return not keys or df.select(*keys).distinct().limit(limit + 1).count() <= limit
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS, fetch: bool = True) -> DataFrame:
     """Inner join with a table that is usually tiny (one row per group).
 
     It is fetched and broadcast if it has at most ``limit`` rows, so that the big side is not
-    shuffled; otherwise it is an ordinary join, which Spark splits where a key is hot.
+    shuffled; otherwise it is an ordinary join, which Spark splits where a key is hot. Without
+    ``fetch`` (the big side is small too) Spark chooses.
     """
+    if not fetch:
+        return big.join(small, list(keys))
     rows = small.limit(limit + 1).collect()
     if len(rows) > limit:
         return big.join(small, list(keys))
@@ -49,14 +59,17 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], limit: int
 # --- global order ---------------------------------------------------------------------
 
 
-def positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``_part`` and ``_pos``: the sorted partition, and the 0-based row number in the whole table.
+def positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = (), small: bool | None = None) -> DataFrame:
+    """Add ``_pos``, the 0-based row number in the whole table, and ``_part``, the sorted partition.
 
     ``order_by`` (with ``by``) must identify a row, so that a hot ``by`` key or a hot
     timestamp is spread over many sorted partitions. The sorted rows are written once, which
-    pins the numbering; the driver sees one row count per partition.
+    pins the numbering; the driver sees one row count per partition. A ``small`` table (found
+    by counting ``df`` if not told) is numbered by one window and has no ``_part``.
     """
     keys = [F.col(b) for b in by] + [F.col(o) if isinstance(o, str) else o for o in order_by]
+    if is_small(df) if small is None else small:
+        return df.withColumn("_pos", F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1)
     ranked = write_out(df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id()), "positions")
     ranked = ranked.withColumn("_part", F.shiftright("_mid", LOW_BITS).cast("int"))
     starts, total = [], 0
@@ -74,8 +87,11 @@ def positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = ()) -> Data
 
 def ordinals(placed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``_ord`` (0-based row number within ``by``) and ``_n`` (rows of that key)."""
+    whole = Window.partitionBy(*by)
+    if "_part" not in placed.columns:
+        return placed.withColumns({"_ord": F.col("_pos") - F.min("_pos").over(whole), "_n": F.count("*").over(whole)})
     spans = placed.groupBy("_part", *by).agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
-    whole = Window.partitionBy(*by)  # one row per key and sorted partition
+    # One row per key and sorted partition.
     spans = spans.select("_part", *by, F.min("_first").over(whole).alias("_first"), F.sum("_rows").over(whole).alias("_n"))
     return join_small(placed, spans, ["_part", *by]).withColumn("_ord", F.col("_pos") - F.col("_first")).drop("_first")
 
@@ -90,10 +106,14 @@ def prefix_scan(
     """
     fold = {"sum": F.sum, "max": F.max}[how]
     totals = totals or {}
+    whole = Window.partitionBy(*by)
     placed = placed.withColumn("_v", value)
+    if "_part" not in placed.columns:
+        run = fold("_v").over(whole.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+        run = F.coalesce(run, F.lit(0)) if how == "sum" else run
+        return placed.withColumns({out: run} | {n: F.sum(c).over(whole) for n, c in totals.items()}).drop("_v")
     here = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     parts = placed.groupBy("_part", *by).agg(fold("_v").alias("_total"), *[F.sum(c).alias(n) for n, c in totals.items()])
-    whole = Window.partitionBy(*by)
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select(
         "_part", *by, fold("_total").over(before).alias("_carry"), *[F.sum(n).over(whole).alias(n) for n in totals])
@@ -165,20 +185,24 @@ def quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    in_memory_cells: int = IN_MEMORY_CELLS,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: (by..., column, n, q array).
 
-    Tables up to ``in_memory_rows`` use ``percentile`` directly. Larger ones bracket every
+    Tables up to ``in_memory_cells`` values use ``percentile`` directly. Larger ones bracket every
     quantile with a bounded sketch, count what lies below the bracket, and order only the
     distinct values inside it, so no task ever holds all values of a column or group.
     """
-    long = long_form(df, columns, keep=by)
-    keys = [*by, "column"]
-    if df.select(*by, *columns).count() <= in_memory_rows:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        return long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("value", probs).alias("q"))
-    return _sketched_quantiles(long, keys, probabilities)
+    if df.select(*by, *columns).count() * len(columns) > in_memory_cells:
+        return _sketched_quantiles(long_form(df, columns, keep=by), [*by, "column"], probabilities)
+    probs = F.array(*[F.lit(float(p)) for p in probabilities])
+    aggregates, found = [], []
+    for i, c in enumerate(columns):
+        x = as_double(df, c)
+        aggregates += [F.count(x).alias(f"n{i}"), F.percentile(x, probs).alias(f"q{i}")]
+        found.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q")))
+    wide = df.groupBy(*by).agg(*aggregates)
+    return wide.select(*by, F.inline(F.array(*found))).filter(F.col("n") > 0)
 
 
 def _sketched_quantiles(
@@ -214,7 +238,7 @@ def _sketched_quantiles(
                 F.when(F.col("value") >= F.col("w.lo"), F.col("value")).alias("value"))
         .groupBy(*keys, "n", "i", "rank", "value").agg(F.count("*").alias("c"))
     )
-    placed = positions(near, [F.col("value").asc_nulls_first()], by=[*keys, "i"])
+    placed = positions(near, [F.col("value").asc_nulls_first()], by=[*keys, "i"], small=False)
     ranked = prefix_scan(placed, F.col("c"), "_upto", by=[*keys, "i"])
 
     def at(rank):  # the value holding this 0-based rank
@@ -294,4 +318,4 @@ def hash_sample(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: i
     order = [F.col("_h"), *[F.col(k) for k in key]]
     if n <= 100_000:
         return hashed.orderBy(*order).limit(n).drop("_h")
-    return positions(hashed, order).filter(F.col("_pos") < n).drop("_h", "_part", "_pos")
+    return positions(hashed, order, small=False).filter(F.col("_pos") < n).drop("_h", "_part", "_pos")

@@ -167,7 +167,7 @@ def chart_violin(df: DataFrame, value: str, group: str | None = None, points: in
     at = F.col("lo") + F.col("step") * F.col("point")
     u = (F.col("x") - at) / F.col("h")
     sums = (  # the points multiply rows inside the task; one row per name and point is shuffled
-        blocks.join_small(rows, shape, ["name"]).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        blocks.join_small(rows, shape, ["name"], fetch=not blocks.is_small(df)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy("name", "n", "lo", "step", "h", "point").agg(F.sum(F.exp(u * u * -0.5)).alias("k"))
     )
     scale = F.col("n") * F.col("h") * (2 * 3.141592653589793) ** 0.5

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.functions.columns import (
-    NESTED, TEMPORAL, as_double, comparable, dtype_of, known, numeric_columns, percent, plain, string_columns,
+    FLOATING, NESTED, TEMPORAL, as_double, comparable, dtype_of, known, numeric_columns, percent, plain, string_columns,
 )
 from quillframe.operators import blocks
 
@@ -69,10 +69,22 @@ def cardinality(unique: Column, rows: Column) -> Column:
     )
 
 
+CELL = ["column", "whole", "real", "text"]
+
+
 def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) for every non-null cell, long values as digests."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), comparable(df, c).cast("string").alias("value")) for c in columns])
-    return df.select(F.explode(pairs).alias("_c")).select("_c.column", "_c.value").filter(F.col("value").isNotNull())
+    """(column, whole, real, text) for every non-null cell; the value sits in the column of its kind."""
+    pairs = []
+    for c in columns:
+        kind, value = dtype_of(df, c), comparable(df, c)
+        whole = isinstance(kind, (T.IntegralType, T.BooleanType))
+        real = isinstance(kind, FLOATING)
+        pairs.append(F.struct(
+            F.lit(c).alias("column"), (value if whole else F.lit(None)).cast("bigint").alias("whole"),
+            (value if real else F.lit(None)).cast("double").alias("real"),
+            (F.lit(None) if whole or real else value).cast("string").alias("text")))
+    some = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
+    return df.select(F.inline(F.array(*pairs))).filter(some)
 
 
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:

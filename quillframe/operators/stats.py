@@ -89,7 +89,7 @@ def spearman(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
         pairs.select("column", "c", F.explode(sides).alias("_s")).select("column", "_s.side", "_s.x", "c")
         .groupBy("column", "side", "x").agg(F.sum("c").alias("c"))
     )
-    placed = blocks.positions(values, ["x"], by=["column", "side"])
+    placed = blocks.positions(values, ["x"], by=["column", "side"], small=blocks.is_small(df))
     ranked = blocks.prefix_scan(placed, F.col("c"), "_upto", ["column", "side"], totals={"n": F.col("c")})
     ranked = ranked.select(
         "column", "side", "x", (F.col("_upto") - (F.col("c") - 1) / 2 - (F.col("n") + 1) / 2).alias("rank"))

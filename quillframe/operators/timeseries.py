@@ -33,7 +33,8 @@ def series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Se
 
 
 def placed_series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
-    return blocks.ordinals(blocks.positions(series(df, time, value, by, key), ["time", *key], by=by), by)
+    placed = blocks.positions(series(df, time, value, by, key), ["time", *key], by=by, small=blocks.is_small(df))
+    return blocks.ordinals(placed, by)
 
 
 # --- order statistics -----------------------------------------------------------------
@@ -45,19 +46,34 @@ def _weighted(df: DataFrame, time: str, value: str, by: Sequence[str]) -> DataFr
     Ties in time are ordered by value; equal pairs are one row, however many copies there are.
     """
     pairs = series(df, time, value, by).groupBy(*by, "time", "value").agg(F.count("*").alias("c"))
-    placed = blocks.positions(pairs, ["time", "value"], by=by)
+    placed = blocks.positions(pairs, ["time", "value"], by=by, small=blocks.is_small(df))
     totals = {"n": F.col("c"), "total": F.col("c") * F.col("value")}
     scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by, totals=totals)
     return scanned.withColumn("p", F.col("_upto") - F.col("c"))
 
 
 def growth_rate(df: DataFrame, time: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., growth_rate): change of the second half's sum over the first half's, split by row count."""
-    rows = _weighted(df, time, value, by)
-    early = F.greatest(F.least(F.col("c"), F.floor(F.col("n") / 2) - F.col("p")), F.lit(0))
-    halves = rows.groupBy(*by).agg(
-        F.max("n").alias("n"), F.sum(F.col("value") * early).alias("a"),
-        F.sum(F.col("value") * (F.col("c") - early)).alias("b"))
+    """(by..., growth_rate): change of the second half's sum over the first half's, split by row count.
+
+    Rows fold into one per time before they are ordered. Only the time the split falls into is
+    looked at again, in value order.
+    """
+    small = blocks.is_small(df)
+    rows = series(df, time, value, by)
+    folded = rows.groupBy(*by, "time").agg(F.count("*").alias("c"), F.sum("value").alias("v"))
+    placed = blocks.positions(folded, ["time"], by=by, small=small)
+    scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by, totals={"n": F.col("c")})
+    scanned = scanned.withColumn("_early", F.floor(F.col("n") / 2) - (F.col("_upto") - F.col("c")))
+    split = (F.col("_early") > 0) & (F.col("_early") < F.col("c"))
+    border = scanned.filter(split).select(*by, "time", "_early")  # at most one row per key
+    ties = blocks.join_small(rows, border, [*by, "time"], fetch=not small).groupBy(*by, "_early", "value").agg(F.count("*").alias("c"))
+    ties = blocks.prefix_scan(blocks.positions(ties, ["value"], by=by, small=small), F.col("c"), "_upto", by)
+    taken = F.greatest(F.least(F.col("c"), F.col("_early") - (F.col("_upto") - F.col("c"))), F.lit(0))
+    parts = scanned.select(
+        *by, "n", F.when(F.col("_early") >= F.col("c"), F.col("v")).alias("a"), F.when(F.col("_early") <= 0, F.col("v")).alias("b"))
+    parts = parts.unionByName(ties.select(
+        *by, F.lit(0).cast("bigint").alias("n"), (F.col("value") * taken).alias("a"), (F.col("value") * (F.col("c") - taken)).alias("b")))
+    halves = parts.groupBy(*by).agg(F.max("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     rate = F.bround((F.col("b") - F.col("a")) / F.abs("a") * 100, 2)
     return halves.select(*by, F.when((F.col("n") >= 2) & (F.col("a") != 0), rate).alias("growth_rate"))
 
@@ -106,7 +122,7 @@ def _with_season(rows: DataFrame, placed: DataFrame, by: Sequence[str], period:
     """Add ``seasonal`` (mean detrended value per index modulo the period) and ``residual``."""
     rows = rows.withColumns({"_phase": F.col("_ord") % period, "_detrended": F.col("value") - F.col("trend")})
     season = rows.groupBy(*by, "_phase").agg(F.avg("_detrended").alias("seasonal"))
-    if blocks.few_keys(placed, by):
+    if "_part" in placed.columns and blocks.few_keys(placed, by):
         season = F.broadcast(season)  # one row per key and phase
     return rows.join(season, [*by, "_phase"]).withColumn("residual", F.col("_detrended") - F.col("seasonal"))
 
@@ -225,7 +241,7 @@ def downsample(df: DataFrame, order_by: str, columns: Sequence[str], key: Sequen
     """Every ceil(n/points)-th complete row in order; all rows if there are at most ``points``."""
     kept = df.select(order_by, *columns, *[k for k in key if k not in columns and k != order_by])
     kept = complete(kept, [order_by, *columns])
-    placed = blocks.ordinals(blocks.positions(kept, [order_by, *key]))
+    placed = blocks.ordinals(blocks.positions(kept, [order_by, *key], small=blocks.is_small(df)))
     step = F.greatest(F.ceil(F.col("_n") / points), F.lit(1))
     return placed.filter(F.col("_ord") % step == 0).select(*kept.columns)
 
@@ -233,7 +249,7 @@ def downsample(df: DataFrame, order_by: str, columns: Sequence[str], key: Sequen
 def running_total(df: DataFrame, order_by: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
     """Cumulative ``start`` and ``end`` of the value in order; null adds nothing."""
     names = list(dict.fromkeys([*by, *order_by, value]))
-    placed = blocks.positions(df.select(*names), list(order_by), by=by)
+    placed = blocks.positions(df.select(*names), list(order_by), by=by, small=blocks.is_small(df))
     amount = F.coalesce(as_double(placed, value), F.lit(0.0))
     out = blocks.prefix_scan(placed, amount, "end", by=by)
     return out.select(*names, (F.col("end") - amount).alias("start"), "end")

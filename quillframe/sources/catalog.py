@@ -24,7 +24,7 @@ def catalog_profiles(tables: dict[str, DataFrame]) -> DataFrame:
     for dataset_id, df in tables.items():
         tag = F.lit(dataset_id).alias("dataset_id")
         stats.append(profile.column_stats(df).select(tag, "position", "column", "inferred_type", "rows"))
-        cells.append(profile.cells(df, df.columns).select(tag, "column", "value"))
+        cells.append(profile.cells(df, df.columns).select(tag, *profile.CELL))
     unique = reduce(DataFrame.unionByName, cells).distinct().groupBy("dataset_id", "column").agg(F.count("*").alias("unique_count"))
     rows = reduce(DataFrame.unionByName, stats).join(F.broadcast(unique), ["dataset_id", "column"], "left")  # one row per column
     rows = rows.fillna(0, ["unique_count"]).withColumnRenamed("column", "name")

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quillframe.operators import blocks, prep, timeseries
 
 
+@pytest.fixture(autouse=True, params=[0, 1_000_000], ids=["large", "small"])
+def row_limit(request, monkeypatch):
+    """Every test runs with the distributed order and with the one-window order."""
+    monkeypatch.setattr(blocks, "SMALL_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(7)
@@ -97,7 +103,7 @@ def test_sketched_quantiles_are_exact(rows, by, accuracy):
 def test_quantiles_do_not_depend_on_the_size_limit(rows):
     _, df = rows
     small = blocks.quantiles(df, ["x"], PROBS, by=["key"]).orderBy("key").collect()
-    large = blocks.quantiles(df, ["x"], PROBS, by=["key"], in_memory_rows=10).orderBy("key").collect()
+    large = blocks.quantiles(df, ["x"], PROBS, by=["key"], in_memory_cells=10).orderBy("key").collect()
     for a, b in zip(small, large, strict=True):
         np.testing.assert_allclose(a["q"], b["q"], atol=1e-9)
 

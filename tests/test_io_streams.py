@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillframe.operators import blocks
 from quillframe.session import scratch_path, scratch_root
 from quillframe.sources import catalog, readers, writers
 from quillframe.streaming import requests
@@ -72,7 +73,9 @@ def log(spark):
     return spark.createDataFrame(rows, "id int, e string, c string, t string").withColumn("t", F.expr("to_timestamp('2024-01-01 ' || t)"))
 
 
-def test_every_request_renews_the_session_and_an_exact_gap_ends_it(log):
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_every_request_renews_the_session_and_an_exact_gap_ends_it(log, limit, monkeypatch):
+    monkeypatch.setattr(blocks, "SMALL_ROWS", limit)
     got = {r["id"]: (r["hits"], r["allowed"]) for r in requests.rate_limit(log, "t", "e", "c", ["id"], 3600, LIMITS).collect()}
     assert got == {1: (1, True), 2: (2, True), 3: (3, False), 4: (1, True), 5: (1, True), 6: (2, False), 7: (1, True)}
 
