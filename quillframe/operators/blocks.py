@@ -150,6 +150,11 @@ def blocked(
     return out.filter(F.floor(pos / block) == F.col("_block")).drop("_block")
 
 
+def settle(df: DataFrame, small: bool) -> DataFrame:
+    """A folded table, written once if its input is not small, so that counting it is free."""
+    return df if small else write_out(df, "folded")
+
+
 # --- statistics -----------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,31 +70,43 @@ def cardinality(unique: Column, rows: Column) -> Column:
     )
 
 
-CELL = ["column", "whole", "real", "text"]
+def _kind(kind: T.DataType) -> str:
+    """Columns of one kind share a distinct count."""
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "bigint"
+    if isinstance(kind, FLOATING):
+        return "double"
+    return kind.simpleString() if isinstance(kind, (*TEMPORAL, T.DecimalType)) else "string"
 
 
-def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, whole, real, text) for every non-null cell; the value sits in the column of its kind."""
-    pairs = []
-    for c in columns:
-        kind, value = dtype_of(df, c), comparable(df, c)
-        whole = isinstance(kind, (T.IntegralType, T.BooleanType))
-        real = isinstance(kind, FLOATING)
-        pairs.append(F.struct(
-            F.lit(c).alias("column"), (value if whole else F.lit(None)).cast("bigint").alias("whole"),
-            (value if real else F.lit(None)).cast("double").alias("real"),
-            (F.lit(None) if whole or real else value).cast("string").alias("text")))
-    some = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
-    return df.select(F.inline(F.array(*pairs))).filter(some)
+def cells(df: DataFrame, columns: Sequence[str], first: int = 0) -> dict[str, DataFrame]:
+    """Per kind: (cell, value) for every non-null value; ``cell`` numbers the columns from ``first``."""
+    kinds: dict[str, list[Column]] = {}
+    for i, c in enumerate(columns):
+        kind = _kind(dtype_of(df, c))
+        value = comparable(df, c).cast(kind)
+        kinds.setdefault(kind, []).append(F.struct(F.lit(first + i).alias("cell"), value.alias("value")))
+    return {k: df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL") for k, pairs in kinds.items()}
+
+
+def distinct_cells(tables: Sequence[dict[str, DataFrame]]) -> DataFrame:
+    """(cell, unique_count), with one shuffle per kind for all tables together."""
+    parts: dict[str, DataFrame] = {}
+    for kinds in tables:
+        for kind, part in kinds.items():
+            parts[kind] = parts[kind].unionByName(part) if kind in parts else part
+    counts = [p.distinct().groupBy("cell").agg(F.count("*").alias("unique_count")) for p in parts.values()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, unique_count): distinct non-null values."""
     columns = list(columns or df.columns)
     if exact:
-        found = cells(df, columns).distinct().groupBy("column").agg(F.count("*").alias("unique_count"))
-        names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-        return names.join(F.broadcast(found), "column", "left").fillna(0, ["unique_count"])  # one row per column
+        named = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(c).alias("column")) for i, c in enumerate(columns)])
+        names = df.sparkSession.range(1).select(F.inline(named))
+        found = names.join(F.broadcast(distinct_cells([cells(df, columns)])), "cell", "left")  # one row per column
+        return found.select("column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
     one = df.agg(*[F.approx_count_distinct(comparable(df, c)).alias(f"u{i}") for i, c in enumerate(columns)])
     return blocks.rows_per_column(one, [
         {"column": F.lit(c), "unique_count": F.col(f"u{i}")} for i, c in enumerate(columns)])

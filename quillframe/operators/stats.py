@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.columns import as_double, known, numeric_columns, percent
@@ -71,6 +71,30 @@ def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, k: int
     )
 
 
+def _centred_rank(value: str) -> Column:
+    """Average rank minus the mean rank within ``column``, for pairs that occur ``c`` times."""
+    whole = Window.partitionBy("column")
+    upto, ties = F.sum("c").over(whole.orderBy(value)), F.sum("c").over(Window.partitionBy("column", value))
+    return upto - (ties - 1) / 2 - (F.sum("c").over(whole) + 1) / 2
+
+
+def _with_ranks(pairs: DataFrame) -> DataFrame:
+    """The same ranks from running counts over the distinct values of each side."""
+    sides = F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("x")),
+                    F.struct(F.lit("v").alias("side"), F.col("v").alias("x")))
+    values = (
+        pairs.select("column", "c", F.inline(sides))
+        .groupBy("column", "side", "x").agg(F.sum("c").alias("c"))
+    )
+    placed = blocks.positions(blocks.settle(values, False), ["x"], by=["column", "side"])
+    ranked = blocks.prefix_scan(placed, F.col("c"), "_upto", ["column", "side"], totals={"n": F.col("c")})
+    ranked = ranked.select(
+        "column", "side", "x", (F.col("_upto") - (F.col("c") - 1) / 2 - (F.col("n") + 1) / 2).alias("rank"))
+    of_t = ranked.filter("side = 't'").select("column", F.col("x").alias("t"), F.col("rank").alias("rt"))
+    of_v = ranked.filter("side = 'v'").select("column", F.col("x").alias("v"), F.col("rank").alias("rv"))
+    return pairs.join(of_t, ["column", "t"]).join(of_v, ["column", "v"])
+
+
 def spearman(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """(column, spearman_r) of average ranks over the complete pairs of each column.
 
@@ -83,20 +107,11 @@ def spearman(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
         .select("_c.column", "t", "_c.v").filter("t IS NOT NULL AND v IS NOT NULL")
         .groupBy("column", "t", "v").agg(F.count("*").alias("c"))
     )
-    sides = F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("x")),
-                    F.struct(F.lit("v").alias("side"), F.col("v").alias("x")))
-    values = (
-        pairs.select("column", "c", F.explode(sides).alias("_s")).select("column", "_s.side", "_s.x", "c")
-        .groupBy("column", "side", "x").agg(F.sum("c").alias("c"))
-    )
-    placed = blocks.positions(values, ["x"], by=["column", "side"], small=blocks.is_small(df))
-    ranked = blocks.prefix_scan(placed, F.col("c"), "_upto", ["column", "side"], totals={"n": F.col("c")})
-    ranked = ranked.select(
-        "column", "side", "x", (F.col("_upto") - (F.col("c") - 1) / 2 - (F.col("n") + 1) / 2).alias("rank"))
-    of_t = ranked.filter("side = 't'").select("column", F.col("x").alias("t"), F.col("rank").alias("rt"))
-    of_v = ranked.filter("side = 'v'").select("column", F.col("x").alias("v"), F.col("rank").alias("rv"))
+    if blocks.is_small(df):
+        joined = pairs.withColumns({"rt": _centred_rank("t"), "rv": _centred_rank("v")})
+    else:
+        joined = _with_ranks(blocks.settle(pairs, False))
     weighted = lambda x: F.sum(F.col("c") * x)
-    joined = pairs.join(of_t, ["column", "t"]).join(of_v, ["column", "v"])
     rt, rv = F.col("rt"), F.col("rv")
     return joined.groupBy("column").agg(
         F.try_divide(weighted(rt * rv), F.sqrt(weighted(rt * rt)) * F.sqrt(weighted(rv * rv))).alias("spearman_r"))

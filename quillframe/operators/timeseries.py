@@ -45,8 +45,9 @@ def _weighted(df: DataFrame, time: str, value: str, by: Sequence[str]) -> DataFr
 
     Ties in time are ordered by value; equal pairs are one row, however many copies there are.
     """
-    pairs = series(df, time, value, by).groupBy(*by, "time", "value").agg(F.count("*").alias("c"))
-    placed = blocks.positions(pairs, ["time", "value"], by=by, small=blocks.is_small(df))
+    small = blocks.is_small(df)
+    pairs = blocks.settle(series(df, time, value, by).groupBy(*by, "time", "value").agg(F.count("*").alias("c")), small)
+    placed = blocks.positions(pairs, ["time", "value"], by=by, small=small or None)
     totals = {"n": F.col("c"), "total": F.col("c") * F.col("value")}
     scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by, totals=totals)
     return scanned.withColumn("p", F.col("_upto") - F.col("c"))
@@ -60,14 +61,15 @@ def growth_rate(df: DataFrame, time: str, value: str, by: Sequence[str] = ()) ->
     """
     small = blocks.is_small(df)
     rows = series(df, time, value, by)
-    folded = rows.groupBy(*by, "time").agg(F.count("*").alias("c"), F.sum("value").alias("v"))
-    placed = blocks.positions(folded, ["time"], by=by, small=small)
+    folded = blocks.settle(rows.groupBy(*by, "time").agg(F.count("*").alias("c"), F.sum("value").alias("v")), small)
+    placed = blocks.positions(folded, ["time"], by=by, small=small or None)
     scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by, totals={"n": F.col("c")})
     scanned = scanned.withColumn("_early", F.floor(F.col("n") / 2) - (F.col("_upto") - F.col("c")))
     split = (F.col("_early") > 0) & (F.col("_early") < F.col("c"))
     border = scanned.filter(split).select(*by, "time", "_early")  # at most one row per key
     ties = blocks.join_small(rows, border, [*by, "time"], fetch=not small).groupBy(*by, "_early", "value").agg(F.count("*").alias("c"))
-    ties = blocks.prefix_scan(blocks.positions(ties, ["value"], by=by, small=small), F.col("c"), "_upto", by)
+    ties = blocks.positions(blocks.settle(ties, small), ["value"], by=by, small=small or None)
+    ties = blocks.prefix_scan(ties, F.col("c"), "_upto", by)
     taken = F.greatest(F.least(F.col("c"), F.col("_early") - (F.col("_upto") - F.col("c"))), F.lit(0))
     parts = scanned.select(
         *by, "n", F.when(F.col("_early") >= F.col("c"), F.col("v")).alias("a"), F.when(F.col("_early") <= 0, F.col("v")).alias("b"))

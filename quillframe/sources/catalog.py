@@ -18,16 +18,17 @@ def column_profiles(df: DataFrame, dataset_id: str, order_by=None, exact: bool =
 def catalog_profiles(tables: dict[str, DataFrame]) -> DataFrame:
     """(dataset_id, position, name, inferred_type, rows, unique_count, cardinality) for many tables.
 
-    The distinct values of all tables are counted in one shuffle.
+    The distinct values of all tables are counted in one shuffle per kind of value.
     """
-    stats, cells = [], []
+    stats, cells, first = [], [], 0
     for dataset_id, df in tables.items():
         tag = F.lit(dataset_id).alias("dataset_id")
-        stats.append(profile.column_stats(df).select(tag, "position", "column", "inferred_type", "rows"))
-        cells.append(profile.cells(df, df.columns).select(tag, *profile.CELL))
-    unique = reduce(DataFrame.unionByName, cells).distinct().groupBy("dataset_id", "column").agg(F.count("*").alias("unique_count"))
-    rows = reduce(DataFrame.unionByName, stats).join(F.broadcast(unique), ["dataset_id", "column"], "left")  # one row per column
-    rows = rows.fillna(0, ["unique_count"]).withColumnRenamed("column", "name")
+        cell = (F.col("position") + first).alias("cell")
+        stats.append(profile.column_stats(df).select(tag, cell, "position", F.col("column").alias("name"), "inferred_type", "rows"))
+        cells.append(profile.cells(df, df.columns, first))
+        first += len(df.columns)
+    rows = reduce(DataFrame.unionByName, stats).join(F.broadcast(profile.distinct_cells(cells)), "cell", "left")  # one row per column
+    rows = rows.fillna(0, ["unique_count"]).drop("cell")
     return rows.withColumn("cardinality", profile.cardinality(F.col("unique_count"), F.col("rows")))
 
 

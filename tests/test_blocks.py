@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.operators import blocks, prep, timeseries
+from quillframe.operators import blocks, prep, stats, timeseries
 
 
 @pytest.fixture(autouse=True, params=[0, 1_000_000], ids=["large", "small"])
@@ -140,7 +140,31 @@ def test_value_counts_top_k_breaks_ties_by_value(spark):
     assert [(r["value"], r["n"]) for r in got] == [("c", 2), ("a", 1)]
 
 
-def test_spearman_and_trend_with_many_equal_rows(spark):
+def test_spearman_averages_ties_over_complete_pairs(rows):
+    pdf, df = rows
+    pdf = pdf.assign(y=np.where(pdf["x"] > 50, np.nan, pdf["x"] ** 2))
+    df = df.withColumn("y", F.when(F.col("x") <= 50, F.col("x") * F.col("x")))
+    got = {r["column"]: r["spearman_r"] for r in stats.spearman(df, "t", ["x", "y", "id"]).collect()}
+    for c in ("x", "y", "id"):
+        pair = pdf[["t", c]].dropna().rank()
+        assert got[c] == pytest.approx(pair["t"].corr(pair[c]), abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [2, 7, 3000])
+def test_growth_splits_ties_by_value(spark, n):
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"d": rng.integers(0, 3, n), "g": rng.integers(0, 2, n), "v": rng.integers(1, 9, n).astype(float)})
+    df = spark.createDataFrame(pdf).withColumn("t", F.expr("date_add(date '2024-01-01', cast(d as int))"))
+    for by in ([], ["g"]):
+        got = {tuple(r[b] for b in by): r["growth_rate"] for r in timeseries.growth_rate(df, "t", "v", by).collect()}
+        groups = {(): pdf} if not by else {(k,): x for k, x in pdf.groupby("g")}
+        for k, x in groups.items():
+            v = x.sort_values(["d", "v"])["v"].to_numpy()
+            a, b = v[:len(v) // 2].sum(), v[len(v) // 2:].sum()
+            assert (got[k] is None and len(v) < 2) or got[k] == pytest.approx((b - a) / a * 100, abs=0.0051)
+
+
+def test_trend_with_many_equal_rows(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"t": np.sort(rng.integers(0, 20, 3000)), "v": rng.integers(0, 4, 3000).astype(float)})
     df = spark.createDataFrame(pdf).withColumn("t", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, t)"))
