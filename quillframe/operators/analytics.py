@@ -61,16 +61,11 @@ def group_aggregate(df: DataFrame, group_cols: Sequence[str], agg_col: str, agg_
 def kpis(df: DataFrame, columns: Sequence[str] | None = None, date_col: str | None = None) -> DataFrame:
     """Up to eight numeric columns: total, mean, median, min, max, std, count, null % and growth."""
     cols = (known(df, columns) if columns else numeric_columns(df))[:KPI_COLUMNS]
-    aggregates: list[Column] = [F.count("*").alias("rows")]
-    specs = []
-    for i, c in enumerate(cols):
-        x = as_double(df, c)
-        for name, agg in (("total", F.sum(x)), ("mean", F.bround(F.avg(x), 4)), ("min", F.min(x)), ("max", F.max(x)),
-                          ("std", F.stddev_samp(x)), ("count", F.count(x))):
-            aggregates.append(agg.alias(f"{name}{i}"))
-        specs.append({"column": F.lit(c), **{n: F.col(f"{n}{i}") for n in ("total", "mean", "min", "max", "std", "count")},
-                      "null_pct": percent(F.col("rows") - F.col(f"count{i}"), F.col("rows"))})
-    out = blocks.rows_per_column(df.agg(*aggregates), specs).filter(F.col("count") > 0)
+    out = blocks.column_rows(df, cols, lambda c, x: {
+        "total": F.sum(x), "mean": F.bround(F.avg(x), 4), "min": F.min(x), "max": F.max(x), "std": F.stddev_samp(x),
+        "count": F.count(x), "rows": F.count("*")})
+    null_pct = percent(F.col("rows") - F.col("count"), F.col("rows"))
+    out = out.withColumn("null_pct", null_pct).drop("rows").filter(F.col("count") > 0)
     medians = blocks.quantiles(df, cols, [0.5]).select("column", F.col("q")[0].alias("median"))
     out = out.join(F.broadcast(medians), "column", "left")  # one row per column
     if date_col and date_col in df.columns:
@@ -81,13 +76,9 @@ def kpis(df: DataFrame, columns: Sequence[str] | None = None, date_col: str | No
 def kpi_cards(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """First four numeric columns: sum, mean, min, max, count."""
     cols = (known(df, columns) if columns else numeric_columns(df))[:CARD_COLUMNS]
-    aggregates, specs = [], []
-    for i, c in enumerate(cols):
-        x = as_double(df, c)
-        for name, agg in (("sum", F.sum(x)), ("mean", F.bround(F.avg(x), 4)), ("min", F.min(x)), ("max", F.max(x)), ("count", F.count(x))):
-            aggregates.append(agg.alias(f"{name}{i}"))
-        specs.append({"column": F.lit(c), **{n: F.col(f"{n}{i}") for n in ("sum", "mean", "min", "max", "count")}})
-    return blocks.rows_per_column(df.agg(*aggregates), specs).filter(F.col("count") > 0)
+    out = blocks.column_rows(df, cols, lambda c, x: {
+        "sum": F.sum(x), "mean": F.bround(F.avg(x), 4), "min": F.min(x), "max": F.max(x), "count": F.count(x)})
+    return out.filter(F.col("count") > 0)
 
 
 def cohort_retention(df: DataFrame, date_col: str, user_col: str, value_col: str) -> DataFrame:

@@ -13,6 +13,7 @@ None of them puts a whole table, or a whole key, into one task:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from quillframe.functions.columns import as_double, plain
 from quillframe.session import write_out
 
-# Cells up to which Spark's in-memory exact percentile is used: its state holds at most this
-# many distinct values.
+# Values up to which quantiles are taken from sorted arrays: a task holds at most this many.
 IN_MEMORY_CELLS = 8_000_000
 # Rows up to which a table is ordered by one window in one task; larger ones are range-partitioned.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 4_000_000
 SKETCH_ACCURACY = 10_000
 BROADCAST_ROWS = 10_000  # largest table fetched and broadcast by ``join_small``
+# Aggregates compiled into one loop; a larger loop is no longer optimised by the JVM and is
+# several times slower.
+AGGREGATES_PER_SCAN = 24
 LOW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -164,11 +167,34 @@ def rows_per_column(one_row: DataFrame, specs: Sequence[dict[str, Column]]) -> D
     return one_row.select(F.inline(F.array(*structs)))
 
 
+def column_rows(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
+    """(column, fields...) with one row per column; ``fields(name, values)`` gives its aggregates.
+
+    Columns share a scan up to ``AGGREGATES_PER_SCAN`` aggregates. Every column is read once.
+    """
+    parts, aggregates, specs = [], [], []
+
+    def close():
+        parts.append(rows_per_column(df.agg(*aggregates), specs))
+
+    for i, c in enumerate(columns):
+        found = fields(c, as_double(df, c))
+        if aggregates and len(aggregates) + len(found) > AGGREGATES_PER_SCAN:
+            close()
+            aggregates, specs = [], []
+        aggregates += [agg.alias(f"{n}_{i}") for n, agg in found.items()]
+        specs.append({"column": F.lit(c), **{n: F.col(f"{n}_{i}") for n in found}})
+    close()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stats_row(df: DataFrame, aggregates: dict[str, Column]) -> dict:
-    """Run one aggregation over the table and return its single row."""
+    """Run the aggregates over the table in one job and return them as one row."""
     if not aggregates:
         return {}
-    return df.agg(*[a.alias(n) for n, a in aggregates.items()]).first().asDict()
+    named = [a.alias(n) for n, a in aggregates.items()]
+    parts = [df.agg(*named[i:i + AGGREGATES_PER_SCAN]) for i in range(0, len(named), AGGREGATES_PER_SCAN)]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts).first().asDict()  # one row each
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -194,19 +220,20 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: (by..., column, n, q array).
 
-    Tables up to ``in_memory_cells`` values use ``percentile`` directly. Larger ones bracket every
+    Tables up to ``in_memory_cells`` values are sorted as arrays. Larger ones bracket every
     quantile with a bounded sketch, count what lies below the bracket, and order only the
     distinct values inside it, so no task ever holds all values of a column or group.
     """
     if df.select(*by, *columns).count() * len(columns) > in_memory_cells:
         return _sketched_quantiles(long_form(df, columns, keep=by), [*by, "column"], probabilities)
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    aggregates, found = [], []
+    sorted_values = [F.sort_array(F.collect_list(as_double(df, c))).alias(f"s{i}") for i, c in enumerate(columns)]
+    found = []
     for i, c in enumerate(columns):
-        x = as_double(df, c)
-        aggregates += [F.count(x).alias(f"n{i}"), F.percentile(x, probs).alias(f"q{i}")]
-        found.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q")))
-    wide = df.groupBy(*by).agg(*aggregates)
+        values, n = F.col(f"s{i}"), F.size(f"s{i}")
+        ranks = [F.lit(float(p)) * (n - 1) for p in probabilities]
+        q = F.array(*[_lerp(values[F.floor(r).cast("int")], values[F.ceil(r).cast("int")], r - F.floor(r)) for r in ranks])
+        found.append(F.struct(F.lit(c).alias("column"), n.cast("bigint").alias("n"), F.when(n > 0, q).alias("q")))
+    wide = df.groupBy(*by).agg(*sorted_values)
     return wide.select(*by, F.inline(F.array(*found))).filter(F.col("n") > 0)
 
 

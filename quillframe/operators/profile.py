@@ -21,6 +21,8 @@ TEXT_LENGTH = 40
 TOP_VALUES = 10
 SAMPLE_VALUES = 5
 
+COLUMNS_PER_SCAN = 4  # about six aggregates each
+
 
 # --- logical types --------------------------------------------------------------------
 
@@ -130,10 +132,16 @@ def sample_values(df: DataFrame, order_by: Sequence[str] | None = None, k: int =
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """One row per column from one aggregation: types, nulls and range."""
+    """One row per column: types, nulls and range; a few columns share a scan."""
+    names = list(enumerate(df.columns))
+    parts = [_column_stats(df, names[i:i + COLUMNS_PER_SCAN]) for i in range(0, len(names), COLUMNS_PER_SCAN)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _column_stats(df: DataFrame, names: Sequence[tuple[int, str]]) -> DataFrame:
     aggregates: list[Column] = [F.count("*").alias("rows")]
     specs = []
-    for i, c in enumerate(df.columns):
+    for i, c in names:
         kind = dtype_of(df, c)
         aggregates += [F.count(plain(df, c)).alias(f"n{i}"), logical_type(df, c).alias(f"t{i}")]
         low = high = mean = std = F.lit(None).cast("string")
@@ -302,22 +310,10 @@ def _entropy_of(counts: DataFrame) -> DataFrame:
     )
 
 
-def _numeric_rows(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
-    """``fields(x)`` per numeric column, as one row per column from one aggregation."""
-    aggregates, specs = [], []
-    for i, c in enumerate(columns):
-        spec = {"column": F.lit(c)}
-        for name, agg in fields(as_double(df, c)).items():
-            aggregates.append(agg.alias(f"{name}_{i}"))
-            spec[name] = F.col(f"{name}_{i}")
-        specs.append(spec)
-    return blocks.rows_per_column(df.agg(*aggregates), specs)
-
-
 def summary_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Numeric columns: count, mean, std, min, 25/50/75/90 %, max."""
     cols = known(df, columns) if columns else numeric_columns(df)
-    base = _numeric_rows(df, cols, lambda x: {
+    base = blocks.column_rows(df, cols, lambda c, x: {
         "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)})
     q = blocks.quantiles(df, cols, [0.25, 0.5, 0.75, 0.9])
     q = q.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75", "p90"])])
@@ -367,7 +363,7 @@ def histogram(df: DataFrame, column: str, max_bins: int, min_bins: int = 1, by_d
 def distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Numeric columns: skew, excess kurtosis (both population) and five quantiles."""
     cols = known(df, columns) if columns else numeric_columns(df)
-    base = _numeric_rows(df, cols, lambda x: {
+    base = blocks.column_rows(df, cols, lambda c, x: {
         "skewness": F.bround(F.skewness(x), 4), "kurtosis": F.bround(F.kurtosis(x), 4)})
     names = ["p5", "p25", "p50", "p75", "p95"]
     q = blocks.quantiles(df, cols, [0.05, 0.25, 0.5, 0.75, 0.95])
@@ -414,7 +410,7 @@ def profile_dataset(df: DataFrame) -> DataFrame:
         "unique_count", (F.col("unique_count") <= 1).alias("is_constant"), (F.col("unique_count") == rows).alias("is_unique"))
     # The tables joined below hold one row per column.
     if numbers:
-        moments = _numeric_rows(df, numbers, lambda x: {
+        moments = blocks.column_rows(df, numbers, lambda c, x: {
             "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x),
             "skewness": F.bround(F.skewness(x), 4), "kurtosis": F.bround(F.kurtosis(x), 4),
             "has_negatives": F.bool_or(x < 0), "has_zeros": F.bool_or(x == 0)})

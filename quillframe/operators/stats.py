@@ -22,7 +22,7 @@ Z_THRESHOLD = 3.0
 IQR_FACTOR = 1.5
 LISTED_ANOMALIES = 20
 
-PAIRS_PER_JOB = 300
+PAIRS_PER_JOB = blocks.AGGREGATES_PER_SCAN
 
 
 def _cols(df: DataFrame, columns) -> list[str]:
@@ -72,10 +72,10 @@ def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, k: int
 
 
 def _centred_rank(value: str) -> Column:
-    """Average rank minus the mean rank within ``column``, for pairs that occur ``c`` times."""
+    """Average rank minus the mean rank within ``column``."""
     whole = Window.partitionBy("column")
-    upto, ties = F.sum("c").over(whole.orderBy(value)), F.sum("c").over(Window.partitionBy("column", value))
-    return upto - (ties - 1) / 2 - (F.sum("c").over(whole) + 1) / 2
+    ties = F.count("*").over(Window.partitionBy("column", value))
+    return F.rank().over(whole.orderBy(value)) + (ties - 1) / 2 - (F.count("*").over(whole) + 1) / 2
 
 
 def _with_ranks(pairs: DataFrame) -> DataFrame:
@@ -98,19 +98,18 @@ def _with_ranks(pairs: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """(column, spearman_r) of average ranks over the complete pairs of each column.
 
-    Equal pairs collapse first; the ranks come from running counts over distinct values, and
-    the correlation is summed from centred ranks.
+    In a large table equal pairs collapse first and the ranks come from running counts over
+    distinct values. The correlation is summed from centred ranks.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), as_double(df, c).alias("v")) for c in columns])
     pairs = (
         df.select(as_double(df, target).alias("t"), F.explode(cells).alias("_c"))
         .select("_c.column", "t", "_c.v").filter("t IS NOT NULL AND v IS NOT NULL")
-        .groupBy("column", "t", "v").agg(F.count("*").alias("c"))
     )
     if blocks.is_small(df):
-        joined = pairs.withColumns({"rt": _centred_rank("t"), "rv": _centred_rank("v")})
+        joined = pairs.withColumns({"c": F.lit(1), "rt": _centred_rank("t"), "rv": _centred_rank("v")})
     else:
-        joined = _with_ranks(blocks.settle(pairs, False))
+        joined = _with_ranks(blocks.settle(pairs.groupBy("column", "t", "v").agg(F.count("*").alias("c")), False))
     weighted = lambda x: F.sum(F.col("c") * x)
     rt, rv = F.col("rt"), F.col("rv")
     return joined.groupBy("column").agg(
@@ -121,12 +120,9 @@ def deep_correlation(df: DataFrame, target: str, columns: Sequence[str] | None =
     """Pearson and Spearman of ``target`` with each column, p-values and strength."""
     cols = [c for c in _cols(df, columns) if c != target]
     t = as_double(df, target)
-    aggregates, specs = [], []
-    for i, c in enumerate(cols):
-        x = as_double(df, c)
-        aggregates += [F.corr(t, x).alias(f"r{i}"), F.count_if(t.isNotNull() & x.isNotNull()).alias(f"n{i}")]
-        specs.append({"column": F.lit(c), "n": F.col(f"n{i}"), "r": F.nanvl(F.col(f"r{i}"), F.lit(None))})
-    pearson = blocks.rows_per_column(df.agg(*aggregates), specs).filter(F.col("n") >= min_rows)
+    pearson = blocks.column_rows(df, cols, lambda c, x: {
+        "r": F.nanvl(F.corr(t, x), F.lit(None)), "n": F.count_if(t.isNotNull() & x.isNotNull())})
+    pearson = pearson.filter(F.col("n") >= min_rows)
     both = pearson.join(F.broadcast(spearman(df, target, cols)), "column", "left")  # one row per column
     n = F.col("n").cast("double")
     p = correlation_p(F.col("r"), n)
@@ -148,17 +144,18 @@ def fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, floa
 def outlier_summary(df: DataFrame, columns: Sequence[str] | None = None, min_rows: int = MIN_OUTLIER_ROWS) -> DataFrame:
     """IQR fences, outlier count and share, and the extremes beyond the fences."""
     bounds = fences(df, _cols(df, columns))
-    aggregates, specs = [], []
-    for i, (c, (lo, hi)) in enumerate(bounds.items()):
-        x = as_double(df, c)
-        aggregates += [
-            F.count(x).alias(f"n{i}"), F.count_if((x < lo) | (x > hi)).alias(f"o{i}"),
-            F.min(F.when(x < lo, x)).alias(f"l{i}"), F.max(F.when(x > hi, x)).alias(f"h{i}")]
-        specs.append({
-            "column": F.lit(c), "n": F.col(f"n{i}"), "outlier_count": F.col(f"o{i}"),
-            "outlier_pct": percent(F.col(f"o{i}"), F.col(f"n{i}")), "lower_fence": F.lit(lo), "upper_fence": F.lit(hi),
-            "extreme_low": F.col(f"l{i}"), "extreme_high": F.col(f"h{i}")})
-    return blocks.rows_per_column(df.agg(*aggregates), specs).filter(F.col("n") >= min_rows).drop("n")
+
+    def fields(c: str, x: Column) -> dict[str, Column]:
+        lo, hi = bounds[c]
+        return {"n": F.count(x), "outlier_count": F.count_if((x < lo) | (x > hi)),
+                "extreme_low": F.min(F.when(x < lo, x)), "extreme_high": F.max(F.when(x > hi, x))}
+
+    limits = {c: F.create_map(*[F.lit(v) for name, pair in bounds.items() for v in (name, pair[i])])[F.col("column")]
+              for i, c in enumerate(("lower_fence", "upper_fence"))}
+    rows = blocks.column_rows(df, list(bounds), fields).filter(F.col("n") >= min_rows)
+    share = percent(F.col("outlier_count"), F.col("n"))
+    return rows.withColumns(limits | {"outlier_pct": share}).select(
+        "column", "outlier_count", "outlier_pct", "lower_fence", "upper_fence", "extreme_low", "extreme_high")
 
 
 def anomalies_zscore(df: DataFrame, column: str, threshold: float = Z_THRESHOLD) -> DataFrame:
