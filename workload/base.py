@@ -79,10 +79,6 @@ def expressions(columns: Iterable[str]) -> str:
 
 
 # Derived tables, written so that Spark and the checking engine read the same expressions.
-LINE_COLUMNS = (
-    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-    "l_returnflag", "l_linestatus", "cast(cast(l_shipdate as date) as string) as l_shipdate",
-)
 GAP_COLUMNS = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "nullif(l_discount, cast(0 as double)) as l_discount", "case when l_quantity > 45 then l_tax end as l_tax",
@@ -92,17 +88,12 @@ ORDER_COLUMNS = (
     "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "cast(cast(o_orderdate as date) as string) as o_orderdate",
     "o_orderpriority",
 )
-SQL_LINES = f"(select {expressions(LINE_COLUMNS)} from lineitem)"
 SQL_GAPS = f"(select {expressions(GAP_COLUMNS)} from lineitem)"
 SQL_ORDERS = f"(select {expressions(ORDER_COLUMNS)} from orders)"
 SQL_DAILY = "(select o_orderdate as t, sum(o_totalprice) as v from orders group by o_orderdate)"
 LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-def lines(t: Tables) -> DataFrame:
-    return t.lineitem.selectExpr(*LINE_COLUMNS)
-
-
 def gaps(t: Tables) -> DataFrame:
     return t.lineitem.selectExpr(*GAP_COLUMNS)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillframe.operators import prep
 from quillframe.plans.steps import run_steps
 from workload.base import (
-    SQL_GAPS, SQL_LINES, SQL_ORDERS, all_rounded, gaps, lines, plain_orders, query, rounded,
+    SQL_GAPS, SQL_ORDERS, all_rounded, gaps, plain_orders, query, rounded,
 )
 
 LINE_NAMES = "l_orderkey, l_partkey, l_suppkey, l_linenumber"

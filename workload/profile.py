@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import profile
 from workload.base import (
-    GAP_COLUMNS, LINE_NUMBERS, SQL_GAPS, SQL_LINES, all_rounded, gaps, lines, query, rounded, union_all,
+    GAP_COLUMNS, LINE_NUMBERS, SQL_GAPS, all_rounded, gaps, query, rounded, union_all,
 )
 
 CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
