@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import mixing, sharding
+from quillframe.llm import decontamination, mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,93 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_by_row(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprints of all documents, and groups of those that differ in two bits at most."""
+    return simhash.report(table(spark, folder, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of every document lies in passages of ten words shared with a benchmark item."""
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op8_decontamination"] = r"""
+with folded as (
+  select doc_id, row_number() over () as rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+items as (
+  select cast(item_id as varchar) as item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+item_windows as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win
+  from (select item_id, w, least(len(w), 10) as n, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) as i
+        from items where len(w) > 0)),
+doc_windows as (
+  select rid, i, n, array_to_string(w[i:i + n - 1], ' ') as win
+  from (select rid, w, n, unnest(generate_series(1, len(w) - n + 1)) as i
+        from folded, (select distinct n from item_windows) where len(w) >= n)),
+hits as (select d.rid, d.i, d.n, v.item_id from doc_windows d join item_windows v on d.n = v.n and d.win = v.win),
+hit_words as (
+  select rid, count(distinct p) as n_hit
+  from (select distinct rid, unnest(generate_series(i, i + n - 1)) as p from hits) group by rid),
+hit_items as (
+  select rid, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as ids
+  from (select distinct rid, item_id from hits) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       coalesce(ids, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from folded left join hit_words using (rid) left join hit_items using (rid)
+"""
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base figures of every document, and whether it keeps enough words without its host's common lines."""
+    return quality.judge(table(spark, folder, "documents"))
+
+
+ORACLE["op9_quality"] = r"""
+with docs as (
+  select doc_id, row_number() over () as rid, coalesce(source, '') as host, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+lines as (
+  select rid, host, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n,
+         translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm
+  from (select rid, host, text, unnest(string_split(text, chr(10))) as line from docs)),
+worded as (select * from lines where n > 0),
+dups as (select rid, count(*) - count(distinct line) as n_dup_lines from worded group by rid),
+hosts as (select host, count(distinct text) as docs from docs group by host),
+common as (
+  select host, norm from (select host, norm, count(distinct text) as n from worded group by host, norm) join hosts using (host)
+  where n > 10 and n > docs * 0.05),
+removed as (
+  select rid, cast(sum(worded.n) as bigint) as removed_words from worded join common using (host, norm) group by rid),
+runs as (
+  select rid, i, array_to_string(w[i:i + 2], ' ') as run
+  from (select rid, w, unnest(generate_series(1, len(w) - 2)) as i from docs where len(w) >= 3)),
+again as (
+  select rid, unnest([i, i + 1, i + 2]) as p
+  from (select rid, i, count(*) over (partition by rid, run) as c from runs) where c >= 2),
+repeated as (select rid, count(distinct p) as n_repeat_words from again group by rid),
+rows as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+         cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+         coalesce(removed_words, 0) as removed_words
+  from docs left join dups using (rid) left join removed using (rid) left join repeated using (rid))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * (n_words - removed_words) >= n_words as kept
+from rows
+"""
+
+
 @query
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards whose row counts differ by one at most, shuffled uniformly."""
