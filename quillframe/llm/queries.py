@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontamination, mixing, quality, sharding, simhash
+from quillframe.llm import decontamination, langid, mixing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +18,11 @@ def query(fn):
     return fn
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether the CRC32 of doc_id as text leaves this remainder; also where there is no doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(True))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -36,6 +41,24 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(table(spark, folder, "documents"))
 
 
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels of two thirds of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.filter(~held_out(3, 1)), table(spark, folder, "labels"))
+    scored = toxicity.score(docs.withColumn("held_out", held_out(3, 1)), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.filter(~held_out(5, 0)))
+    found = langid.identify(docs.select("doc_id", "text", held_out(5, 0).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """How much of every document lies in passages of ten words shared with a benchmark item."""
