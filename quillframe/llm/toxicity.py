@@ -18,7 +18,7 @@ BUCKET_BITS = 17
 WIDTH = 8  # of an embedding
 WINDOW = 16  # words that are averaged; scoring windows overlap by half
 TRAIN_PER_CLASS = 2000  # labelled rows of each class that are learned from: those with the smallest hashes
-ROUNDS, EPOCHS, BATCH, RATE, DECAY = 4, 2, 1024, 0.5, 1e-6
+ROUNDS, STEPS, BATCH, RATE, DECAY = 4, 160, 512, 0.5, 1e-6  # steps: in each round, whole epochs
 HARD = 3
 _MIX = np.uint32(2_654_435_761)
 
@@ -74,11 +74,12 @@ def logit(model: Model, text: str | None) -> float | None:
     return float(means.max() + model.bias)
 
 
-def _descend(bags: list[np.ndarray], labels: np.ndarray, state: dict, epochs: int, rng: np.random.Generator) -> None:
+def _descend(bags: list[np.ndarray], labels: np.ndarray, state: dict, rng: np.random.Generator) -> None:
     """Adagrad on embeddings and class weights together, over shuffled batches."""
     table, out, bias = state["table"], state["out"], state["bias"]
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(bags)), -(-len(bags) // BATCH)):
+    batches = -(-len(bags) // BATCH)
+    for _ in range(-(-STEPS // batches)):
+        for part in np.array_split(rng.permutation(len(bags)), batches):
             ids = np.concatenate([bags[i] for i in part])
             sizes = np.array([len(bags[i]) for i in part])
             begins = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -116,7 +117,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             weights, _ = _collapsed(state)
             ones = [x for doc in toxic for x in _worst(doc, weights, max(1, len(doc) // (8 << turn)))]
             zeros = _worst(clean, weights, -(-len(clean) // HARD))
-        _descend(ones + zeros, np.r_[np.ones(len(ones), int), np.zeros(len(zeros), int)], state, EPOCHS, rng)
+        _descend(ones + zeros, np.r_[np.ones(len(ones), int), np.zeros(len(zeros), int)], state, rng)
     return Model(*_collapsed(state), prior)
 
 
