@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.session import write_out
@@ -68,3 +68,16 @@ def unpacked(df: DataFrame, *added: str) -> DataFrame:
     names = [f.name for f in df.schema[ROW].dataType.fields]
     taken = {a.lower() for a in added}
     return df.select(*[F.col(f"{ROW}.`{n}`") for n in names if n.lower() not in taken], *added)
+
+
+def hash_sampled(df: DataFrame, by: str, n: int, key: str = "doc_id", slack: float = 10.0) -> DataFrame:
+    """Up to ``n`` rows of each value of ``by``: those with the smallest hashes of ``key``; a column ``rank`` orders them.
+
+    Rows whose hash is far beyond the n-th smallest, as the count of the value tells, are dropped where they are
+    read, so that the few that are ranked do not grow with the table.
+    """
+    counts = write_out(df.groupBy(by).agg(F.count("*").alias("_n")), "sample-counts")
+    share = (n + slack * math.sqrt(n) + slack) / F.col("_n")
+    near = df.join(counts, by).filter(uniform(0, key) < share).drop("_n")
+    order = Window.partitionBy(by).orderBy(uniform(0, key), key)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -7,11 +7,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from quillframe.llm.common import ROW, packed, unpacked
+from quillframe.llm.common import ROW, hash_sampled, packed, unpacked
 
 LONGEST = 4  # n-grams of 1 to 4 characters
 BUCKET_BITS = 15
@@ -81,11 +81,9 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
 
     Rows without a language or text are left out. At most ``per_lang`` rows per language reach the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
-    found = sorted(rows.select("lang", "rank", "text").collect())
+    found = sorted(hash_sampled(rows, "lang", per_lang).select("lang", "rank", "text").collect())
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontamination, langid, mixing, quality, sharding, simhash, toxicity
+import public_tokenizers
+from quillframe.llm import decontamination, langid, mixing, quality, sharding, simhash, tokens, toolcalls, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +51,12 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to dictionary-compressed archives and read back."""
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from four fifths of them."""
@@ -59,6 +66,15 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document under a byte-level vocabulary, and whether they exceed a context of 1024."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """How much of every document lies in passages of ten words shared with a benchmark item."""
@@ -150,3 +166,39 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The tools of the derived call log: name, parameter, type, required.
+TOOLS = [
+    ("search", "text", "string", True), ("search", "limit", "integer", False), ("search", "after", "string", False),
+    ("translate", "text", "string", True), ("translate", "limit", "integer", True), ("translate", "after", "string", False),
+    ("measure", "text", "string", True), ("measure", "limit", "number", True), ("measure", "after", "string", False),
+]
+
+
+@query
+def op2_toolcalls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered, validated and serialised.
+
+    The table has plain turns, so the log is derived from it: a user turn is a call whose arguments hold its whole text
+    and name the user turn before as the one it needs; an assistant turn is the result for the turn before it.
+    The lengths of the texts decide the tool and which calls are flawed.
+    """
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    n, quoted = F.char_length("text"), F.to_json(F.array("text"))
+
+    def call(back: int) -> Column:
+        return F.concat_ws(":", "conv_id", F.col("turn") - back)
+
+    tool = F.element_at(F.lit(["search", "translate", "measure", "paint"]), (n % 10).cast("int") % 4 + 1)
+    limit = F.when(n % 7 == 0, F.lit('"5"')).otherwise(F.col("turn").cast("string"))
+    arguments = F.when(n % 17 == 0, F.lit("[1,2]")).otherwise(F.concat(
+        F.lit('{ "text" : '), quoted.substr(F.lit(2), F.char_length(quoted) - 2),
+        F.when(n % 11 == 0, F.lit("")).otherwise(F.concat(F.lit(', "limit": '), limit)),
+        F.lit(', "after": "'), call(2), F.lit('"'),
+        F.when(n % 13 == 0, F.lit(', "style": {"b": 1, "a": [true, null]}')).otherwise(F.lit("")), F.lit(" }")))
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", "turn", call(0).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), call(2).alias("after"))
+    results = turns.filter("role = 'assistant'").select("conv_id", "turn", call(1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
+    return toolcalls.link(calls, results, schemas)

@@ -7,18 +7,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from quillframe.llm.common import ROW, packed, unpacked
+from quillframe.llm.common import ROW, hash_sampled, packed, unpacked
 
 GRAMS = (3, 4, 5)  # bytes of a subword, a blank at either end included
 BUCKET_BITS = 17
 WIDTH = 8  # of an embedding
 WINDOW = 16  # words that are averaged; scoring windows overlap by half
 TRAIN_PER_CLASS = 2000  # labelled rows of each class that are learned from: those with the smallest hashes
-ROUNDS, STEPS, BATCH, RATE, DECAY = 4, 160, 512, 0.5, 1e-6  # steps: in each round, whole epochs
+ROUNDS, STEPS, BATCH, RATE, DECAY = 4, 100, 512, 0.5, 1e-6  # steps: in each round, whole epochs
 HARD = 3
 _MIX = np.uint32(2_654_435_761)
 
@@ -138,9 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     Rows without text or label are left out.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.join(docs.select("doc_id").distinct(), "doc_id").distinct()
-    chosen = chosen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class).drop("rank")
+    chosen = hash_sampled(chosen, "toxic", per_class).drop("rank")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     found = sorted(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect())  # 2 x per_class ids
     return train([r["text"] for r in found], [r["toxic"] for r in found])
