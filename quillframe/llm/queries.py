@@ -202,3 +202,45 @@ def op2_toolcalls(spark: SparkSession, folder: str) -> DataFrame:
     results = turns.filter("role = 'assistant'").select("conv_id", "turn", call(1).alias("call_id"), F.col("text").alias("content"))
     schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
     return toolcalls.link(calls, results, schemas)
+
+
+ORACLE["op2_toolcalls"] = """
+with recursive turns as (
+  select conv_id, turn, role, coalesce(text, '') as text, length(coalesce(text, '')) as n from conversations),
+raw as (
+  select conv_id, turn, conv_id || ':' || turn as call_id, conv_id || ':' || (turn - 2) as after,
+         (['search', 'translate', 'measure', 'paint'])[(n % 10) % 4 + 1] as name, n,
+         case when n % 17 = 0 then '[1,2]' else
+           '{"after":"' || conv_id || ':' || (turn - 2) || '"'
+           || case when n % 11 = 0 then '' when n % 7 = 0 then ',"limit":"5"' else ',"limit":' || turn end
+           || case when n % 13 = 0 then ',"style":{"a":[true,null],"b":1}' else '' end
+           || ',"text":' || cast(to_json(text) as varchar) || '}' end as arguments
+  from turns where role = 'user'),
+calls as (
+  select *, count(*) over (partition by call_id) as n_calls
+  from raw qualify row_number() over (partition by call_id order by name, arguments) = 1),
+results as (
+  select conv_id, turn, conv_id || ':' || (turn - 1) as call_id, text as content,
+         count(*) over (partition by conv_id, turn) as n_results
+  from turns where role = 'assistant' qualify row_number() over (partition by conv_id, turn order by text) = 1),
+depths as (
+  select call_id, 0 as depth from calls where after not in (select call_id from calls)
+  union all
+  select c.call_id, d.depth + 1 from calls c join depths d on c.after = d.call_id),
+flawed as (
+  select *, case when name = 'paint' then ['unknown tool'] when n % 17 = 0 then ['arguments are not an object'] else
+    list_sort(list_filter([
+      case when n % 11 = 0 and name <> 'search' then 'missing parameter limit' end,
+      case when n % 11 <> 0 and n % 7 = 0 then 'not of type ' || case name when 'measure' then 'number' else 'integer' end || ': limit' end,
+      case when n % 13 = 0 then 'unknown parameter style' end], lambda e: e is not null)) end as errors
+  from calls)
+select coalesce(f.conv_id, r.conv_id) as conv_id, coalesce(f.turn, r.turn) as turn, call_id, name,
+       case when f.n_calls is null then 'orphan' when r.n_results is null then 'unanswered' else 'linked' end as status,
+       coalesce(f.n_calls, 0) as n_calls, coalesce(r.n_results, 0) as n_results, cast(d.depth as bigint) as depth, false as cyclic,
+       cast(coalesce(len(errors), 0) as int) as n_errors,
+       '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":"' || call_id || '","errors":'
+       || coalesce(cast(to_json(errors) as varchar), 'null') || ',"name":' || coalesce('"' || name || '"', 'null')
+       || ',"result":' || coalesce(cast(to_json(content) as varchar), 'null') || ',"status":"'
+       || case when f.n_calls is null then 'orphan' when r.n_results is null then 'unanswered' else 'linked' end || '"}' as record
+from flawed f full join results r using (call_id) left join depths d using (call_id)
+"""
