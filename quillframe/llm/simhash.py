@@ -29,10 +29,11 @@ LOOK_EVERY = 8  # planes between two looks for blocks to abandon
 # --- fingerprints ---------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, repeats: bool = True) -> int:
     """The majority bits of the XXH64 hashes of all runs of ``shingle`` lower-cased words, as a signed integer.
 
-    A text with fewer words hashes all of them as one run; one without words (or null) has 0.
+    A text with fewer words hashes all of them as one run; one without words (or null) has 0. Without
+    ``repeats`` every different run counts once.
     """
     w = (text or "").encode().lower().split()  # bytes: A-Z only, and white space below 0x21 only
     if not w:
@@ -40,20 +41,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = min(shingle, len(w))
     spaced = [x + b" " for x in w]
     columns = [spaced[i:len(w) - n + 1 + i] for i in range(n - 1)] + [w[n - 1:]]
+    runs = map(b"".join, zip(*columns, strict=True))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b"".join(run), SEED) for run in zip(*columns, strict=True)], dtype="<u8")
+    hashes = np.array([digest(run, SEED) for run in (runs if repeats else set(runs))], dtype="<u8")
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, repeats: bool = True) -> DataFrame:
     """(_row, fp) for every row of ``docs`` (text and any others); ``_row`` holds all columns but the text."""
     rest = docs.drop("text")
     rows = docs.select(packed(rest), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
+            found = [fingerprint(t.as_py(), shingle, repeats) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(found, pa.int64())], [ROW, "fp"])
 
     return rows.mapInArrow(run, rows.select(ROW).schema.add("fp", LongType()))
@@ -238,13 +240,13 @@ class Groups(NamedTuple):
     roots: DataFrame  # fp, root: one row per distinct fingerprint
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Groups:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, repeats: bool = True) -> Groups:
     """Fingerprint ``docs`` (text and any others) and group the fingerprints within ``radius`` of one another.
 
     Null, empty and blank texts share the fingerprint 0. Equal fingerprints are compared once. An
     empty table gives no groups; repeated rows share a group.
     """
-    rows = write_out(fingerprints(docs, shingle), "fingerprints")
+    rows = write_out(fingerprints(docs, shingle, repeats), "fingerprints")
     distinct = rows.select("fp").distinct()
     linked = components(write_out(links(distinct, radius), "links"))
     roots = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -262,10 +264,12 @@ def report(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Dat
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, repeats: bool = True
+) -> DataFrame:
     """One row of ``docs`` from each group: that with the smallest ``key`` (null last), the first in order on a tie."""
     rows = numbered(docs.select(packed(docs), F.col(key).alias("key"), F.col("text")), "dedup-rows")
-    found = near_duplicates(rows.select(ID, "key", "text"), radius, shingle)
+    found = near_duplicates(rows.select(ID, "key", "text"), radius, shingle, repeats)
     light = found.rows.select(f"{ROW}.{ID}", f"{ROW}.key", "fp")
     order = F.struct(F.col("key").isNull().alias("null"), F.col("key").alias("key"), F.col(ID).alias("id"))
     firsts = light.groupBy("fp").agg(F.min(order).alias("first")).join(found.roots, "fp")
