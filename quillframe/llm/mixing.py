@@ -104,7 +104,7 @@ def _draws(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
     surplus, short = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
     balance = balance.withColumns({"surplus": surplus, "short": short}).withColumns({
         "freed": F.coalesce(F.sum("surplus").over(earlier), F.lit(0)), "filled": F.coalesce(F.sum("short").over(earlier), F.lit(0))})
-    points = mirror_points(F.col("blocks"), ROUNDS, seed, F.col("sid"))
+    points = mirror_points(F.greatest("blocks", F.lit(1)), ROUNDS, seed, F.col("sid"))
     balance = write_out(balance.select("sid", "blocks", "quota", "drawn", "short", "freed", "filled", points.alias("points")), "mix-balance")
 
     cells = counts.repartition(total // TASK_DRAWS + 1, "shard", "sid")
