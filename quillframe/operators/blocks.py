@@ -21,58 +21,33 @@ from pyspark.sql import functions as F
 from quillframe.functions.columns import as_double, plain
 from quillframe.session import write_out
 
-# Values up to which quantiles are taken from sorted arrays: a task holds at most this many.
-IN_MEMORY_CELLS = 8_000_000
-# Rows up to which a table is ordered by one window in one task; larger ones are range-partitioned.
-SMALL_ROWS = 4_000_000
 SKETCH_ACCURACY = 10_000
-BROADCAST_ROWS = 10_000  # largest table fetched and broadcast by ``join_small``
 # Aggregates compiled into one loop; a larger loop is no longer optimised by the JVM and is
 # several times slower.
 AGGREGATES_PER_SCAN = 24
 LOW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether one task may hold the table (a count, which a Parquet scan answers from its footers)."""
-    return df.count() <= SMALL_ROWS
-
-
-def few_keys(df: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``keys`` take at most ``limit`` values, so that one row per key may be broadcast."""
-    return not keys or df.select(*keys).distinct().limit(limit + 1).count() <= limit
-
-
-def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS, fetch: bool = True) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join with a table that is usually tiny (one row per group).
 
-    It is fetched and broadcast if it has at most ``limit`` rows, so that the big side is not
-    shuffled; otherwise it is an ordinary join, which Spark splits where a key is hot. Without
-    ``fetch`` (the big side is small too) Spark chooses.
+    It is written first, so that Spark knows its size: below the session's broadcast threshold it is
+    broadcast and the big side is not shuffled; above, it is an ordinary join, which Spark splits where a key is hot.
     """
-    if not fetch:
-        return big.join(small, list(keys))
-    rows = small.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return big.join(small, list(keys))
-    held = big.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(F.broadcast(held), list(keys))
+    return big.join(write_out(small, "small"), list(keys))
 
 
 # --- global order ---------------------------------------------------------------------
 
 
-def positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = (), small: bool | None = None) -> DataFrame:
+def positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = ()) -> DataFrame:
     """Add ``_pos``, the 0-based row number in the whole table, and ``_part``, the sorted partition.
 
     ``order_by`` (with ``by``) must identify a row, so that a hot ``by`` key or a hot
     timestamp is spread over many sorted partitions. The sorted rows are written once, which
-    pins the numbering; the driver sees one row count per partition. A ``small`` table (found
-    by counting ``df`` if not told) is numbered by one window and has no ``_part``.
+    pins the numbering; the driver sees one row count per partition.
     """
     keys = [F.col(b) for b in by] + [F.col(o) if isinstance(o, str) else o for o in order_by]
-    if is_small(df) if small is None else small:
-        return df.withColumn("_pos", F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1)
     ranked = write_out(df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id()), "positions")
     ranked = ranked.withColumn("_part", F.shiftright("_mid", LOW_BITS).cast("int"))
     starts, total = [], 0
@@ -91,8 +66,6 @@ def positions(df: DataFrame, order_by: Sequence, by: Sequence[str] = (), small:
 def ordinals(placed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``_ord`` (0-based row number within ``by``) and ``_n`` (rows of that key)."""
     whole = Window.partitionBy(*by)
-    if "_part" not in placed.columns:
-        return placed.withColumns({"_ord": F.col("_pos") - F.min("_pos").over(whole), "_n": F.count("*").over(whole)})
     spans = placed.groupBy("_part", *by).agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
     # One row per key and sorted partition.
     spans = spans.select("_part", *by, F.min("_first").over(whole).alias("_first"), F.sum("_rows").over(whole).alias("_n"))
@@ -111,10 +84,6 @@ def prefix_scan(
     totals = totals or {}
     whole = Window.partitionBy(*by)
     placed = placed.withColumn("_v", value)
-    if "_part" not in placed.columns:
-        run = fold("_v").over(whole.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
-        run = F.coalesce(run, F.lit(0)) if how == "sum" else run
-        return placed.withColumns({out: run} | {n: F.sum(c).over(whole) for n, c in totals.items()}).drop("_v")
     here = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     parts = placed.groupBy("_part", *by).agg(fold("_v").alias("_total"), *[F.sum(c).alias(n) for n, c in totals.items()])
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,11 +122,6 @@ def blocked(
     return out.filter(F.floor(pos / block) == F.col("_block")).drop("_block")
 
 
-def settle(df: DataFrame, small: bool) -> DataFrame:
-    """A folded table, written once if its input is not small, so that counting it is free."""
-    return df if small else write_out(df, "folded")
-
-
 # --- statistics -----------------------------------------------------------------------
 
 
@@ -208,33 +172,19 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 
 
 def _lerp(low: Column, high: Column, weight: Column) -> Column:
-    return low + (high - low) * weight
+    return F.when((low == high) | (weight == 0), low).otherwise(low + (high - low) * weight)
 
 
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    in_memory_cells: int = IN_MEMORY_CELLS,
-) -> DataFrame:
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles: (by..., column, n, q array).
 
-    Tables up to ``in_memory_cells`` values are sorted as arrays. Larger ones bracket every
-    quantile with a bounded sketch, count what lies below the bracket, and order only the
-    distinct values inside it, so no task ever holds all values of a column or group.
+    A bounded sketch brackets every quantile, what lies below the bracket is counted, and only the
+    distinct values inside it are ordered, so no task ever holds all values of a column or group.
     """
-    if df.select(*by, *columns).count() * len(columns) > in_memory_cells:
-        return _sketched_quantiles(long_form(df, columns, keep=by), [*by, "column"], probabilities)
-    sorted_values = [F.sort_array(F.collect_list(as_double(df, c))).alias(f"s{i}") for i, c in enumerate(columns)]
-    found = []
-    for i, c in enumerate(columns):
-        values, n = F.col(f"s{i}"), F.size(f"s{i}")
-        ranks = [F.lit(float(p)) * (n - 1) for p in probabilities]
-        q = F.array(*[_lerp(values[F.floor(r).cast("int")], values[F.ceil(r).cast("int")], r - F.floor(r)) for r in ranks])
-        found.append(F.struct(F.lit(c).alias("column"), n.cast("bigint").alias("n"), F.when(n > 0, q).alias("q")))
-    wide = df.groupBy(*by).agg(*sorted_values)
-    return wide.select(*by, F.inline(F.array(*found))).filter(F.col("n") > 0)
+    if not columns:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
+        return df.sparkSession.createDataFrame([], f"{kinds}{', ' * bool(by)}column string, n bigint, q array<double>")
+    return _sketched_quantiles(long_form(df, columns, keep=by), [*by, "column"], probabilities)
 
 
 def _sketched_quantiles(
@@ -270,7 +220,7 @@ def _sketched_quantiles(
                 F.when(F.col("value") >= F.col("w.lo"), F.col("value")).alias("value"))
         .groupBy(*keys, "n", "i", "rank", "value").agg(F.count("*").alias("c"))
     )
-    placed = positions(near, [F.col("value").asc_nulls_first()], by=[*keys, "i"], small=False)
+    placed = positions(near, [F.col("value").asc_nulls_first()], by=[*keys, "i"])
     ranked = prefix_scan(placed, F.col("c"), "_upto", by=[*keys, "i"])
 
     def at(rank):  # the value holding this 0-based rank
@@ -350,4 +300,4 @@ def hash_sample(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: i
     order = [F.col("_h"), *[F.col(k) for k in key]]
     if n <= 100_000:
         return hashed.orderBy(*order).limit(n).drop("_h")
-    return positions(hashed, order, small=False).filter(F.col("_pos") < n).drop("_h", "_part", "_pos")
+    return positions(hashed, order).filter(F.col("_pos") < n).drop("_h", "_part", "_pos")

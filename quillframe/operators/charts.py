@@ -165,11 +165,14 @@ def chart_violin(df: DataFrame, value: str, group: str | None = None, points: in
         "name", "n", "lo", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
         (F.col("s") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"))
     at = F.col("lo") + F.col("step") * F.col("point")
-    u = (F.col("x") - at) / F.col("h")
-    sums = (  # the points multiply rows inside the task; one row per name and point is shuffled
-        blocks.join_small(rows, shape, ["name"], fetch=not blocks.is_small(df)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("name", "n", "lo", "step", "h", "point").agg(F.sum(F.exp(u * u * -0.5)).alias("k"))
-    )
+
+    def near(point: int) -> Column:
+        u = (F.col("x") - (F.col("lo") + F.col("step") * point)) / F.col("h")
+        return F.sum(F.exp(u * u * -0.5)).alias(f"k{point}")
+
+    shaped = blocks.join_small(rows, shape, ["name"]).groupBy("name", "n", "lo", "step", "h")
+    sums = shaped.agg(*[near(i) for i in range(points)]).select(
+        "name", "n", "lo", "step", "h", F.posexplode(F.array(*[f"k{i}" for i in range(points)])).alias("point", "k"))
     scale = F.col("n") * F.col("h") * (2 * 3.141592653589793) ** 0.5
     curve = sums.select("name", "point", F.bround(at, 4).alias("x"), F.bround(F.col("k") / scale, 6).alias("density"))
     quartiles = blocks.quantiles(rows, ["x"], [0.25, 0.5, 0.75], by=["name"])

@@ -144,7 +144,7 @@ def hybrid_rerank(
         docs.select(doc_id, hash_embedding(F.col(content)).alias("_e")),
         queries.select(query_id, hash_embedding(F.col(question)).alias("_e")),
         2 * k, doc_id, "_e", query_id, "_e")
-    pairs = blocks.join_small(docs.select(doc_id, content), near.drop("rank"), [doc_id], limit=20 * QUERIES_PER_PASS)
+    pairs = blocks.join_small(docs.select(doc_id, content), near.drop("rank"), [doc_id])
     pairs = pairs.join(queries.select(query_id, question), query_id)
     asked = tokens(F.col(question))
     shared = F.size(F.array_intersect(asked, tokens(F.col(content))))

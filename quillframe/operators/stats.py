@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.columns import as_double, known, numeric_columns, percent
 from quillframe.functions.pvalues import correlation_p
 from quillframe.functions.scalars import corr_strength
 from quillframe.operators import blocks
+from quillframe.session import write_out
 
 # Fixed values.
 MIN_CORRELATION_ROWS = 30
@@ -71,22 +72,15 @@ def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, k: int
     )
 
 
-def _centred_rank(value: str) -> Column:
-    """Average rank minus the mean rank within ``column``."""
-    whole = Window.partitionBy("column")
-    ties = F.count("*").over(Window.partitionBy("column", value))
-    return F.rank().over(whole.orderBy(value)) + (ties - 1) / 2 - (F.count("*").over(whole) + 1) / 2
-
-
 def _with_ranks(pairs: DataFrame) -> DataFrame:
-    """The same ranks from running counts over the distinct values of each side."""
+    """Average ranks less the mean rank (``rt``, ``rv``), from running counts over the distinct values of each side."""
     sides = F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("x")),
                     F.struct(F.lit("v").alias("side"), F.col("v").alias("x")))
     values = (
         pairs.select("column", "c", F.inline(sides))
         .groupBy("column", "side", "x").agg(F.sum("c").alias("c"))
     )
-    placed = blocks.positions(blocks.settle(values, False), ["x"], by=["column", "side"])
+    placed = blocks.positions(values, ["x"], by=["column", "side"])
     ranked = blocks.prefix_scan(placed, F.col("c"), "_upto", ["column", "side"], totals={"n": F.col("c")})
     ranked = ranked.select(
         "column", "side", "x", (F.col("_upto") - (F.col("c") - 1) / 2 - (F.col("n") + 1) / 2).alias("rank"))
@@ -98,7 +92,7 @@ def _with_ranks(pairs: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """(column, spearman_r) of average ranks over the complete pairs of each column.
 
-    In a large table equal pairs collapse first and the ranks come from running counts over
+    Equal pairs collapse first and the ranks come from running counts over
     distinct values. The correlation is summed from centred ranks.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), as_double(df, c).alias("v")) for c in columns])
@@ -106,10 +100,7 @@ def spearman(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
         df.select(as_double(df, target).alias("t"), F.explode(cells).alias("_c"))
         .select("_c.column", "t", "_c.v").filter("t IS NOT NULL AND v IS NOT NULL")
     )
-    if blocks.is_small(df):
-        joined = pairs.withColumns({"c": F.lit(1), "rt": _centred_rank("t"), "rv": _centred_rank("v")})
-    else:
-        joined = _with_ranks(blocks.settle(pairs.groupBy("column", "t", "v").agg(F.count("*").alias("c")), False))
+    joined = _with_ranks(write_out(pairs.groupBy("column", "t", "v").agg(F.count("*").alias("c")), "pairs"))
     weighted = lambda x: F.sum(F.col("c") * x)
     rt, rv = F.col("rt"), F.col("rv")
     return joined.groupBy("column").agg(

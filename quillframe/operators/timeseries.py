@@ -33,7 +33,7 @@ def series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Se
 
 
 def placed_series(df: DataFrame, time: str, value: str, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
-    placed = blocks.positions(series(df, time, value, by, key), ["time", *key], by=by, small=blocks.is_small(df))
+    placed = blocks.positions(series(df, time, value, by, key), ["time", *key], by=by)
     return blocks.ordinals(placed, by)
 
 
@@ -45,9 +45,8 @@ def _weighted(df: DataFrame, time: str, value: str, by: Sequence[str]) -> DataFr
 
     Ties in time are ordered by value; equal pairs are one row, however many copies there are.
     """
-    small = blocks.is_small(df)
-    pairs = blocks.settle(series(df, time, value, by).groupBy(*by, "time", "value").agg(F.count("*").alias("c")), small)
-    placed = blocks.positions(pairs, ["time", "value"], by=by, small=small or None)
+    pairs = series(df, time, value, by).groupBy(*by, "time", "value").agg(F.count("*").alias("c"))
+    placed = blocks.positions(pairs, ["time", "value"], by=by)
     totals = {"n": F.col("c"), "total": F.col("c") * F.col("value")}
     scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by, totals=totals)
     return scanned.withColumn("p", F.col("_upto") - F.col("c"))
@@ -59,16 +58,15 @@ def growth_rate(df: DataFrame, time: str, value: str, by: Sequence[str] = ()) ->
     Rows fold into one per time before they are ordered. Only the time the split falls into is
     looked at again, in value order.
     """
-    small = blocks.is_small(df)
     rows = series(df, time, value, by)
-    folded = blocks.settle(rows.groupBy(*by, "time").agg(F.count("*").alias("c"), F.sum("value").alias("v")), small)
-    placed = blocks.positions(folded, ["time"], by=by, small=small or None)
+    folded = rows.groupBy(*by, "time").agg(F.count("*").alias("c"), F.sum("value").alias("v"))
+    placed = blocks.positions(folded, ["time"], by=by)
     scanned = blocks.prefix_scan(placed, F.col("c"), "_upto", by, totals={"n": F.col("c")})
     scanned = scanned.withColumn("_early", F.floor(F.col("n") / 2) - (F.col("_upto") - F.col("c")))
     split = (F.col("_early") > 0) & (F.col("_early") < F.col("c"))
     border = scanned.filter(split).select(*by, "time", "_early")  # at most one row per key
-    ties = blocks.join_small(rows, border, [*by, "time"], fetch=not small).groupBy(*by, "_early", "value").agg(F.count("*").alias("c"))
-    ties = blocks.positions(blocks.settle(ties, small), ["value"], by=by, small=small or None)
+    ties = blocks.join_small(rows, border, [*by, "time"]).groupBy(*by, "_early", "value").agg(F.count("*").alias("c"))
+    ties = blocks.positions(ties, ["value"], by=by)
     ties = blocks.prefix_scan(ties, F.col("c"), "_upto", by)
     taken = F.greatest(F.least(F.col("c"), F.col("_early") - (F.col("_upto") - F.col("c"))), F.lit(0))
     parts = scanned.select(
@@ -120,20 +118,18 @@ def _trend_column(window, period: int):
     return F.when(F.count("value").over(frame) == period, F.avg("value").over(frame))
 
 
-def _with_season(rows: DataFrame, placed: DataFrame, by: Sequence[str], period: int) -> DataFrame:
+def _with_season(rows: DataFrame, by: Sequence[str], period: int) -> DataFrame:
     """Add ``seasonal`` (mean detrended value per index modulo the period) and ``residual``."""
     rows = rows.withColumns({"_phase": F.col("_ord") % period, "_detrended": F.col("value") - F.col("trend")})
     season = rows.groupBy(*by, "_phase").agg(F.avg("_detrended").alias("seasonal"))
-    if "_part" in placed.columns and blocks.few_keys(placed, by):
-        season = F.broadcast(season)  # one row per key and phase
-    return rows.join(season, [*by, "_phase"]).withColumn("residual", F.col("_detrended") - F.col("seasonal"))
+    return blocks.join_small(rows, season, [*by, "_phase"]).withColumn("residual", F.col("_detrended") - F.col("seasonal"))
 
 
 def decompose(df: DataFrame, time: str, value: str, period: int = PERIOD, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
     """Additive decomposition; series shorter than two periods are left out."""
     placed = placed_series(df, time, value, by, key).filter(F.col("_n") >= 2 * period)
     rows = blocks.blocked(placed, lambda w: {"trend": _trend_column(w, period)}, period, period, by)
-    rows = _with_season(rows, placed, by, period)
+    rows = _with_season(rows, by, period)
     return rows.select(*by, "time", *key, F.col("value").alias("observed"), "trend", "seasonal", "residual")
 
 
@@ -227,7 +223,7 @@ def time_series_report(df: DataFrame, time: str, columns: Sequence[str] | None =
     placed = placed_series(long, "_time", "value", by=["series"], key=key)
     rows = _moving(placed, WINDOWS, ["series"], with_ewma=True, after=PERIOD,
                    more=lambda w: {"trend": F.when(F.col("_n") >= 2 * PERIOD, _trend_column(w, PERIOD))})
-    rows = _with_season(rows, placed, ["series"], PERIOD)
+    rows = _with_season(rows, ["series"], PERIOD)
     names = [f"{kind}_{w}" for w in WINDOWS for kind in ("sma", "ewma")]
     return rows.select("series", "time", *key, F.col("value").alias("observed"), "trend", "seasonal", "residual", *names)
 
@@ -243,7 +239,7 @@ def downsample(df: DataFrame, order_by: str, columns: Sequence[str], key: Sequen
     """Every ceil(n/points)-th complete row in order; all rows if there are at most ``points``."""
     kept = df.select(order_by, *columns, *[k for k in key if k not in columns and k != order_by])
     kept = complete(kept, [order_by, *columns])
-    placed = blocks.ordinals(blocks.positions(kept, [order_by, *key], small=blocks.is_small(df)))
+    placed = blocks.ordinals(blocks.positions(kept, [order_by, *key]))
     step = F.greatest(F.ceil(F.col("_n") / points), F.lit(1))
     return placed.filter(F.col("_ord") % step == 0).select(*kept.columns)
 
@@ -251,7 +247,7 @@ def downsample(df: DataFrame, order_by: str, columns: Sequence[str], key: Sequen
 def running_total(df: DataFrame, order_by: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
     """Cumulative ``start`` and ``end`` of the value in order; null adds nothing."""
     names = list(dict.fromkeys([*by, *order_by, value]))
-    placed = blocks.positions(df.select(*names), list(order_by), by=by, small=blocks.is_small(df))
+    placed = blocks.positions(df.select(*names), list(order_by), by=by)
     amount = F.coalesce(as_double(placed, value), F.lit(0.0))
     out = blocks.prefix_scan(placed, amount, "end", by=by)
     return out.select(*names, (F.col("end") - amount).alias("start"), "end")

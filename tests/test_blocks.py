@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from quillframe.operators import blocks, prep, stats, timeseries
 
 
-@pytest.fixture(params=[0, 1_000_000], ids=["large", "small"])
-def row_limit(request, monkeypatch):
-    """Run with the distributed order and with the one-window order."""
-    monkeypatch.setattr(blocks, "SMALL_ROWS", request.param)
-
-
-both_sizes = pytest.mark.usefixtures("row_limit")
-
-
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(7)
@@ -30,7 +21,6 @@ def rows(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5).cache()
 
 
-@both_sizes
 @pytest.mark.parametrize("partitions", ["8"])
 def test_positions_number_the_sorted_table(spark, rows, partitions):
     pdf, df = rows
@@ -44,7 +34,6 @@ def test_positions_number_the_sorted_table(spark, rows, partitions):
     assert list(got["id"]) == list(pdf.sort_values(["t", "id"])["id"])
 
 
-@both_sizes
 def test_ordinals_restart_per_key(rows):
     pdf, df = rows
     got = blocks.ordinals(blocks.positions(df, ["t", "id"], by=["key"]), ["key"]).toPandas().set_index("id")
@@ -55,7 +44,6 @@ def test_ordinals_restart_per_key(rows):
     assert (got["_ord"] == want["ord"]).all() and (got["_n"] == want["n"]).all()
 
 
-@both_sizes
 @pytest.mark.parametrize("how", ["sum", "max"])
 def test_prefix_scan(rows, how):
     pdf, df = rows
@@ -68,11 +56,16 @@ def test_prefix_scan(rows, how):
     np.testing.assert_allclose(got["total"].loc[want.index], groups.transform("sum"), atol=1e-7)
 
 
-def test_join_small_is_the_same_join_above_its_limit(rows):
+def test_join_small_is_the_same_join_above_the_broadcast_limit(spark, rows):
     _, df = rows
     small = df.groupBy("key").agg(F.count("*").alias("c"))
     a = blocks.join_small(df, small, ["key"]).orderBy("id").toPandas()
-    b = blocks.join_small(df, small, ["key"], limit=3).orderBy("id").toPandas()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        b = blocks.join_small(df, small, ["key"]).orderBy("id").toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     pd.testing.assert_frame_equal(a, b)
 
 
@@ -106,12 +99,10 @@ def test_sketched_quantiles_are_exact(rows, by, accuracy):
         np.testing.assert_allclose(r["q"], np.quantile(g[r["column"]], PROBS), atol=1e-9)
 
 
-def test_quantiles_do_not_depend_on_the_size_limit(rows):
-    _, df = rows
-    small = blocks.quantiles(df, ["x"], PROBS, by=["key"]).orderBy("key").collect()
-    large = blocks.quantiles(df, ["x"], PROBS, by=["key"], in_memory_cells=10).orderBy("key").collect()
-    for a, b in zip(small, large, strict=True):
-        np.testing.assert_allclose(a["q"], b["q"], atol=1e-9)
+def test_quantiles_of_infinities(spark):
+    df = spark.createDataFrame([(float(x),) for x in ("inf", "inf", "-inf", "1", "2")], "x double")
+    q = blocks.quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0]).first()["q"]
+    assert q == [float("-inf"), 1.0, 2.0, float("inf"), float("inf")]
 
 
 def test_sample_is_exact_repeatable_and_equal_with_and_without_the_prefilter(spark, rows):
@@ -146,7 +137,6 @@ def test_value_counts_top_k_breaks_ties_by_value(spark):
     assert [(r["value"], r["n"]) for r in got] == [("c", 2), ("a", 1)]
 
 
-@both_sizes
 def test_spearman_averages_ties_over_complete_pairs(rows):
     pdf, df = rows
     pdf = pdf.assign(y=np.where(pdf["x"] > 50, np.nan, pdf["x"] ** 2))
@@ -157,7 +147,6 @@ def test_spearman_averages_ties_over_complete_pairs(rows):
         assert got[c] == pytest.approx(pair["t"].corr(pair[c]), abs=1e-12)
 
 
-@both_sizes
 @pytest.mark.parametrize("n", [2, 3000])
 def test_growth_splits_ties_by_value(spark, n):
     rng = np.random.default_rng(n)
@@ -172,7 +161,6 @@ def test_growth_splits_ties_by_value(spark, n):
             assert (got[k] is None and len(v) < 2) or got[k] == pytest.approx((b - a) / a * 100, abs=0.0051)
 
 
-@both_sizes
 def test_trend_with_many_equal_rows(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"t": np.sort(rng.integers(0, 20, 3000)), "v": rng.integers(0, 4, 3000).astype(float)})
@@ -186,7 +174,6 @@ def test_trend_with_many_equal_rows(spark):
     assert (got["first_value"], got["last_value"], got["data_points"]) == (y[0], y[-1], len(y))
 
 
-@both_sizes
 @pytest.mark.parametrize("span", [1, 2, 30])
 def test_ewma_equals_pandas_over_many_blocks(spark, span):
     rng = np.random.default_rng(5)
@@ -198,7 +185,6 @@ def test_ewma_equals_pandas_over_many_blocks(spark, span):
     np.testing.assert_allclose(got[f"ewma_{span}"], want, rtol=1e-11)
 
 
-@both_sizes
 @pytest.mark.parametrize("period", [4, 7])
 def test_decompose_equals_pandas(spark, period):
     rng = np.random.default_rng(6)
@@ -213,7 +199,6 @@ def test_decompose_equals_pandas(spark, period):
     np.testing.assert_allclose(got["residual"].astype(float), ts - trend - seasonal, rtol=1e-9, atol=1e-12)
 
 
-@both_sizes
 def test_decompose_needs_two_periods(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(13)], "i int, v double").withColumn("t", F.expr("date_add(date '2000-01-01', i)"))
     assert timeseries.decompose(df, "t", "v").count() == 0
