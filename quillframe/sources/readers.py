@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quillframe.functions.columns import string_columns
 from quillframe.operators import blocks
+from quillframe.operators.text import FORBIDDEN_SQL
 
 # Texts read as null, truth values, databases a query may be sent to.
 NULL_TOKENS = (
@@ -20,7 +21,6 @@ NULL_TOKENS = (
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 JDBC_SCHEMES = ("postgresql", "mysql", "sqlite", "sqlserver")
-FORBIDDEN_SQL = r"\b(DROP|DELETE|TRUNCATE|ALTER|INSERT|UPDATE|EXEC|EXECUTE|GRANT|REVOKE|SHUTDOWN|xp_|sp_)\b"
 
 LATIN, UTF8 = "ISO-8859-1", "UTF-8"
 
@@ -36,16 +36,18 @@ def _encodings(spark: SparkSession, path) -> dict[str, list[str]]:
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None, encoding: str | None = None, **options
+    spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None, encoding: str | None = None,
+    lines: bool = False, **options,
 ) -> DataFrame:
     """CSV with a header. Files that are not UTF-8 are read as Latin-1; null tokens become null.
 
-    Without a ``schema`` columns become bigint, double or boolean if all their values fit.
+    Quoted fields may hold line breaks, so a file is one task; ``lines`` says that they hold none, and
+    Spark then splits large files. Without a ``schema`` columns become bigint, double or boolean if all their values fit.
     """
     groups = {encoding: [path] if isinstance(path, str) else list(path)} if encoding else _encodings(spark, path)
     out = None
     for name, files in groups.items():
-        reader = spark.read.options(header=True, encoding=name, mode="PERMISSIVE", escape='"', **options)
+        reader = spark.read.options(header=True, encoding=name, mode="PERMISSIVE", escape='"', multiLine=not lines, **options)
         part = reader.csv(files)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     out = out.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in out.columns])
@@ -92,35 +94,53 @@ def _first_list_key(spark: SparkSession, path) -> str | None:
     return first["key"] if first else None
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str], records_path: str | None = None, schema=None, lines: bool = False) -> DataFrame:
-    """JSON documents as rows: a top-level list, else the first list-valued key, else one row.
+def _one_per_line(spark: SparkSession, path) -> bool:
+    """Whether the files hold a JSON document per line; if not, each must hold one document in all."""
+    valid = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull()  # in brackets nothing may follow a document
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    by_file = rows.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.count_if(~valid).alias("broken"))
+    found = by_file.agg(F.max("n").alias("n"), F.sum("broken").alias("broken")).first()
+    if not found["broken"]:
+        return (found["n"] or 0) > 1
+    if spark.read.text(path, wholetext=True).filter(~valid).limit(1).count():
+        raise ValueError("a file holds neither one JSON document nor one on each line")
+    return False
 
-    ``records_path`` names the list directly (dots for nesting); ``lines`` reads JSON Lines,
-    which Spark can split.
-    """
+
+def _documents(spark: SparkSession, path, schema, lines: bool | None) -> tuple[DataFrame, bool]:
+    lines = _one_per_line(spark, path) if lines is None else lines
     reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.json(path, multiLine=not lines)
-    if lines and not records_path:
-        return df
-    if records_path is None:
-        key = _first_list_key(spark, path)
-        if key is None:
-            return df
-        target = _key_path(key)
-    else:
-        target = ".".join(_key_path(k) for k in records_path.split("."))
+    return reader.json(path, multiLine=not lines), lines
+
+
+def _items(df: DataFrame, target: str) -> DataFrame:
     items = df.select(F.explode(F.col(target)).alias("item"))
     if isinstance(items.schema["item"].dataType, T.StructType):
         return items.select("item.*")
     return items.withColumnRenamed("item", "value")
 
 
-def read_api_dump(spark: SparkSession, path: str | Sequence[str], json_path: str | None = None, schema=None) -> DataFrame:
-    """Landed JSON responses: list → rows, else one row per response; ``json_path`` names a list inside."""
+def read_json(
+    spark: SparkSession, path: str | Sequence[str], records_path: str | None = None, schema=None, lines: bool | None = None
+) -> DataFrame:
+    """JSON documents as rows: a top-level list, else the first list-valued key, else one row.
+
+    Files with a document on every line (JSON Lines) give a row per line. ``lines`` says which form the files have;
+    if it is not given they are read once more to find out, and anything else than one document
+    per file or per line raises. ``records_path`` names the list directly (dots for nesting).
+    """
+    df, by_line = _documents(spark, path, schema, lines)
+    if records_path is not None:
+        return _items(df, ".".join(_key_path(k) for k in records_path.split(".")))
+    key = None if by_line else _first_list_key(spark, path)
+    return df if key is None else _items(df, _key_path(key))
+
+
+def read_api_dump(spark: SparkSession, path: str | Sequence[str], json_path: str | None = None, schema=None, lines: bool | None = None) -> DataFrame:
+    """Landed JSON responses, one per file or per line: list → rows, else one row per response; ``json_path`` names a list inside."""
     if json_path:
-        return read_json(spark, path, records_path=json_path.removeprefix("$.").removeprefix("$"), schema=schema)
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=True)
+        return read_json(spark, path, json_path.removeprefix("$.").removeprefix("$"), schema, lines)
+    return _documents(spark, path, schema, lines)[0]
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mo
     out = _chosen(df, columns)
     nested = {f.name: F.to_json(F.col(f"`{f.name}`")) for f in out.schema if isinstance(f.dataType, NESTED)}
     out = out.withColumns(nested) if nested else out
-    out.write.mode(mode).csv(path, header=True, escape='"')
+    out.write.mode(mode).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "errorifexists") -> None:

@@ -29,6 +29,21 @@ def test_json_finds_the_first_list(spark, tmp_path):
     assert sorted(r["value"] for r in readers.read_json(spark, str(tmp_path / "s.json")).collect()) == [1, 2]
 
 
+def test_json_lines_are_found_and_mixed_files_refused(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"a": 1}\n\n{"a": 2}\n{"a": 3}')
+    assert sorted(r["a"] for r in readers.read_json(spark, str(tmp_path / "lines.json")).collect()) == [1, 2, 3]
+    for text in ('{"a":\n 1}\n{"a": 2}\n', '{"a": 1}\n{"a": ', "no json"):
+        (tmp_path / "mixed.json").write_text(text)
+        with pytest.raises(ValueError):
+            readers.read_json(spark, str(tmp_path / "mixed.json"))
+
+
+def test_csv_fields_with_line_breaks(spark, tmp_path):
+    rows = [(1, 'a "b",\nc'), (2, "d\n\ne"), (3, None)]
+    writers.write_csv(spark.createDataFrame(rows, "id bigint, s string"), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in readers.read_csv(spark, str(tmp_path / "out")).collect()) == rows
+
+
 def test_api_dump_with_a_path(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"data": {"items": [{"a": 1}, {"a": 2}]}}))
     assert sorted(r["a"] for r in readers.read_api_dump(spark, str(tmp_path / "r.json"), "$.data.items").collect()) == [1, 2]

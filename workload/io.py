@@ -36,10 +36,34 @@ def write_csv(t):
 
 @query(CUSTOMER_SQL)
 def read_json(t):
-    """JSON Lines back into rows."""
+    """JSON Lines back into rows, without being told that they are lines."""
     path = scratch_path(t.spark, "json")
     writers.write_json(t.customer, path)
-    return readers.read_json(t.spark, path, lines=True)
+    return readers.read_json(t.spark, path)
+
+
+def one_file(df, label):
+    path = scratch_path(df.sparkSession, label)
+    df.coalesce(1).write.text(path)
+    return path
+
+
+NATION_SQL = "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation"
+
+
+@query(NATION_SQL)
+def read_json_list(t):
+    """One document that is a list."""
+    rows = t.nation.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
+    return readers.read_json(t.spark, one_file(rows, "list"))
+
+
+@query(NATION_SQL)
+def read_json_first_list(t):
+    """One document over several lines, whose first list by position is not the first by name."""
+    rows = F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))
+    text = F.concat(F.lit('{"z": 1,\n "rows":\n'), rows, F.lit(',\n "a": [{"n_name": "none"}]}'))
+    return readers.read_json(t.spark, one_file(t.nation.agg(text.alias("value")), "object"))
 
 
 @query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
@@ -48,7 +72,7 @@ def read_json_records(t):
     path = scratch_path(t.spark, "json")
     nations = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("nations"))
     nations.select(F.to_json(F.struct("n_regionkey", "nations")).alias("value")).write.text(path)
-    return readers.read_json(t.spark, path, lines=True, records_path="nations")
+    return readers.read_json(t.spark, path, records_path="nations")
 
 
 @query("select n_nationkey::bigint as n_nationkey, n_name from nation")
@@ -57,7 +81,26 @@ def read_api_dump(t):
     path = scratch_path(t.spark, "api")
     items = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("items"))
     items.select(F.to_json(F.struct(F.lit("ok").alias("status"), F.struct("items").alias("data"))).alias("value")).write.text(path)
-    return readers.read_json(t.spark, path, records_path="data.items", lines=True)
+    return readers.read_api_dump(t.spark, path, "$.data.items")
+
+
+@query("select count(*) as items, 'ok' as status from nation")
+def read_api_dump_whole(t):
+    """One response, kept as one row."""
+    body = F.to_json(F.struct(F.lit("ok").alias("status"), F.collect_list("n_name").alias("names")))
+    dump = readers.read_api_dump(t.spark, one_file(t.nation.agg(body.alias("value")), "api"))
+    return dump.select(F.size("names").cast("bigint").alias("items"), "status")
+
+
+BROKEN_LINES = "doc_id || ',\"quoted\"' || chr(10) || text || chr(10)"
+
+
+@query(f"select doc_id, {BROKEN_LINES} as text, lang from documents")
+def read_csv_line_breaks(t):
+    """Quoted fields with line breaks, quotes and commas."""
+    path = scratch_path(t.spark, "csv")
+    writers.write_csv(t.documents.selectExpr("doc_id", f"{BROKEN_LINES} as text", "lang"), path)
+    return readers.read_csv(t.spark, path, schema="doc_id bigint, text string, lang string")
 
 
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
