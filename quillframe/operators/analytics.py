@@ -157,7 +157,7 @@ def contribution(df: DataFrame, dim_col: str, metric_col: str, top_n: int = TOP_
 def compare_datasets(a: DataFrame, b: DataFrame, metric_col: str, group_col: str | None = None) -> DataFrame:
     """Rows, columns, common columns and one metric's mean, sum and std on both sides.
 
-    With ``group_col`` the two sides are aggregated first and full-outer joined on the group.
+    With ``group_col`` the two sides are aggregated first and full-outer joined on the group; null groups are dropped.
     """
     common = sorted(set(a.columns) & set(b.columns))
 
@@ -165,7 +165,7 @@ def compare_datasets(a: DataFrame, b: DataFrame, metric_col: str, group_col: str
         x = as_double(df, metric_col) if metric_col in df.columns else F.lit(None).cast("double")
         aggregates = [F.count("*").alias(f"{tag}_rows"), F.avg(x).alias(f"{tag}_mean"),
                       F.sum(x).alias(f"{tag}_sum"), F.stddev_samp(x).alias(f"{tag}_std")]
-        return df.groupBy(group_col).agg(*aggregates) if group_col else df.agg(*aggregates)
+        return complete(df, [group_col]).groupBy(group_col).agg(*aggregates) if group_col else df.agg(*aggregates)
 
     left, right = side(a, "a"), side(b, "b")
     both = left.join(right, group_col, "full_outer") if group_col else left.crossJoin(F.broadcast(right))  # one row each

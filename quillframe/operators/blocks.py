@@ -126,7 +126,7 @@ def blocked(
 
 
 def rows_per_column(one_row: DataFrame, specs: Sequence[dict[str, Column]]) -> DataFrame:
-    """Turn the single row of a wide aggregation into one row per spec."""
+    """Turn the single row of a wide aggregation into one row per spec (at least one)."""
     structs = [F.struct(*[c.alias(n) for n, c in spec.items()]) for spec in specs]
     return one_row.select(F.inline(F.array(*structs)))
 
@@ -134,8 +134,12 @@ def rows_per_column(one_row: DataFrame, specs: Sequence[dict[str, Column]]) -> D
 def column_rows(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
     """(column, fields...) with one row per column; ``fields(name, values)`` gives its aggregates.
 
-    Columns share a scan up to ``AGGREGATES_PER_SCAN`` aggregates. Every column is read once.
+    Columns share a scan up to ``AGGREGATES_PER_SCAN`` aggregates. Every column is read once. Without
+    columns the table is empty.
     """
+    if not columns:
+        none = {n: agg.alias(n) for n, agg in fields("", F.lit(None).cast("double")).items()}
+        return df.limit(0).agg(*none.values()).select(F.lit("").alias("column"), *none).filter(F.lit(False))
     parts, aggregates, specs = [], [], []
 
     def close():
@@ -162,7 +166,9 @@ def stats_row(df: DataFrame, aggregates: dict[str, Column]) -> dict:
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., column, value double) without nulls, in one pass."""
+    """(keep..., column, value double) without nulls, in one pass; empty without columns."""
+    if not columns:
+        return df.limit(0).select(*keep, F.lit("").alias("column"), F.lit(None).cast("double").alias("value"))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), as_double(df, c).alias("value")) for c in columns])
     return (
         df.select(*keep, F.explode(cells).alias("_cell"))
@@ -182,8 +188,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     distinct values inside it are ordered, so no task ever holds all values of a column or group.
     """
     if not columns:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
-        return df.sparkSession.createDataFrame([], f"{kinds}{', ' * bool(by)}column string, n bigint, q array<double>")
+        nothing = long_form(df, columns, keep=by)
+        return nothing.select(*by, "column", F.lit(0).cast("bigint").alias("n"), F.array("value").alias("q"))
     return _sketched_quantiles(long_form(df, columns, keep=by), [*by, "column"], probabilities)
 
 
@@ -250,6 +256,8 @@ def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[
 def value_counts(df: DataFrame, columns: Sequence[str], values: dict[str, Column] | None = None) -> DataFrame:
     """(column, value, n) for non-null values; equal values collapse before the shuffle."""
     values = values or {}
+    if not columns:
+        return df.limit(0).select(F.lit("").alias("column"), F.lit("").alias("value"), F.lit(0).cast("bigint").alias("n"))
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), values.get(c, plain(df, c)).cast("string").alias("value")) for c in columns
     ])

@@ -13,6 +13,7 @@ from quillframe.functions.columns import (
     FLOATING, NESTED, TEMPORAL, as_double, comparable, dtype_of, known, numeric_columns, percent, plain, string_columns,
 )
 from quillframe.operators import blocks
+from quillframe.session import write_out
 
 # Thresholds of the reports.
 LOW_CARDINALITY = 10
@@ -103,7 +104,9 @@ def distinct_cells(tables: Sequence[dict[str, DataFrame]]) -> DataFrame:
 
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, unique_count): distinct non-null values."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
+    if not columns:
+        return df.limit(0).select(F.lit("").alias("column"), F.lit(0).cast("bigint").alias("unique_count"))
     if exact:
         named = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(c).alias("column")) for i, c in enumerate(columns)])
         names = df.sparkSession.range(1).select(F.inline(named))
@@ -116,19 +119,17 @@ def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
 
 def sample_values(df: DataFrame, order_by: Sequence[str] | None = None, k: int = SAMPLE_VALUES) -> DataFrame:
     """(column, sample_values): the first ``k`` non-null values, by ``order_by`` if given."""
-    keys = list(order_by or [])
-    parts = None
-    for c in df.columns:
-        kind = dtype_of(df, c)
-        shown = F.to_json(F.col(f"`{c}`")) if isinstance(kind, NESTED) else plain(df, c).cast("string")
-        order = [F.col(f"`{key}`").alias(f"_o{j}") for j, key in enumerate(keys)]
-        part = df.filter(plain(df, c).isNotNull()).select(F.lit(c).alias("column"), shown.alias("value"), *order)
-        part = part.orderBy(*[f"_o{j}" for j in range(len(keys))]).limit(k) if keys else part.limit(k)
-        place = F.struct(*[f"_o{j}" for j in range(len(keys))], "value") if keys else F.struct("value")
-        part = part.select("column", place.alias("_s")).groupBy("column").agg(
-            F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["value"]).alias("sample_values"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    keys = [F.col(f"`{c}`") for c in order_by or []]
+    cells = []
+    for i, c in enumerate(df.columns):
+        shown = F.to_json(F.col(f"`{c}`")) if isinstance(dtype_of(df, c), NESTED) else plain(df, c).cast("string")
+        cells.append(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), shown.alias("value")))
+    names = [f"_o{j}" for j in range(len(keys))]
+    rows = df.select(*[k.alias(n) for k, n in zip(keys, names)], F.inline(F.array(*cells))).filter("value IS NOT NULL")
+    first = blocks.top_per(rows, ["i", "column"], [*names, "value"] if names else [F.lit(0)], k, "_rank")
+    return first.groupBy("i", "column").agg(  # at most k values per column
+        F.array_sort(F.collect_list(F.struct("_rank", "value"))).alias("_s")).select(
+        "column", F.transform("_s", lambda s: s["value"]).alias("sample_values"))
 
 
 def column_stats(df: DataFrame) -> DataFrame:
@@ -187,7 +188,9 @@ def infer_schema(df: DataFrame, order_by: Sequence[str] | None = None, exact: bo
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """(column, rows, nulls), one row per column from one aggregation."""
+    """(column, rows, nulls), one row per column from one aggregation; empty without columns."""
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column string, rows bigint, nulls bigint")
     one = df.agg(F.count("*").alias("rows"), *[F.count(plain(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
     return blocks.rows_per_column(one, [
         {"column": F.lit(c), "rows": F.col("rows"), "nulls": F.col("rows") - F.col(f"n{i}")}
@@ -291,13 +294,13 @@ def quality_warnings(df: DataFrame, raw_strings: bool = False) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
     """(column, rank, value, n): the ``k`` most frequent values, smallest first on ties."""
-    counts = blocks.value_counts(df, list(columns or string_columns(df)))
+    counts = blocks.value_counts(df, string_columns(df) if columns is None else list(columns))
     return blocks.top_per(counts, ["column"], [F.col("n").desc(), F.col("value")], k)
 
 
 def entropy(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, entropy in bits) over the value frequencies."""
-    counts = blocks.value_counts(df, list(columns or string_columns(df)))
+    counts = blocks.value_counts(df, string_columns(df) if columns is None else list(columns))
     return _entropy_of(counts)
 
 
@@ -372,14 +375,28 @@ def distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def distribution_histograms(df: DataFrame, columns: Sequence[str] | None = None, max_bins: int = 20) -> DataFrame:
-    """(column, bin, lo, hi, n) for numeric columns."""
+    """(column, bin, lo, hi, n) for numeric columns: equal-width bins, as many as distinct values but at most ``max_bins``.
+
+    Two passes for any number of columns: one folds equal values and takes the bounds, one counts the bins.
+    """
     cols = known(df, columns) if columns else numeric_columns(df)
-    parts = [histogram(df, c, max_bins).select(F.lit(c).alias("column"), "bin", F.bround("lo", 4).alias("lo"),
-                                               F.bround("hi", 4).alias("hi"), "n") for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    values = write_out(blocks.long_form(df, cols).groupBy("column", "value").agg(F.count("*").alias("c")), "value-counts")
+    shape = values.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("distinct"))
+    flat = F.col("lo") == F.col("hi")
+    shape = shape.select(
+        "column", F.least("distinct", F.lit(max_bins)).cast("int").alias("bins"),
+        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    shape = shape.withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins"))
+    x, lo, width, bins = (F.col(c) for c in ("value", "lo", "width", "bins"))
+    guess = F.least(F.floor((x - lo) / (F.col("hi") - lo) * bins), bins - 1)
+    index = (  # the edges decide where rounding of the guess crossed one
+        F.when(x < lo + guess * width, guess - 1)
+        .when((x >= lo + (guess + 1) * width) & (guess < bins - 1), guess + 1).otherwise(guess).cast("int"))
+    counted = blocks.join_small(values, shape, ["column"]).groupBy("column", index.alias("bin")).agg(F.sum("c").alias("n"))
+    edges = shape.withColumn("bin", F.explode(F.sequence(F.lit(0), bins - 1)))  # at most max_bins rows per column
+    upper = F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise(lo + (F.col("bin") + 1) * width)
+    return edges.join(counted, ["column", "bin"], "left").select(
+        "column", "bin", F.bround(lo + F.col("bin") * width, 4).alias("lo"), F.bround(upper, 4).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def distribution_categories(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +68,18 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
-def _best_of(scores: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k best scores, and of every score equal to the k-th."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k best scores, the smallest ids first among equals."""
+    rows = np.arange(len(scores))
+    if len(scores) > k:
+        rows = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return rows[np.lexsort((ids[rows], -scores[rows]))][:k]
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    if not pc.all(pc.equal(pc.list_value_length(column), size)).as_py():
+        raise ValueError(f"a vector does not have {size} numbers like the queries")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
 def knn_cosine(
@@ -80,10 +88,12 @@ def knn_cosine(
 ) -> DataFrame:
     """(query_id, rank, doc_id, score): the exact ``k`` most similar documents per query.
 
-    Every task scores its documents against a bounded set of queries by one matrix product per
-    Arrow batch and keeps the best ``k`` per query, so pairs are never written out. A larger
-    query table is worked off in passes of bounded size.
+    Every task scores its documents against all queries by one matrix product per Arrow batch, keeps
+    the best ``k`` per query while it runs and emits them once at its end: pairs are never written out.
+    Null vectors are left out on either side; vectors of another length than the queries' raise.
+    More than ``QUERIES_PER_PASS`` queries are dealt into blocks, and the documents meet each block in a scan of its own.
     """
+    queries = queries.filter(F.col(query_vector).isNotNull())
     total = queries.count()
     if total > QUERIES_PER_PASS:
         parts = -(-2 * total // QUERIES_PER_PASS)  # half-full on average, so that hashing may be uneven
@@ -98,26 +108,30 @@ def knn_cosine(
         return docs.sparkSession.createDataFrame([], f"`{query_id}` {query_kind}, rank int, `{doc_id}` {doc_kind}, score double")
     asked = queries.select(query_id, F.col(query_vector).cast("array<double>").alias("_q")).orderBy(query_id).collect()
     names = [r[query_id] for r in asked]
+    sizes = {len(r["_q"]) for r in asked}
+    if len(sizes) > 1:
+        raise ValueError(f"the queries have vectors of different lengths: {sorted(sizes)}")
+    size = sizes.pop()
     held = _unit(np.array([r["_q"] for r in asked], dtype="float64"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), None)] * len(names)  # scores and ids of each query so far
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column(0)
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            found = np.round(_unit(rows) @ held.T, SCORE_DIGITS)
-            order = np.asarray(ids)
-            picks, places, values = [], [], []
-            for q in range(len(names)):
-                best = _best_of(found[:, q], k)
-                best = best[np.lexsort((order[best], -found[best, q]))][:k]
-                picks.append(best)
-                places.append(np.full(len(best), q))
-                values.append(found[best, q])
+            ids = np.asarray(batch.column(0))
+            found = np.round(_unit(_matrix(batch.column(1), size)) @ held.T, SCORE_DIGITS)
+            for q, (scores, kept) in enumerate(best):
+                scores = np.concatenate([scores, found[:, q]])
+                every = ids if kept is None else np.concatenate([kept, ids])
+                rows = _best_of(scores, every, k)
+                best[q] = scores[rows], every[rows]
+        counts = [len(scores) for scores, _ in best]
+        if any(counts):
+            kind = batch.column(0).type
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(places), type=pa.int32()), ids.take(pa.array(np.concatenate(picks))),
-                 pa.array(np.concatenate(values), type=pa.float64())], names=["_place", doc_id, "score"])
+                [pa.array(np.repeat(np.arange(len(names)), counts), pa.int32()), pa.array(np.concatenate([i for _, i in best]), type=kind),
+                 pa.array(np.concatenate([s for s, _ in best]), pa.float64())], names=["_place", doc_id, "score"])
 
     vectors = docs.select(doc_id, F.col(vector).cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
     near = vectors.mapInArrow(score, f"_place int, `{doc_id}` {doc_kind}, score double")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.columns import as_double, known, numeric_columns, percent
+from quillframe.functions.columns import as_double, finite, known, numeric_columns, percent
 from quillframe.functions.pvalues import correlation_p
 from quillframe.functions.scalars import corr_strength
 from quillframe.operators import blocks
@@ -23,29 +24,58 @@ Z_THRESHOLD = 3.0
 IQR_FACTOR = 1.5
 LISTED_ANOMALIES = 20
 
-PAIRS_PER_JOB = blocks.AGGREGATES_PER_SCAN
-
-
 def _cols(df: DataFrame, columns) -> list[str]:
     return known(df, columns) if columns else numeric_columns(df)
 
 
+def _pair_sums(df: DataFrame, columns: Sequence[str], centre: list[float]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of every pair i <= j over the rows where both are known, less ``centre``.
+
+    One scan for any number of columns: each task adds up matrix products of its batches and emits its sums once.
+    """
+    size, middle = len(columns), np.array(centre)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, size, size))
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype("float64")
+            there = ~np.isnan(rows)
+            x, there = np.where(there, rows - middle, 0.0), there.astype("float64")
+            with np.errstate(invalid="ignore", over="ignore"):
+                sums += np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(size)
+        found = sums[:, i, j]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(f) for f in found]],
+            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    wide = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    parts = wide.mapInArrow(run, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
 def _pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_a, column_b, corr) for a <= b in column order, pairwise complete."""
-    pairs = list(combinations(range(len(columns)), 2)) + [(i, i) for i in range(len(columns))]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        aggregates: list[Column] = [F.count("*").alias("rows")]
-        specs = []
-        for i, j in pairs[start:start + PAIRS_PER_JOB]:
-            a, b = as_double(df, columns[i]), as_double(df, columns[j])
-            value = F.corr(a, b) if i != j else F.when(F.stddev_samp(a) > 0, F.lit(1.0))
-            aggregates.append(value.alias(f"r{i}_{j}"))
-            specs.append({"a": F.lit(i), "b": F.lit(j), "column_a": F.lit(columns[i]), "column_b": F.lit(columns[j]),
-                          "rows": F.col("rows"), "corr": F.nanvl(F.col(f"r{i}_{j}"), F.lit(None))})
-        part = blocks.rows_per_column(df.agg(*aggregates), specs)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(a, b, column_a, column_b, rows, corr) for a <= b in column order, pairwise complete; null where one side is constant."""
+    names = F.array(*[F.lit(c) for c in columns]).cast("array<string>")
+    moments = [F.count("*").alias("rows")] + [F.avg(finite(as_double(df, c))).alias(f"m{i}") for i, c in enumerate(columns)]
+    row = df.agg(*moments).first()
+    centre = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
+    sums = _pair_sums(df, columns, centre)
+    middle = F.array(*[F.lit(float(c)) for c in centre]).cast("array<double>")
+
+    def spread(total: str, squares: str, column: str) -> Column:
+        found = F.col(squares) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        noise = F.pow(F.get(middle, F.col(column)) * 1e-14, F.lit(2)) * F.col("n")  # of rounding around the centre
+        return F.when(found > noise, found)
+
+    cross = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    corr = cross / F.sqrt(spread("sx", "sxx", "i") * spread("sy", "syy", "j"))
+    corr = F.nanvl(corr, F.lit(None))
+    corr = F.when(F.col("i") == F.col("j"), F.when(spread("sx", "sxx", "i").isNotNull() & (F.col("n") > 1), 1.0)).otherwise(
+        F.when(F.abs(corr) > 1, F.signum(corr)).otherwise(corr))
+    return sums.select(
+        F.col("i").alias("a"), F.col("j").alias("b"), F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"),
+        F.lit(row["rows"]).alias("rows"), corr.alias("corr"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, min_rows: int = MIN_CORRELATION_ROWS) -> DataFrame:
@@ -63,6 +93,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, min_
 def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, min_rows: int = MIN_CORRELATION_ROWS) -> DataFrame:
     """Strongest unordered pairs with a direction and a sentence."""
     cols = _cols(df, columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double, direction string, text string")
     pairs = _pair_correlations(df, cols).filter((F.col("a") < F.col("b")) & (F.col("rows") >= min_rows) & F.col("corr").isNotNull())
     direction = F.when(F.col("corr") > 0, "positive").otherwise("negative")
     return (
@@ -137,11 +169,11 @@ def outlier_summary(df: DataFrame, columns: Sequence[str] | None = None, min_row
     bounds = fences(df, _cols(df, columns))
 
     def fields(c: str, x: Column) -> dict[str, Column]:
-        lo, hi = bounds[c]
+        lo, hi = bounds.get(c, (None, None))
         return {"n": F.count(x), "outlier_count": F.count_if((x < lo) | (x > hi)),
                 "extreme_low": F.min(F.when(x < lo, x)), "extreme_high": F.max(F.when(x > hi, x))}
 
-    limits = {c: F.create_map(*[F.lit(v) for name, pair in bounds.items() for v in (name, pair[i])])[F.col("column")]
+    limits = {c: F.create_map(*[F.lit(v) for name, pair in bounds.items() for v in (name, pair[i])]).cast("map<string,double>")[F.col("column")]
               for i, c in enumerate(("lower_fence", "upper_fence"))}
     rows = blocks.column_rows(df, list(bounds), fields).filter(F.col("n") >= min_rows)
     share = percent(F.col("outlier_count"), F.col("n"))

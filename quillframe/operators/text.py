@@ -115,15 +115,17 @@ def extract_json(df: DataFrame, column: str, out: str = "json") -> DataFrame:
 
 def validate_insights(df: DataFrame, column: str) -> DataFrame:
     """Adds ``reason``/``accepted`` for JSON text that must hold a list of complete insights."""
-    held = F.get_json_object(column, "$.insights")
-    items = F.from_json(held, "array<map<string,string>>")
-    missing = F.flatten(F.transform(items, lambda m, i: F.filter(
-        F.array(*[F.when(~F.map_contains_key(m, k), F.format_string(f"Insight [%d] missing required key '{k}'.", i)) for k in INSIGHT_KEYS]),
+    keys = F.json_object_keys(column)
+    held = F.try_variant_get(F.try_parse_json(column), "$.insights", "variant")
+    items = F.from_json(F.get_json_object(column, "$.insights"), "array<string>")  # each item as JSON text
+    missing = F.flatten(F.transform(items, lambda item, i: F.filter(
+        F.array(*[F.when(~F.coalesce(F.array_contains(F.json_object_keys(item), k), F.lit(False)),
+                         F.format_string(f"Insight [%d] missing required key '{k}'.", i)) for k in INSIGHT_KEYS]),
         lambda s: s.isNotNull())))
     reason = (
         F.when(F.col(column).isNull(), "LLM response is not valid JSON.")
-        .when(held.isNull(), "Missing 'insights' key in LLM response.")
-        .when(~held.startswith("["), "'insights' must be a list.")
+        .when(keys.isNull() | ~F.array_contains(keys, "insights"), "Missing 'insights' key in LLM response.")
+        .when(held.isNull() | ~F.schema_of_variant(held).startswith("ARRAY"), "'insights' must be a list.")
         .otherwise(F.coalesce(F.try_element_at(missing, F.lit(1)), F.lit("")))
     )
     return _screen(df, reason)
