@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import ITEM_BREAKS, let, lower_ascii, word_count, words
+from quillframe.llm.common import ITEM_BREAKS, let, lower_ascii, packed, unpacked, word_count, words
 from quillframe.session import write_out
 
 SPAN = 10  # words that a document must share with an item
@@ -78,13 +78,14 @@ def find(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM)
 
     texts = docs.select(F.md5(F.col("text").cast("binary")).alias("text_key"), F.col("text"))
     if not lengths:
-        return Hits(texts.select("text_key", F.lit(0).alias("pos"), F.lit(0).alias("length"), "text").limit(0), windows)
+        return Hits(texts.select("text_key", F.lit(0).alias("pos"), F.lit(0).alias("length"), F.col("text").alias("window")).limit(0), windows)
     marked = _marked(texts.withColumn("w", words(lower_ascii(F.col("text")), ITEM_BREAKS)), lengths, gram)
     kept = F.array_distinct(F.concat(*[F.col(f"m{n}") for n in lengths]))
     met = marked.select("text_key", F.explode(kept).alias("mark")).join(windows.select("mark").distinct(), "mark", "left_semi")
     met = write_out(met.groupBy("text_key").agg(F.collect_set("mark").alias("met")), "texts-met")  # bounded by the text
 
-    near = texts.join(met, "text_key").withColumn("w", words(lower_ascii(F.col("text")), ITEM_BREAKS))
+    # The keys met grow with the table, so the texts are always dealt by key; a hot text can be split.
+    near = texts.join(met.hint("merge"), "text_key").withColumn("w", words(lower_ascii(F.col("text")), ITEM_BREAKS))
     near = _marked(near, lengths, gram)
     found = near.select("text_key", F.explode(F.concat(*[_windows(n, F.col("met")) for n in lengths])).alias("s"))
     found = found.select("text_key", "s.pos", "s.length", "s.window").distinct()
@@ -129,6 +130,6 @@ def report(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM
 
 def clean(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item; null texts stay."""
-    dirty = find(docs, items, span, gram).docs.select("text_key").distinct()
-    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    return docs.join(write_out(dirty, "texts-dirty"), key == F.col("text_key"), "left_anti")
+    dirty = write_out(find(docs, items, span, gram).docs.select("text_key").distinct(), "texts-dirty")
+    rows = docs.select(packed(docs), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("text_key"))
+    return unpacked(rows.join(dirty.hint("merge"), "text_key", "left_anti"))
