@@ -50,10 +50,6 @@ def finite(col: Column) -> Column:
     return F.when(F.isnan(col) | (F.abs(col) == F.lit(float("inf"))), None).otherwise(col)
 
 
-def with_clean_floats(df: DataFrame) -> DataFrame:
-    return df.select(*[plain(df, n).alias(n) for n in df.columns])
-
-
 def comparable(df: DataFrame, name: str) -> Column:
     """A fixed-width or short stand-in that is equal exactly when the values are equal.
 

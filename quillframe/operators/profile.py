@@ -300,8 +300,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, k: int = T
 
 def entropy(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, entropy in bits) over the value frequencies."""
-    counts = blocks.value_counts(df, string_columns(df) if columns is None else list(columns))
-    return _entropy_of(counts)
+    cols = string_columns(df) if columns is None else list(columns)
+    return _entropy_of(blocks.value_counts(df, cols, {c: comparable(df, c) for c in cols}))  # long strings travel as digests
 
 
 def _entropy_of(counts: DataFrame) -> DataFrame:
@@ -413,15 +413,18 @@ def profile_table(df: DataFrame) -> DataFrame:
         (F.col("rows") * len(df.columns)).alias("total_cells"), "missing_cells", "duplicate_rows")
 
 
-def profile_dataset(df: DataFrame) -> DataFrame:
-    """One row per column: counts, shape, numeric moments and quantiles, frequent values."""
+def profile_dataset(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row per column: counts, shape, numeric moments and quantiles, frequent values.
+
+    Without ``exact`` the distinct counts are estimates, and no cells are shuffled for them.
+    """
     types = logical_types(df)
     rows = F.col("rows")
     numbers = [c for c, t in types.items() if t == "numeric"]
     cats = [c for c, t in types.items() if t == "categorical"]
     kinds = F.create_map(*[F.lit(x) for c in df.columns for x in (c, types[c])])
     order = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
-    out = null_counts(df).join(F.broadcast(unique_counts(df)), "column").select(
+    out = null_counts(df).join(F.broadcast(unique_counts(df, exact=exact)), "column").select(
         order[F.col("column")].alias("position"), F.col("column").alias("name"), kinds[F.col("column")].alias("type"),
         rows.alias("total_count"), F.col("nulls").alias("null_count"), percent(F.col("nulls"), rows).alias("null_pct"),
         "unique_count", (F.col("unique_count") <= 1).alias("is_constant"), (F.col("unique_count") == rows).alias("is_unique"))
@@ -436,7 +439,7 @@ def profile_dataset(df: DataFrame) -> DataFrame:
         moments = moments.join(F.broadcast(q), "column", "left").withColumnRenamed("column", "name")
         out = out.join(F.broadcast(moments), "name", "left")
     if cats:
-        counts = blocks.value_counts(df, cats)
+        counts = write_out(blocks.value_counts(df, cats), "value-counts")
         tops = blocks.top_per(counts, ["column"], [F.col("n").desc(), F.col("value")], TOP_VALUES)
         tops = tops.groupBy("column").agg(
             F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("_t"))
@@ -458,9 +461,9 @@ def fingerprint(df: DataFrame, content: bool = False) -> DataFrame:
     return df.agg(*aggregates).withColumn("fingerprint", F.sha2(shape, 256))
 
 
-def unique_ratio(df: DataFrame, first: int = 4) -> DataFrame:
+def unique_ratio(df: DataFrame, first: int = 4, exact: bool = True) -> DataFrame:
     """(column, unique_pct) for the first columns: distinct values over rows, one decimal."""
     cols = df.columns[:first]
     rows = null_counts(df.select(*cols))
-    return rows.join(F.broadcast(unique_counts(df, cols)), "column").select(
+    return rows.join(F.broadcast(unique_counts(df, cols, exact)), "column").select(
         "column", "unique_count", percent(F.col("unique_count"), F.col("rows"), 1).alias("unique_pct"))

@@ -82,10 +82,6 @@ def screen_code(df: DataFrame, column: str) -> DataFrame:
         (F.length(code) > MAX_CODE, "Generated code exceeds length limit.")))
 
 
-def split_screened(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return df.filter("accepted"), df.filter("NOT accepted")
-
-
 # --- JSON in free text ----------------------------------------------------------------
 
 

@@ -29,7 +29,10 @@ def analyze(df: DataFrame, analysis_type: str, **config) -> DataFrame:
 
 
 def run_full(df: DataFrame, key: Sequence[str], date_col: str | None = None) -> dict[str, DataFrame]:
-    """Profile, features, anomalies, KPIs, charts and findings of one table, as lazy DataFrames."""
+    """Profile, features, anomalies, KPIs, charts and findings of one table.
+
+    Building the tables runs jobs: types, bounds and quantiles are found first, and ordered tables are written.
+    """
     enriched, _ = features.engineer(df)
     return {
         "schema": profile.infer_schema(df, key),

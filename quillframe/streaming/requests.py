@@ -62,8 +62,10 @@ def rate_limit_sessions(
 ) -> DataFrame:
     """Sessions per endpoint and caller with their requests, allowed and refused counts (stream or batch).
 
-    At a gap of exactly the window Spark joins the two sessions.
+    At a gap of exactly the window Spark joins the two sessions. Sessions are merged where they are read, so a
+    caller with a large part of the log sends one row per session and partition.
     """
+    log.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     log = as_timestamp(log, time)
     if log.isStreaming:
         log = log.withWatermark(time, watermark)
@@ -80,16 +82,22 @@ def usage_rollup(
 ) -> DataFrame:
     """Per time window: calls, failures, success rate, and the total and quantiles of ``amount``.
 
-    The quantiles come from a bounded sketch in the stream state.
+    In a stream the quantiles come from a bounded sketch in its state; in a batch they are exact.
     """
     log = as_timestamp(log, time)
     if log.isStreaming:
         log = log.withWatermark(time, watermark)
-    rows = log.withColumn("_amount", amount).withColumn("_ok", success)
-    sketch = F.percentile_approx("_amount", list(LATENCY_QUANTILES), 10_000)
-    out = rows.groupBy(F.window(time, every).alias("_w"), *by).agg(
-        F.count("*").alias("calls"), F.count_if("_ok").alias("succeeded"), F.sum("_amount").alias("amount"),
-        F.min("_amount").alias("amount_min"), F.max("_amount").alias("amount_max"), sketch.alias("_q"))
+    rows = log.withColumn("_amount", amount.cast("double")).withColumn("_ok", success)
+    sums = [F.count("*").alias("calls"), F.count_if("_ok").alias("succeeded"), F.sum("_amount").alias("amount"),
+            F.min("_amount").alias("amount_min"), F.max("_amount").alias("amount_max")]
+    if log.isStreaming:
+        sketch = F.percentile_approx("_amount", list(LATENCY_QUANTILES), 10_000)
+        out = rows.groupBy(F.window(time, every).alias("_w"), *by).agg(*sums, sketch.alias("_q"))
+    else:
+        keys = ["_w", *by]
+        rows = rows.withColumn("_w", F.window(time, every))
+        exact = blocks.quantiles(rows, ["_amount"], LATENCY_QUANTILES, by=keys).select(*keys, F.col("q").alias("_q"))
+        out = rows.groupBy(*keys).agg(*sums).join(exact, keys, "left")
     names = [f"amount_p{round(q * 100)}" for q in LATENCY_QUANTILES]
     return out.select(
         F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, "calls", "succeeded",
@@ -109,13 +117,14 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, **options) ->
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
+def run_available(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Work off everything that has arrived, in append mode, into a Parquet table; return the table.
 
-    Windows the watermark has not passed stay in the stream's state for the next run.
+    Windows the watermark has not passed stay in the state kept beside ``path``: a later run with the same path
+    reads only what has arrived since and closes them. Without a path the table is a new one.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
         .outputMode("append").trigger(availableNow=True).start()

@@ -92,6 +92,20 @@ def test_every_request_renews_the_session_and_an_exact_gap_ends_it(log):
     assert got == {1: (1, True), 2: (2, True), 3: (3, False), 4: (1, True), 5: (1, True), 6: (2, False), 7: (1, True)}
 
 
+def test_a_second_run_closes_what_the_first_left_open(spark, log, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    log.coalesce(1).write.parquet(path)
+    run = lambda: requests.run_available(
+        requests.rate_limit_sessions(requests.read_log(spark, path, log.schema), "t", "e", "c", "1 hour", 3599, LIMITS), "t", out)
+    first = run().count()
+    late = spark.createDataFrame([(99, "end", "end", "2024-02-01 00:00:00")], "id int, e string, c string, t string").withColumn("t", F.to_timestamp("t"))
+    late.coalesce(1).write.mode("append").parquet(path)
+    whole = run()
+    batch = requests.rate_limit_sessions(log, "t", "e", "c", "1 hour", 3599, LIMITS)
+    assert first < whole.count() == batch.count()
+    assert sorted(tuple(r) for r in whole.select("e", "c", "hits").collect()) == sorted(tuple(r) for r in batch.select("e", "c", "hits").collect())
+
+
 def test_stream_equals_batch_for_closed_windows(spark, log, tmp_path):
     late = spark.createDataFrame([(99, "end", "end", "2024-02-01 00:00:00")], "id int, e string, c string, t string").withColumn("t", F.to_timestamp("t"))
     path = str(tmp_path / "log")

@@ -70,6 +70,16 @@ def sql_instant(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
+def sql_p_value(r: str, n: str) -> str:
+    """The two-sided p-value of a correlation ``r`` of ``n`` pairs: Simpson's rule over Student's density."""
+    free = f"({n} - 2)"
+    t = f"least(abs({r}) * sqrt({free} / greatest(1 - {r} * {r}, 1e-12)), 40)"
+    scale = f"exp(lgamma(({free} + 1) / 2.0) - lgamma({free} / 2.0)) / sqrt(pi() * {free})"
+    weight = "case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end"
+    density = f"pow(1 + pow(i * {t} / 4000, 2) / {free}, -({free} + 1) / 2.0)"
+    return f"greatest(1 - 2 * {scale} * {t} / 12000 * list_sum(list_transform(range(0, 4001), lambda i: {weight} * {density})), 0)"
+
+
 def union_all(parts: Iterable[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 

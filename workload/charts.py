@@ -181,13 +181,14 @@ def chart_violin(t):
     return rounded(charts.chart_violin(t.events, "value", "event_type"), q1=4, median=4, q3=4)
 
 
+SHOWN = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
 @query(f"""
-select cast(l_orderkey as string) as l_orderkey, cast(l_linenumber as string) as l_linenumber, cast(l_partkey as string) as l_partkey,
-  coalesce(l_returnflag, '') as l_returnflag, l_linestatus, l_shipdate
+select {", ".join(f"coalesce(cast({c} as string), '') as {c}" for c in SHOWN)}
 from {SQL_GAPS} x order by x.l_orderkey, x.l_linenumber, x.l_partkey, x.l_suppkey, x.l_quantity limit 200""")
 def chart_table(t):
-    out = charts.chart_table(gaps(t), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    return charts.chart_table(gaps(t), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
 
 
 # --- catalog of all tables ------------------------------------------------------------

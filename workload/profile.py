@@ -205,8 +205,9 @@ def _profile_sql(i: int, c: str) -> str:
     q = ", ".join(f"round(quantile_cont({c}, {p}), 4) as p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.95))
     numeric = (
         f"round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std, round(min({c}), 4) as min, round(max({c}), 4) as max, {q}, "
-        f"cast(bool_or({c} < 0) as string) as has_negatives, cast(bool_or({c} = 0) as string) as has_zeros" if number else
-        "null as mean, null as std, null as min, null as max, null as p25, null as p50, null as p75, null as p95, null as has_negatives, null as has_zeros")
+        f"cast(bool_or({c} < 0) as string) as has_negatives, cast(bool_or({c} = 0) as string) as has_zeros, "
+        f"(select round_even(sk, 4) from ({_moments(c, SQL_GAPS)})) as skewness, (select round_even(ku, 4) from ({_moments(c, SQL_GAPS)})) as kurtosis" if number else
+        "null as skewness, null as kurtosis, null as mean, null as std, null as min, null as max, null as p25, null as p50, null as p75, null as p95, null as has_negatives, null as has_zeros")
     kind = "'numeric'" if number else ("'datetime'" if c == "l_shipdate" else "'categorical'")
     cat = not number and c != "l_shipdate"
     top = (
@@ -223,7 +224,7 @@ select {i} as position, '{c}' as name, {kind} as type, count(*) as total_count,
 
 @query(union_all(_profile_sql(i, c) for i, c in enumerate(GAP_NAMES)))
 def profile_dataset(t):
-    out = profile.profile_dataset(gaps(t)).drop("skewness", "kurtosis").withColumns({
+    out = profile.profile_dataset(gaps(t)).withColumns({
         "top_10": _flat("top_10"), "has_negatives": F.col("has_negatives").cast("string"), "has_zeros": F.col("has_zeros").cast("string")})
     return rounded(out, **{c: 4 for c in ("mean", "std", "min", "max", "p25", "p50", "p75", "p95")})
 

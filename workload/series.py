@@ -3,23 +3,23 @@
 from pyspark.sql import functions as F
 
 from quillframe.operators import timeseries
-from workload.base import SQL_DAILY, all_rounded, daily, day, instant, query, rounded, sql_instant
+from workload.base import SQL_DAILY, all_rounded, daily, day, instant, query, rounded, sql_instant, sql_p_value
 
 RANKED = f"(select t, v, row_number() over (order by t) - 1 as i, count(*) over () as n from {SQL_DAILY})"
 DAY = "strftime(t, '%Y-%m-%d')"
 
-TREND = """
-select {by} case when s > 0 then 'upward' when s < 0 then 'downward' else 'flat' end as direction,
+TREND = f"""
+select {{by}} case when s > 0 then 'upward' when s < 0 then 'downward' else 'flat' end as direction,
   case when abs(r) > 0.7 then 'strong' when abs(r) > 0.4 then 'moderate' else 'weak' end as strength,
-  round_even(s, 6) as slope, round_even(r * r, 4) as r_squared, round_even((last - first) / abs(first) * 100, 2) as pct_change_total,
+  round_even(s, 6) as slope, round_even(r * r, 4) as r_squared, round_even({sql_p_value("r", "n")}, 6) as p_value,
+  {sql_p_value("r", "n")} < 0.05 as significant, round_even((last - first) / abs(first) * 100, 2) as pct_change_total,
   round(first, 2) as first_value, round(last, 2) as last_value, n as data_points
-from (select {by} regr_slope(v, i) s, corr(v, i) r, min_by(v, i) as first, max_by(v, i) as last, count(*) n from {rows} {group})"""
+from (select {{by}} regr_slope(v, i) s, corr(v, i) r, min_by(v, i) as first, max_by(v, i) as last, count(*) n from {{rows}} {{group}})"""
 
 
 @query(TREND.format(by="", rows=RANKED, group=""))
 def trend(t):
-    out = timeseries.trend(daily(t), "t", "v").drop("p_value", "significant")
-    return rounded(out, first_value=2, last_value=2)
+    return rounded(timeseries.trend(daily(t), "t", "v"), first_value=2, last_value=2)
 
 
 EVENTS_RANKED = "(select event_type, value v, row_number() over (partition by event_type order by ts, value) - 1 i from events)"
@@ -27,8 +27,7 @@ EVENTS_RANKED = "(select event_type, value v, row_number() over (partition by ev
 
 @query(TREND.format(by="event_type,", rows=EVENTS_RANKED, group="group by event_type"))
 def trend_by_key(t):
-    out = timeseries.trend(t.events, "ts", "value", by=["event_type"]).drop("p_value", "significant")
-    return rounded(out, first_value=2, last_value=2)
+    return rounded(timeseries.trend(t.events, "ts", "value", by=["event_type"]), first_value=2, last_value=2)
 
 
 def _decompose_sql(rows: str, by: str, time: str, key: str) -> str:
@@ -65,20 +64,22 @@ def sma(t):
     return all_rounded(timeseries.sma(daily(t), "t", "v").withColumn("time", day("time")), 4).withColumn("value", F.round("value", 2))
 
 
-def _ewma_sql() -> str:
+def _ewma_rows() -> str:
+    """Running numerators and denominators over the daily series, as ``e``."""
     spans = (7, 14, 30)
     first = ", ".join(f"v as num_{s}, 1.0::double as den_{s}" for s in spans)
     decay = {s: f"(1 - 2.0::double / {s + 1})" for s in spans}
     step = ", ".join(f"r.v + {decay[s]} * e.num_{s}, 1 + {decay[s]} * e.den_{s}" for s in spans)
-    out = ", ".join(f"round(num_{s} / den_{s}, 4) as ewma_{s}" for s in spans)
     return f"""
 with recursive r as materialized (select * from {RANKED}),
 e as (select i, t, v, {first} from r where i = 0
-      union all select r.i, r.t, r.v, {step} from e join r on r.i = e.i + 1)
-select {DAY} as time, round(v, 2) as value, {out} from e"""
+      union all select r.i, r.t, r.v, {step} from e join r on r.i = e.i + 1)"""
 
 
-@query(_ewma_sql())
+EWMA = ", ".join(f"round(num_{s} / den_{s}, 4) as ewma_{s}" for s in (7, 14, 30))
+
+
+@query(f"{_ewma_rows()} select {DAY} as time, round(v, 2) as value, {EWMA} from e")
 def ewma(t):
     out = all_rounded(timeseries.ewma(daily(t), "t", "v").withColumn("time", day("time")), 4)
     return out.withColumn("value", F.round("value", 2))
@@ -97,13 +98,42 @@ REPORT_SMA = ", ".join(
     f"round(case when i >= {w - 1} then avg(v) over (partition by series order by i rows between {w - 1} preceding and current row) end, 4) as sma_{w}" for w in (7, 14, 30))
 
 
+def _report_ewma() -> str:
+    spans = (7, 14, 30)
+    decay = {s: f"(1 - 2.0::double / {s + 1})" for s in spans}
+    first = ", ".join(f"v as num_{s}, 1.0::double as den_{s}" for s in spans)
+    step = ", ".join(f"r.v + {decay[s]} * e.num_{s}, 1 + {decay[s]} * e.den_{s}" for s in spans)
+    return f"""r as materialized (select * from {LONG_RANKED}),
+e as (select series, i, t, v, {first} from r where i = 0
+      union all select r.series, r.i, r.t, r.v, {step} from e join r on r.series = e.series and r.i = e.i + 1)"""
+
+
+REPORT_EWMA = ", ".join(f"case when count(*) over (partition by series) >= {s} then round(num_{s} / den_{s}, 4) end as ewma_{s}" for s in (7, 14, 30))
+
+
 @query(f"""
-with d as ({_decompose_sql(LONG_RANKED, "series", DAY, "")})
-select d.*, {", ".join(f"sma_{w}" for w in (7, 14, 30))} from d join (select series, {DAY} as time, {REPORT_SMA} from {LONG_RANKED}) using (series, time)""")
+with recursive {_report_ewma()}, d as ({_decompose_sql(LONG_RANKED, "series", DAY, "")})
+select d.*, {", ".join(f"sma_{w}, ewma_{w}" for w in (7, 14, 30))}
+from d join (select series, {DAY} as time, {REPORT_SMA} from {LONG_RANKED}) using (series, time)
+join (select series, {DAY} as time, {REPORT_EWMA} from e) using (series, time)""")
 def time_series_report(t):
     rows = t.orders.groupBy(F.col("o_orderdate").alias("t")).agg(F.sum("o_totalprice").alias("o_totalprice"), F.count("*").alias("orders"))
     out = timeseries.time_series_report(rows, "t").withColumn("time", day("time"))
-    return all_rounded(out.drop("ewma_7", "ewma_14", "ewma_30"), 4)
+    return all_rounded(out, 4)
+
+
+@query(f"{_ewma_rows()} select {DAY} as time, round(v, 2) as value, {SMA}, {EWMA} from e")
+def moving_averages(t):
+    out = all_rounded(timeseries.moving_averages(daily(t), "t", "v").withColumn("time", day("time")), 4)
+    return out.withColumn("value", F.round("value", 2))
+
+
+@query(f"""
+with l as (select series, v, row_number() over (partition by series order by t desc) r, count(*) over (partition by series) n from {LONG} qualify r <= 7)
+select series, cast(s as int) as step, round(v, 2) as forecast from (select unnest(range(14)) s), l where s % least(n, 7) = least(n, 7) - r""")
+def forecasts(t):
+    rows = t.orders.groupBy(F.col("o_orderdate").alias("t")).agg(F.sum("o_totalprice").alias("o_totalprice"), F.count("*").alias("orders"))
+    return all_rounded(timeseries.forecasts(rows, "t", ["o_totalprice", "orders"]), 2)
 
 
 @query("""

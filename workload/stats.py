@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillframe.operators import stats
-from workload.base import LINE_NUMBERS, SQL_GAPS, all_rounded, gaps, query, rounded, union_all
+from workload.base import LINE_NUMBERS, SQL_GAPS, all_rounded, gaps, query, rounded, union_all, sql_p_value
 
 
 @query(union_all(
@@ -29,17 +29,18 @@ def top_correlations(t):
 
 def _deep_sql(c: str) -> str:
     return f"""
-select '{c}' as "column", round_even(corr(x, y), 4) as pearson_r, round_even(corr(rx, ry), 4) as spearman_r,
-  case when abs(corr(x, y)) >= 0.8 then 'very_strong' when abs(corr(x, y)) >= 0.6 then 'strong' when abs(corr(x, y)) >= 0.4 then 'moderate'
-       when abs(corr(x, y)) >= 0.2 then 'weak' else 'negligible' end as strength
-from (select x, y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 rx,
+select '{c}' as "column", round_even(r, 4) as pearson_r, round_even(s, 4) as spearman_r, round_even({sql_p_value("r", "n")}, 6) as pearson_p,
+  round_even({sql_p_value("s", "n")}, 6) as spearman_p, {sql_p_value("r", "n")} < 0.05 as significant,
+  case when abs(r) >= 0.8 then 'very_strong' when abs(r) >= 0.6 then 'strong' when abs(r) >= 0.4 then 'moderate'
+       when abs(r) >= 0.2 then 'weak' else 'negligible' end as strength
+from (select corr(x, y) r, corr(rx, ry) s, count(*) n from (select x, y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 rx,
              rank() over (order by y) + (count(*) over (partition by y) - 1) / 2 ry
-      from (select l_extendedprice x, {c} y from {SQL_GAPS} where {c} is not null))"""
+      from (select l_extendedprice x, {c} y from {SQL_GAPS} where {c} is not null)))"""
 
 
 @query(union_all(_deep_sql(c) for c in ("l_quantity", "l_discount", "l_tax")))
 def deep_correlation(t):
-    return stats.deep_correlation(gaps(t), "l_extendedprice", LINE_NUMBERS).drop("pearson_p", "spearman_p", "significant")
+    return stats.deep_correlation(gaps(t), "l_extendedprice", LINE_NUMBERS)
 
 
 def _outlier_sql(c: str) -> str:

@@ -56,27 +56,29 @@ def _usage(log):
     return requests.usage_rollup(log, "ts", ["event_type"], F.col("event_type") != "error", F.col("value"), "1 day", "1 hour")
 
 
-USAGE = f"""
+QUANTILES = [f"amount_p{p}" for p in (50, 90, 99)]
+USAGE = """
 with r as (select event_type, date_trunc('day', ts) d, count(*) as calls, count(*) filter (event_type <> 'error') as succeeded, round(sum(value), 2) as amount,
-  min(value) as amount_min, max(value) as amount_max from events group by 1, 2)
-select strftime(d, '{MICROS}') as window_start, strftime(d + interval 1 day, '{MICROS}') as window_end, event_type, calls, succeeded, calls - succeeded as failed,
-  round_even(succeeded / calls * 100, 1) as success_rate, amount, amount_min, amount_max from r"""
+  min(value) as amount_min, max(value) as amount_max, round(quantile_cont(value, 0.5), 6) as amount_p50,
+  round(quantile_cont(value, 0.9), 6) as amount_p90, round(quantile_cont(value, 0.99), 6) as amount_p99 from events group by 1, 2)
+select strftime(d, '{micros}') as window_start, strftime(d + interval 1 day, '{micros}') as window_end, event_type, calls, succeeded, calls - succeeded as failed,
+  round_even(succeeded / calls * 100, 1) as success_rate, amount, amount_min, amount_max{quantiles} from r"""
 
 
 def _usage_shown(rows):
-    rows = rows.drop("amount_p50", "amount_p90", "amount_p99").withColumn("amount", F.round("amount", 2))
+    rows = rows.withColumns({"amount": F.round("amount", 2)} | {q: F.round(q, 6) for q in QUANTILES})
     return rows.withColumns({"window_start": instant("window_start"), "window_end": instant("window_end")})
 
 
-@query(USAGE)
+@query(USAGE.format(micros=MICROS, quantiles=", " + ", ".join(QUANTILES)))
 def usage_rollup(t):
     return _usage_shown(_usage(t.events))
 
 
-@query(f"{USAGE} where d + interval 1 day <= (select max(ts) - interval 1 hour from events)")
+@query(f"{USAGE.format(micros=MICROS, quantiles='')} where d + interval 1 day <= (select max(ts) - interval 1 hour from events)")
 def usage_stream(t):
-    """The day windows the watermark has closed once the whole log has been read as a stream."""
-    return _usage_shown(requests.run_available(_usage(_stream(t)), "usage"))
+    """The day windows the watermark has closed once the whole log has been read as a stream; its quantiles are sketches."""
+    return _usage_shown(requests.run_available(_usage(_stream(t)), "usage")).drop(*QUANTILES)
 
 
 @query("""
