@@ -356,7 +356,10 @@ def chart_requests(profiles: DataFrame) -> DataFrame:
 
 
 def dashboard_charts(df: DataFrame, key: Sequence[str]) -> dict[str, DataFrame]:
-    """Up to ten charts the table's column types allow, and its KPI cards."""
+    """Up to ten charts the table's column types and row count allow, and its KPI cards.
+
+    A kind that needs more rows than the table has is replaced by the table itself.
+    """
     types = profile.logical_types(df)
     num = [c for c, t in types.items() if t == "numeric"]
     cat = [c for c, t in types.items() if t in ("categorical", "boolean")]
@@ -379,12 +382,16 @@ def dashboard_charts(df: DataFrame, key: Sequence[str]) -> dict[str, DataFrame]:
         charts["heatmap"] = chart_heatmap(df, num)
     if len(num) >= 3:
         charts["radar"] = chart_radar(df, num)
-    charts = dict(list(charts.items())[:DASHBOARD_CHARTS])
+    rows = df.count()
+    enough = {kind: chart for kind, chart in charts.items() if rows >= MIN_ROWS.get(kind, 2)}
+    if len(enough) < len(charts):
+        enough["table"] = chart_table(df, key)
+    charts = dict(list(enough.items())[:DASHBOARD_CHARTS])
     return charts | {"kpis": analytics.kpi_cards(df, num)}
 
 
 def dashboard_data(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The same charts as one tidy table: (chart, label, series, value)."""
+    """The same charts as one tidy table: (chart, label, series, value); rows shown as they are have no place in it."""
     shape = {
         "line": lambda t: (t.columns[0], F.lit(t.columns[1]), t.columns[1]),
         "bar": lambda t: ("label", F.lit("sum"), "value"),
@@ -397,6 +404,8 @@ def dashboard_data(df: DataFrame, key: Sequence[str]) -> DataFrame:
     }
     out = None
     for name, table in dashboard_charts(df, key).items():
+        if name not in shape:
+            continue
         label, series, value = shape[name](table)
         part = table.select(F.lit(name).alias("chart"), F.col(f"`{label}`").cast("string").alias("label"),
                             series.alias("series"), F.col(f"`{value}`").cast("double").alias("value"))

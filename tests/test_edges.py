@@ -119,3 +119,9 @@ def test_insights(spark, body, reason):
 def test_null_groups_do_not_compare(spark):
     a = spark.createDataFrame([("g", 1.0), (None, 2.0)], "g string, x double")
     assert [r["g"] for r in analytics.compare_datasets(a, a, "x", "g").collect()] == ["g"]
+
+
+def test_dashboard_needs_enough_rows(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0), (2, 1.0, 5.0)], "a int, b double, c double")
+    assert set(charts.dashboard_charts(df, ["a"])) == {"histogram", "scatter", "table", "kpis"}
+    assert "table" not in {r["chart"] for r in charts.dashboard_data(df, ["a"]).collect()}

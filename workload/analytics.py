@@ -81,13 +81,16 @@ def cohort_retention(t):
     return analytics.cohort_retention(t.orders, "o_orderdate", "o_custkey", "o_totalprice")
 
 
+PERIODS = range(80)  # months from the first order date to the last, and one for safety
+
+
 @query(f"""
 with k as ({COHORTS})
-select cohort, max(case when period_index = 0 then users end) as p0, max(case when period_index = 1 then users end) as p1,
-  max(case when period_index = 12 then users end) as p12 from k group by cohort""")
+select cohort, {", ".join(f"coalesce(max(case when period_index = {i} then users end), 0) as p{i}" for i in PERIODS)} from k group by cohort""")
 def cohort_matrix(t):
     wide = analytics.cohort_matrix(t.orders, "o_orderdate", "o_custkey", "o_totalprice", "users")
-    return wide.select("cohort", F.col("0").alias("p0"), F.col("1").alias("p1"), F.col("12").alias("p12"))
+    return wide.select("cohort", *[
+        F.coalesce(F.col(str(i)) if str(i) in wide.columns else F.lit(None), F.lit(0)).cast("bigint").alias(f"p{i}") for i in PERIODS])
 
 
 STAGES = ["signup", "view", "click", "purchase"]

@@ -127,18 +127,30 @@ def preview(t):
     return readers.preview(plain_orders(t), 20, ["o_orderkey"])
 
 
-LISTED = ("customer", "part", "orders")
+def _listed_sql(name: str, columns: list[str]) -> str:
+    rows = f"(select count(*) from (select distinct * from {name}))"
+    nulls = " + ".join(f"count(*) - count({c})" for c in columns)
+    score = (f"round_even((1 - sum({nulls}) / (count(*) * {len(columns)})) * 40 + (1 - (count(*) - any_value(d)) / count(*)) * 30 + 30, 2)")
+    score = score.replace(f"sum({nulls})", f"({nulls})")
+    return f"""select '{name}' as dataset_id, '{name}' as name, 'parquet' as source_type, count(*) as row_count, {len(columns)} as col_count,
+  2::bigint as size_bytes, {score} as quality_score, '{",".join(columns)}' as columns from {name}, (select {rows} as d)"""
 
 
-@query("\nunion all\n".join(
-    f"select '{n}' as dataset_id, '{n}' as name, 'parquet' as source_type, count(*) as row_count, {k} as col_count, 2::bigint as size_bytes from {n}"
-    for n, k in (("customer", 5), ("part", 6), ("orders", 6))))
+LISTED_COLUMNS = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+}
+
+
+@query("\nunion all\n".join(_listed_sql(n, c) for n, c in LISTED_COLUMNS.items()))
 def catalog_list(t):
     """Two records per table; the later one is listed."""
     out = None
-    for name in LISTED:
+    for name in LISTED_COLUMNS:
         for version in (1, 2):
             record = catalog.catalog_record(getattr(t, name), name, size_bytes=version)
             record = record.withColumn("created_at", F.expr(f"timestamp '2024-01-0{version} 00:00:00'"))
             out = record if out is None else out.unionByName(record)
-    return catalog.catalog_list(out).select("dataset_id", "name", "source_type", "row_count", "col_count", "size_bytes")
+    listed = catalog.catalog_list(out).withColumn("columns", F.array_join(F.transform("columns", lambda c: c["name"]), ","))
+    return listed.select("dataset_id", "name", "source_type", "row_count", "col_count", "size_bytes", "quality_score", "columns")

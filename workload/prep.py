@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import prep
+from quillframe.operators import blocks, prep
 from quillframe.plans.steps import run_steps
+from quillframe.session import write_out
 from workload.base import (
     SQL_GAPS, SQL_ORDERS, all_rounded, gaps, plain_orders, query, rounded,
 )
@@ -120,9 +121,14 @@ def rename_columns(t):
     return prep.rename_columns(plain_orders(t), {"o_orderkey": "order_id", "o_custkey": "customer", "absent": "x"})
 
 
-@query(f"select * from {SQL_GAPS}")
+@query(f"""
+select *, row_number() over (order by l_returnflag desc nulls last, l_discount asc nulls last, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as place from {SQL_GAPS}""")
 def sort(t):
-    return prep.sort(gaps(t), ["l_returnflag", "l_discount", "l_orderkey", "absent"], [False, True, True, True])
+    """The order is checked too: rows are numbered as they come out of the sorted table, part by part."""
+    keys = ["l_returnflag", "l_discount", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "absent"]
+    ordered = prep.sort(gaps(t), keys, [False] + [True] * 8)
+    placed = write_out(ordered.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    return blocks.positions(placed, ["_at"]).withColumn("place", F.col("_pos") + 1).drop("_at", "_pos", "_part")
 
 
 @query("""
