@@ -48,6 +48,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{app}/{label}-{uuid.uuid4().hex}"
 
 
+_TABLES: list[str] = []  # paths written by ``write_out`` and not yet removed
+
+
+def scratch_tables() -> list[str]:
+    return list(_TABLES)
+
+
+def remove_tables(spark: SparkSession, paths) -> None:
+    """Delete scratch tables that no DataFrame in use still reads."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+        if path in _TABLES:
+            _TABLES.remove(path)
+
+
 def write_out(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -56,4 +73,5 @@ def write_out(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
