@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillframe.operators import prep
+from quillframe.session import write_out
 
 logger = logging.getLogger(__name__)
 
@@ -30,6 +31,12 @@ STEPS: dict[str, Step] = {
 }
 
 
+# Steps that look at the whole table before they change it.
+STATISTICS = {"drop_high_null", "outlier_clip", "impute", "normalize", "sample"}
+# Steps that shuffle the table.
+SHUFFLES = {"deduplicate", "sort"}
+
+
 def register_step(name: str, step: Step) -> None:
     """Add a step: ``step(df, **config) -> DataFrame``."""
     STEPS[name] = step
@@ -59,7 +66,8 @@ class StepRun:
 def run_steps(df: DataFrame, steps: Sequence[dict[str, Any]], on_error: str = "raise", count_rows: bool = False) -> StepRun:
     """Apply ``[{"processor": name, "config": {...}}]`` in order; unknown steps are skipped.
 
-    ``on_error="skip"`` keeps a failing step's input. ``count_rows`` observes the rows between
+    The table is written out before a step that takes statistics and after one that shuffles, so that no step
+    runs the steps before it again. ``on_error="skip"`` keeps a failing step's input. ``count_rows`` observes the rows between
     steps during the caller's own action; it keeps filters from moving past the step before.
     """
     run = StepRun(df)
@@ -71,13 +79,15 @@ def run_steps(df: DataFrame, steps: Sequence[dict[str, Any]], on_error: str = "r
         run._counts.append(seen)
         return frame.observe(seen, F.count(F.lit(1)).alias("rows"))
 
-    frame = observed(df)
-    for step in steps:
+    frame, fresh = observed(df), True  # fresh: nothing has been applied since the table was last read
+    for i, step in enumerate(steps):
         name = step.get("processor")
         apply = STEPS.get(name)
         if apply is None:
             run.entries.append({"processor": name, "status": "skipped", "reason": "unknown processor"})
             continue
+        if name in STATISTICS and not fresh:
+            frame, fresh = write_out(frame, "step"), True
         try:
             changed = apply(frame, **step.get("config", {}))
         except Exception as error:
@@ -86,6 +96,8 @@ def run_steps(df: DataFrame, steps: Sequence[dict[str, Any]], on_error: str = "r
             logger.warning("step %s failed: %s", name, error)
             changed = frame
         run.entries.append({"processor": name, "status": "ok"})
-        frame = observed(changed)
+        frame, fresh = observed(changed), False
+        if name in SHUFFLES and i + 1 < len(steps):
+            frame, fresh = write_out(frame, "step"), True
     run.df = frame
     return run
