@@ -13,6 +13,7 @@ from quillframe.session import write_out
 
 SPAN = 10  # words that a document must share with an item
 GRAM = 5  # words that are hashed together
+SALTS = 16  # tasks that copies of one text are dealt to
 
 
 class Hits(NamedTuple):
@@ -84,8 +85,10 @@ def find(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM)
     met = marked.select("text_key", F.explode(kept).alias("mark")).join(windows.select("mark").distinct(), "mark", "left_semi")
     met = write_out(met.groupBy("text_key").agg(F.collect_set("mark").alias("met")), "texts-met")  # bounded by the text
 
-    # The keys met grow with the table, so the texts are always dealt by key; a hot text can be split.
-    near = texts.join(met.hint("merge"), "text_key").withColumn("w", words(lower_ascii(F.col("text")), ITEM_BREAKS))
+    # The keys met grow with the table, so the texts are always dealt by key; copies of one text go to ``SALTS`` tasks.
+    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = texts.withColumn("salt", F.monotonically_increasing_id() % SALTS)
+    near = texts.join(met.hint("merge"), ["text_key", "salt"]).withColumn("w", words(lower_ascii(F.col("text")), ITEM_BREAKS))
     near = _marked(near, lengths, gram)
     found = near.select("text_key", F.explode(F.concat(*[_windows(n, F.col("met")) for n in lengths])).alias("s"))
     found = found.select("text_key", "s.pos", "s.length", "s.window").distinct()
