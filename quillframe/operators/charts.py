@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.columns import as_double, complete, known, numeric_columns, percent, sum_or_zero
+from quillframe.functions.messages import REASONS
 from quillframe.operators import analytics, blocks, profile, stats, timeseries
 
 # Row limits of the chart reports.
@@ -251,45 +252,45 @@ def _rules() -> dict[str, tuple[list, dict, Column | None]]:
         return F.when(n_num > 0, F.lit(yes)).otherwise(F.lit(no))
 
     def needs_number(alternative):
-        return (n_num == 0, F.lit("Needs ≥1 numeric column."), F.lit(alternative))
+        return (n_num == 0, F.lit(REASONS["one_number"]), F.lit(alternative))
 
     line = (
-        [needs_number("table"), (time_axis.isNull(), F.lit("Needs a datetime or categorical x-axis."), F.lit("scatter"))],
+        [needs_number("table"), (time_axis.isNull(), F.lit(REASONS["time_axis"]), F.lit("scatter"))],
         {"x": time_axis, "y": value}, None)
-    cardinalities = F.concat(F.lit("Needs a categorical column with ≤10 unique values. Found cardinalities: "), F.col("sizes"), F.lit("."))
+    cardinalities = F.concat(F.lit(REASONS["small_category"]), F.col("sizes"), F.lit("."))
     pie = ([needs_number("table"), (F.col("small_cat").isNull(), cardinalities, F.lit("bar"))],
            {"label": F.col("small_cat"), "value": value}, None)
     return {
-        "bar": ([needs_number("table"), (axis.isNull(), F.lit("Needs a categorical or datetime x-axis."), F.lit("histogram"))],
+        "bar": ([needs_number("table"), (axis.isNull(), F.lit(REASONS["category_axis"]), F.lit("histogram"))],
                 {"x": axis, "y": value},
-                F.when(axis_size > 50, F.format_string("'%s' has %d categories — top 20 shown.", axis, axis_size))),
+                F.when(axis_size > 50, F.format_string(REASONS["categories_cut"], axis, axis_size))),
         "line": line,
         "area": line,
         "pie": pie,
         "donut": pie,
-        "scatter": ([(n_num < 2, found("Needs ≥2 numeric columns; found "), if_numeric("histogram", "table"))],
+        "scatter": ([(n_num < 2, found(REASONS["two_numbers"]), if_numeric("histogram", "table"))],
                     {"x": value, "y": F.col("num1")}, None),
-        "bubble": ([(n_num < 3, found("Needs ≥3 numeric columns (x, y, size); found "), F.lit("scatter"))],
+        "bubble": ([(n_num < 3, found(REASONS["three_numbers"]), F.lit("scatter"))],
                    {"x": value, "y": F.col("num1"), "size": F.col("num2")}, None),
-        "heatmap": ([(n_num < 2, F.lit("Needs ≥2 numeric columns for correlation matrix."), F.lit("bar"))],
+        "heatmap": ([(n_num < 2, F.lit(REASONS["matrix"]), F.lit("bar"))],
                     {"matrix": F.col("matrix")}, None),
         "histogram": ([needs_number("bar")], {"value": value}, None),
         "boxplot": ([needs_number("histogram")], {"value": value, "group": group}, None),
-        "radar": ([(n_num < 3, found("Needs ≥3 numeric columns for axes; found "), if_numeric("bar", "table"))],
+        "radar": ([(n_num < 3, found(REASONS["axes"]), if_numeric("bar", "table"))],
                   {"axes": F.col("axes")},
-                  F.when(n_num > RADAR_AXES, F.lit("Radar chart truncated to 10 axes for readability."))),
-        "treemap": ([((n_num == 0) | (n_cat == 0), F.lit("Needs ≥1 categorical and ≥1 numeric column."), F.lit("bar"))],
+                  F.when(n_num > RADAR_AXES, F.lit(REASONS["axes_cut"]))),
+        "treemap": ([((n_num == 0) | (n_cat == 0), F.lit(REASONS["label_and_number"]), F.lit("bar"))],
                     {"label": cat, "value": value, "parent": F.coalesce(F.col("cat1"), F.lit(""))}, None),
-        "waterfall": ([((n_num == 0) | axis.isNull(), F.lit("Needs a numeric column and a category/date column."), F.lit("bar"))],
+        "waterfall": ([((n_num == 0) | axis.isNull(), F.lit(REASONS["number_and_axis"]), F.lit("bar"))],
                       {"x": axis, "y": value}, None),
-        "funnel": ([((n_num == 0) | (n_cat == 0), F.lit("Needs a stage (categorical) and value (numeric) column."), F.lit("bar")),
-                    (F.col("cat_size") > 12, F.format_string("Funnel needs ≤12 stages; '%s' has %d.", cat, F.col("cat_size")), F.lit("bar"))],
+        "funnel": ([((n_num == 0) | (n_cat == 0), F.lit(REASONS["stage_and_value"]), F.lit("bar")),
+                    (F.col("cat_size") > 12, F.format_string(REASONS["stages_many"], cat, F.col("cat_size")), F.lit("bar"))],
                    {"stage": cat, "value": value}, None),
-        "candlestick": ([(n_num < 4, found("Needs 4 numeric columns (open, high, low, close); found "), F.lit("line"))],
+        "candlestick": ([(n_num < 4, found(REASONS["four_numbers"]), F.lit("line"))],
                         {"date": F.coalesce(date, F.lit("")), "open": value, "high": F.col("num1"),
                          "low": F.col("num2"), "close": F.col("num3")}, None),
         "gauge": ([needs_number("table")], {"value": value}, None),
-        "sankey": ([((n_cat < 2) | (n_num == 0), F.lit("Needs 2 categorical columns (source, target) and 1 numeric column."), F.lit("bar"))],
+        "sankey": ([((n_cat < 2) | (n_num == 0), F.lit(REASONS["source_and_target"]), F.lit("bar"))],
                    {"source": cat, "target": F.col("cat1"), "value": value}, None),
         "violin": ([needs_number("histogram")], {"value": value, "group": group}, None),
         "table": ([], {}, None),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.functions.columns import as_double, dtype_of, known, numeric_columns, string_columns
+from quillframe.functions.messages import REASONS
 from quillframe.functions.scalars import monday_zero
 from quillframe.operators import blocks, profile
 from quillframe.operators.prep import cast_column
@@ -99,10 +100,10 @@ def engineer(df: DataFrame) -> tuple[DataFrame, list[str]]:
     cats = [c for c, t in types.items() if t == "categorical" and isinstance(dtype_of(df, c), T.StringType)]
     row = _number_stats(df, numbers) if numbers else {}
     made = [
-        (_date_columns(df, dates), "Extracted year/month/dayofweek from '{}'"),
-        (_scaled(df, numbers, row), "Z-score scaled '{}'"),
-        (_logged(df, numbers, row), "Log-transformed '{}'"),
-        (_encoded(df, _label_lists(df, cats)), "Label encoded '{}'"),
+        (_date_columns(df, dates), REASONS["made_dates"]),
+        (_scaled(df, numbers, row), REASONS["made_scaled"]),
+        (_logged(df, numbers, row), REASONS["made_logged"]),
+        (_encoded(df, _label_lists(df, cats)), REASONS["made_encoded"]),
     ]
     columns: dict[str, Column] = {}
     log: list[str] = []

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from quillframe.functions.columns import (
     FLOATING, NESTED, TEMPORAL, as_double, comparable, dtype_of, known, numeric_columns, percent, plain, string_columns,
 )
+from quillframe.functions.messages import REASONS
 from quillframe.operators import blocks
 from quillframe.session import write_out
 
@@ -267,13 +268,13 @@ def validate_quality(df: DataFrame) -> DataFrame:
     share = percent(F.col("nulls"), F.greatest(F.col("rows"), F.lit(1)))
     by_column = nulls.select(
         F.when(share > 50, "issue").when(share > 20, "warning").alias("severity"), "column",
-        F.format_string("'%s' is %.1f%% null", "column", share).alias("message"))
+        F.format_string(REASONS["null_share"], "column", share).alias("message"))
     ratio = F.try_divide(F.col("duplicate_rows"), F.col("rows"))
     repeated = duplicate_rows(df).select(
         F.when(ratio > 0.1, "issue").when(F.col("duplicate_rows") > 0, "warning").alias("severity"),
         F.lit(None).cast("string").alias("column"),
-        F.when(ratio > 0.1, F.format_string("%d duplicate rows (%.1f%%)", "duplicate_rows", ratio * 100))
-        .otherwise(F.format_string("%d duplicate rows", "duplicate_rows")).alias("message"))
+        F.when(ratio > 0.1, F.format_string(REASONS["duplicates_share"], "duplicate_rows", ratio * 100))
+        .otherwise(F.format_string(REASONS["duplicates"], "duplicate_rows")).alias("message"))
     found = by_column.unionByName(repeated).filter(F.col("severity").isNotNull())
     valid = found.agg((F.count_if(F.col("severity") == "issue") == 0).alias("is_valid"))
     return found.crossJoin(F.broadcast(valid))  # one row
@@ -282,10 +283,10 @@ def validate_quality(df: DataFrame) -> DataFrame:
 def quality_warnings(df: DataFrame, raw_strings: bool = False) -> DataFrame:
     """Columns more than 30 % missing, and a table score below 60."""
     missing = missing_report(df).filter(F.col("missing_pct") > 30).select(
-        "column", F.format_string("'%s' has %s%% missing values.", "column", F.col("missing_pct").cast("string")).alias("message"))
+        "column", F.format_string(REASONS["missing_share"], "column", F.col("missing_pct").cast("string")).alias("message"))
     score = quality_score(df, raw_strings).filter(F.col("quality_score") < 60).select(
         F.lit(None).cast("string").alias("column"),
-        F.format_string("Data quality score is low (%s/100).", F.col("quality_score").cast("string")).alias("message"))
+        F.format_string(REASONS["score_low"], F.col("quality_score").cast("string")).alias("message"))
     return missing.unionByName(score)
 
 

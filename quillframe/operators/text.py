@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions.messages import REASONS
 from quillframe.operators.charts import KINDS
 
 # Keyword sets, patterns and limits.
@@ -61,25 +62,25 @@ def screen_questions(df: DataFrame, column: str) -> DataFrame:
     """Adds ``accepted`` and ``reason``: empty, too long, or a prompt-injection pattern."""
     q = F.col(column)
     return _screen(df, _verdict(
-        (q.isNull() | q.rlike(BLANK), "Question cannot be empty."),
-        (F.length(q) > MAX_QUESTION, f"Question exceeds {MAX_QUESTION} character limit."),
-        (q.rlike(PROMPT_INJECTION), "Question contains disallowed patterns.")))
+        (q.isNull() | q.rlike(BLANK), REASONS["question_empty"]),
+        (F.length(q) > MAX_QUESTION, REASONS["question_long"].format(limit=MAX_QUESTION)),
+        (q.rlike(PROMPT_INJECTION), REASONS["question_pattern"])))
 
 
 def screen_sql(df: DataFrame, column: str) -> DataFrame:
     q = F.col(column)
     return _screen(df, _verdict(
-        (q.rlike(FORBIDDEN_SQL), "SQL query contains disallowed statements (DROP, DELETE, ALTER, etc.)."),
-        (F.length(q) > MAX_SQL, f"SQL query exceeds {MAX_SQL} character limit.")))
+        (q.rlike(FORBIDDEN_SQL), REASONS["sql_statement"]),
+        (F.length(q) > MAX_SQL, REASONS["sql_long"].format(limit=MAX_SQL))))
 
 
 def screen_code(df: DataFrame, column: str) -> DataFrame:
     code = F.col(column)
     return _screen(df, _verdict(
-        (code.isNull() | code.rlike(BLANK), "Generated code is empty."),
-        (code.rlike(DANGEROUS_CODE), "Generated code contains disallowed operations."),
-        (~code.contains("result_df"), "Generated code must assign output to 'result_df'."),
-        (F.length(code) > MAX_CODE, "Generated code exceeds length limit.")))
+        (code.isNull() | code.rlike(BLANK), REASONS["code_empty"]),
+        (code.rlike(DANGEROUS_CODE), REASONS["code_operation"]),
+        (~code.contains("result_df"), REASONS["code_result"]),
+        (F.length(code) > MAX_CODE, REASONS["code_long"])))
 
 
 # --- JSON in free text ----------------------------------------------------------------
@@ -119,9 +120,9 @@ def validate_insights(df: DataFrame, column: str) -> DataFrame:
                          F.format_string(f"Insight [%d] missing required key '{k}'.", i)) for k in INSIGHT_KEYS]),
         lambda s: s.isNotNull())))
     reason = (
-        F.when(F.col(column).isNull(), "LLM response is not valid JSON.")
-        .when(keys.isNull() | ~F.array_contains(keys, "insights"), "Missing 'insights' key in LLM response.")
-        .when(held.isNull() | ~F.schema_of_variant(held).startswith("ARRAY"), "'insights' must be a list.")
+        F.when(F.col(column).isNull(), REASONS["json_invalid"])
+        .when(keys.isNull() | ~F.array_contains(keys, "insights"), REASONS["insights_missing"])
+        .when(held.isNull() | ~F.schema_of_variant(held).startswith("ARRAY"), REASONS["insights_list"])
         .otherwise(F.coalesce(F.try_element_at(missing, F.lit(1)), F.lit("")))
     )
     return _screen(df, reason)
@@ -133,7 +134,7 @@ def validate_chart_spec(df: DataFrame, column: str) -> DataFrame:
     missing = F.array_compact(F.array(*[F.when(~F.array_contains(keys, k), F.lit(f"'{k}'")) for k in CHART_KEYS]))
     chart = F.get_json_object(column, "$.chart")
     reason = (
-        F.when(F.col(column).isNull() | keys.isNull(), "LLM response is not valid JSON.")
+        F.when(F.col(column).isNull() | keys.isNull(), REASONS["json_invalid"])
         .when(F.size(missing) > 0, F.concat(F.lit("Chart output missing keys: {"), F.array_join(missing, ", "), F.lit("}")))
         .when(chart.isNull() | ~chart.isin(*KINDS), F.concat(F.lit("Invalid chart type '"), F.coalesce(chart, F.lit("None")), F.lit("' in LLM output.")))
         .otherwise("")
