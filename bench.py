@@ -12,7 +12,7 @@ import os
 import sys
 import time
 
-from quillframe.session import build_session
+from quillframe.session import build_session, remove_tables, scratch_tables
 from workload import QUERIES
 
 HEADLINE = (
@@ -39,6 +39,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        remove_tables(spark, scratch_tables())
         print(f"{name:28s} {times[name]:8.3f}", file=sys.stderr, flush=True)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": scale}))

@@ -13,7 +13,7 @@ import traceback
 import duckdb
 import pandas as pd
 
-from quillframe.session import build_session
+from quillframe.session import build_session, remove_tables, scratch_tables
 from workload import ORACLE, QUERIES
 from workload.base import TABLES
 
@@ -79,6 +79,7 @@ def main(parts: list[str]) -> int:
             verdict = f"ERROR {str(error)[:1500]}"
             if os.environ.get("CHECK_TRACE"):
                 traceback.print_exc()
+        remove_tables(spark, scratch_tables())
         bad += not verdict.startswith(("ok", "rows only"))
         print(f"{name:28s} {took:6.2f}s {verdict}", flush=True)
     print("failed:", bad)
