@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from check import compare
 from quillframe.llm.queries import ORACLE, QUERIES
+from quillframe.session import scratch_tables, write_out
 from workload.base import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -50,19 +51,22 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns = docs.columns
     docs = docs.unionByName(docs.limit(20)).unionByName(spark.createDataFrame(EDGE, docs.schema))
-    stage = dict(corpus_pipeline.STAGES)
-    known = stage["detect_language"](spark, docs, FOLDER).cache()
+    def written(fn):
+        return lambda *args: write_out(fn(*args), "stage")
+
+    stage = {name: written(fn) for name, fn in corpus_pipeline.STAGES}
+    known = stage["detect_language"](spark, docs, FOLDER)
     assert known.columns == columns and known.filter("doc_id between 9000 and 9002").count() == 0
     assert known.count() == docs.count() - 3
-    single = stage["drop_near_duplicates"](spark, known, FOLDER).cache()
+    single = stage["drop_near_duplicates"](spark, known, FOLDER)
     assert single.columns == columns
     texts = {r["text"]: r["doc_id"] for r in single.collect()}
     assert len(texts) == single.count() <= known.select("text").distinct().count()
     first = {r["text"]: r["id"] for r in known.groupBy("text").agg({"doc_id": "min"}).toDF("text", "id").collect()}
     assert all(first[t] == i for t, i in texts.items())
-    clean = stage["drop_contaminated"](spark, single, FOLDER).cache()
+    clean = stage["drop_contaminated"](spark, single, FOLDER)
     assert clean.columns == columns and 0 < clean.count() < single.count()
-    mixed = stage["mix_sources"](spark, clean, FOLDER).cache()
+    mixed = stage["mix_sources"](spark, clean, FOLDER)
     assert mixed.columns == columns
     assert all(r["n_chars"] == len(r["text"]) for r in mixed.collect())
     shards = stage["deal_shards"](spark, mixed, FOLDER)
@@ -77,6 +81,16 @@ def test_run(spark):
 
 def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, FOLDER)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = write_out(stage(spark, docs, FOLDER), name)
         assert docs.count() == 0
+
+
+def test_stages_remove_what_earlier_ones_wrote(spark):
+    docs, sizes = spark.read.parquet(f"{FOLDER}/documents.parquet"), []
+    before = set(scratch_tables())
+    for name, stage in corpus_pipeline.STAGES:
+        docs = write_out(stage(spark, docs, FOLDER), name)
+        sizes.append({t.rsplit("/", 1)[-1].rsplit("-", 1)[0] for t in scratch_tables() if t not in before})
+    assert "dedup-rows" in sizes[1] and "dedup-rows" not in sizes[2]
+    assert "mix-rows" in sizes[3] and not {"mix-rows", "dedup-rows"} & sizes[4]
