@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import ID, let, lower_ascii, numbered, words
+from quillframe.llm.common import ROW, let, lower_ascii, packed, word_count, words
 from quillframe.session import write_out
 
 LEAST_DOCS = 10  # a line in no more documents than this is never removed
@@ -37,51 +37,74 @@ def repeated_words(w: Column) -> Column:
     return let(runs, count)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """The base figures of every text and its lines as (hash of the normalised line, words), written once."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD))
-    rows = docs.select(
-        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.md5(text.cast("binary")).alias("text_key"),
-        text.alias("text"), words(text).alias("w"), lines.alias("rows"))
-    entries = F.transform("rows", lambda s: let(words(s), lambda w: F.struct(
-        F.xxhash64(lower_ascii(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"))))
-    return numbered(rows.select(
-        "doc_id", "host", "text_key", F.size("w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("rows") - F.size(F.array_distinct("rows"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("w")).cast("long").alias("n_repeat_words"), entries.alias("lines")), "quality-rows")
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
 
+def _line_hash(line: Column) -> Column:
+    """The hash of a normalised line: words joined by one space, A-Z lower-cased."""
+    return let(words(line), lambda w: F.xxhash64(lower_ascii(F.array_join(w, " "))))
 
-def common_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+
+def common_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """(host, h): lines found in more than ``least_docs`` documents and ``host_share`` of the host's documents.
 
     Equal texts of a host count as one document, so that copying a document does not make its lines common.
     Equal (host, line, text) triples fold before the shuffle.
     """
-    seen = rows.select("host", "text_key", F.explode("lines.h").alias("h")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashes = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD)), _line_hash))
+    rows = docs.select(_host().alias("host"), F.md5(text.cast("binary")).alias("text_key"), hashes.alias("lines"))
+    seen = rows.select("host", "text_key", F.explode("lines").alias("h")).distinct()
     counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
     hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     return counts.join(hosts, "host").filter(F.col("n") > F.col("docs") * host_share).select("host", "h")
 
 
+def _with_clean(docs: DataFrame, least_docs: int, host_share: float) -> DataFrame:
+    """(_row, text, clean): each row of ``docs``, its text, and the text without the common lines of its host.
+
+    A host has at most 1 / ``host_share`` times as many common lines as its documents have on average.
+    """
+    common = common_lines(docs, least_docs, host_share).groupBy("host").agg(F.collect_set("h").alias("common"))
+    common = write_out(common, "common-lines")
+    rows = docs.select(packed(docs), _host().alias("host"), F.col("text")).join(common, "host", "left")
+    left = F.filter(F.split("text", "\n"), lambda s: ~F.array_contains("common", _line_hash(s)))
+    return rows.select(ROW, "text", F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("clean"))
+
+
+def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+    """``docs`` (text, source as host, any others) with the lines of ``common_lines`` removed from the texts.
+
+    All rows, columns and other lines stay as they are and in order; a text whose lines are all removed becomes empty.
+    """
+    rows = _with_clean(docs, least_docs, host_share)
+    return rows.select(*[F.col("clean").alias(c) if c.lower() == "text" else F.col(f"{ROW}.`{c}`") for c in docs.columns])
+
+
 def judge(
     docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source as host) with the base figures, removed_words and kept.
 
-    Lines are normalised (words joined by one space, A-Z lower-cased) and hashed. The lines of ``common_lines`` are
-    removed, and a document is rejected if less than ``least_left`` of its words remain, or by the
-    base rules: fewer than 50 words, or more than half of them in repeated runs of three. Null texts have no words;
-    a null source counts as the empty one. Repeated rows are judged alike; other columns are ignored.
+    Removed are the words that the texts of ``cleaned`` no longer have. A document is rejected if less than ``least_left``
+    of its words remain, or by the base rules: fewer than 50 words, or more than half of them in repeated runs of
+    three. Null texts have no words; a null source counts as the empty one. Repeated rows are judged alike; other
+    columns are ignored.
     """
-    rows = measured(docs)
-    common = write_out(common_lines(rows, least_docs, host_share), "common-lines")
-    removed = rows.select(ID, "host", F.inline("lines")).join(common, ["host", "h"]).groupBy(ID).agg(F.sum("n").alias("removed"))
-    rows = rows.join(removed, ID, "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = _with_clean(docs.select("doc_id", "text", "source"), least_docs, host_share)
+    rows = rows.select(
+        F.col(f"{ROW}.doc_id").alias("doc_id"), text.alias("text"), words(text).alias("w"), word_count(F.col("clean")).alias("n_left"),
+        F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD)).alias("rows"))
+    rows = rows.select(
+        "doc_id", "n_left", F.size("w").cast("long").alias("n_words"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (F.size("rows") - F.size(F.array_distinct("rows"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("w")).cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    left = F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words")
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words",
-        failed.alias("base_failed"), (~failed & left).alias("kept"))
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (F.col("n_words") - F.col("n_left")).alias("removed_words"), failed.alias("base_failed"),
+        (~failed & (F.col("n_left") >= least_left * F.col("n_words"))).alias("kept"))
