@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from quillframe.llm import decontamination, langid, mixing, quality, sharding, simhash, tokens, toolcalls, toxicity, warc
+from quillframe.session import write_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,12 +160,10 @@ from rows
 @query
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards whose row counts differ by one at most, shuffled uniformly."""
-    docs = table(spark, folder, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    placed = sharding.shard(docs, 16)
+    placed = write_out(sharding.shard(table(spark, folder, "documents"), 16), "sharded")  # whole rows, texts included
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
