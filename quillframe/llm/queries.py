@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quillframe.llm import decontamination, langid, mixing, quality, sharding, simhash, tokens, toolcalls, toxicity, warc
+from quillframe.llm import (
+    decontamination, langid, mixing, quality, secrets, sharding, simhash, tokens, toolcalls, toxicity, warc)
 from quillframe.session import write_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +244,65 @@ select coalesce(f.conv_id, r.conv_id) as conv_id, coalesce(f.turn, r.turn) as tu
        || case when f.n_calls is null then 'orphan' when r.n_results is null then 'unanswered' else 'linked' end || '"}' as record
 from flawed f full join results r using (call_id) left join depths d using (call_id)
 """
+
+
+@query
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: strong patterns, and weak parts that complete each other."""
+    return secrets.report(table(spark, folder, "documents"))
+
+
+def _secrets_sql() -> str:
+    """Places come from the pieces between matches; parts of one text are joined by their distance."""
+    def family(kind: str, pattern: str) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"""
+  select rid, doc_id, '{kind}' as family, unnest(regexp_extract_all(text, '{quoted}')) as m,
+         unnest(string_split_regex(text, '{quoted}')[:len(regexp_extract_all(text, '{quoted}'))]) as gap,
+         unnest(generate_series(1, len(regexp_extract_all(text, '{quoted}')))) as i
+  from docs"""
+
+    families = {"assign": secrets.ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "login": secrets.LOGIN,
+                "key": secrets.KEY, "endpoint": secrets.ENDPOINT}
+    prefix = secrets.ASSIGNED.replace("'", "''")
+    return f"""
+with docs as (select doc_id, row_number() over () as rid, coalesce(text, '') as text from documents),
+found as ({" union all ".join(family(k, p) for k, p in families.items())}),
+ends as (
+  select *, sum(length(gap) + length(m)) over (partition by rid, family order by i) as stop,
+         length(regexp_replace(m, '^{prefix}', '')) as n_value
+  from found),
+spans as (
+  select rid, doc_id, cast(stop - length(m) as bigint) as start, cast(stop as bigint) as stop, case
+      when family = 'assign' then case when n_value >= 12 then 'assign' when n_value >= 6 then 'short' end
+      when family = 'access' then case when length(m) >= 18 then 'access' end
+      when family = 'hex' then case when length(m) >= 16 then 'hex' end
+      when family = 'key' then case when regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') then 'key' end
+      else family end as kind
+  from ends),
+known as (select *, list_position(['assign', 'access', 'hex', 'login', 'key', 'short', 'endpoint'], kind) as rank from spans where kind is not null),
+around as (
+  select w.rid, w.kind, w.rank, w.start, w.stop,
+         bool_or(o.rank <= 3 and o.start < w.stop and o.stop > w.start) as covered,
+         bool_or(o.kind in ('access', 'login') and (o.stop <= w.start or o.start >= w.stop)) as identified,
+         bool_or(o.kind in ('assign', 'hex', 'key', 'short') and (o.stop <= w.start or o.start >= w.stop)) as secret
+  from known w join known o on w.rid = o.rid and o.start <= w.stop + {secrets.SCOPE} and o.stop >= w.start - {secrets.SCOPE}
+  where w.rank > 3 group by all),
+every as (
+  select rid, kind, rank, start, stop from known where rank <= 3
+  union all
+  select rid, kind, rank, start, stop from around
+  where not covered and case kind when 'login' then secret when 'endpoint' then secret and identified else identified end),
+listed as (
+  select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+         count(*) filter (kind = 'hex') as n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank <= 3) as strong,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
+  from every group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(strong, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join listed using (rid)
+"""
+
+
+ORACLE["op12_secrets"] = _secrets_sql()
