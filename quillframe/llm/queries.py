@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from quillframe.llm import (
-    decontamination, langid, mixing, quality, secrets, sharding, simhash, tokens, toolcalls, toxicity, warc)
+    decontamination, langid, mixing, quality, repair, secrets, sharding, simhash, tokens, toolcalls, toxicity, trie, warc)
 from quillframe.session import write_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +246,73 @@ from flawed f full join results r using (call_id) left join depths d using (call
 """
 
 
+def rebuilt(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """Conversations that start with up to three turns of another: the first h of conversation c - c % 20, then their own after
+    the first h, with h the CRC32 of c modulo 4."""
+    given = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    convs = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), given.alias("given"))
+    heads = turns.filter((F.col("at") < 3) & (F.col("conv_id") % 20 == 0)).withColumnRenamed("conv_id", "base")
+    start = write_out(convs.join(heads, "base").filter(F.col("at") < F.col("given")).select("conv_id", "at", "key", "words"), "trie-heads")
+    lengths = convs.join(start.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id", "left")
+    own = turns.join(lengths, "conv_id").filter(F.col("at") >= F.col("given"))
+    at = F.col("at") - F.col("given") + F.coalesce("n", F.lit(0))
+    return start.unionByName(own.select("conv_id", at.alias("at"), "key", "words"))
+
+
+@query
+def op11_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All nodes of the prefix trie of the conversations, rebuilt so that many share their first turns."""
+    turns = write_out(trie.sequences(table(spark, folder, "conversations")), "trie-turns")
+    ids = turns.filter("at = 0").select("conv_id")
+    return trie.nodes(write_out(rebuilt(turns, ids), "trie-rebuilt"), ids)
+
+
+ORACLE["op11_trie"] = r"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) as at, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations),
+convs as (select distinct conv_id, conv_id - conv_id % 20 as base from conversations),
+given as (
+  select conv_id, base, xor(list_reduce(generate_series(0, 8 * length(id) - 1)::bigint[], lambda c, i:
+           xor((case when i % 8 = 0 then xor(c, ascii(id[i // 8 + 1])::bigint) else c end) >> 1,
+               case when (case when i % 8 = 0 then xor(c, ascii(id[i // 8 + 1])::bigint) else c end) % 2 = 1 then 3988292384 else 0 end),
+           4294967295::bigint), 4294967295::bigint) % 4 as h  -- CRC32, bit by bit
+  from (select *, conv_id::varchar as id from convs)),
+heads as (select c.conv_id, t.at as k, role, text from given c join turns t on t.conv_id = c.base where t.at <= h),
+taken as (select conv_id, count(*) as n from heads group by conv_id),
+rebuilt as (
+  select * from heads
+  union all
+  select t.conv_id, t.at - h + coalesce(n, 0), role, text from turns t join given using (conv_id) left join taken using (conv_id) where t.at > h),
+worded as (
+  select conv_id, k, len(regexp_extract_all(text, '[^ 	-
+]+')) as w,
+         md5(string_agg(md5(length(role) || ':' || role || text), '') over (partition by conv_id order by k)) as path
+  from rebuilt),
+paths as (select * from worded union all select conv_id, 0, 0, '' from convs),
+members as (
+  select *, min(conv_id) over (partition by k, path) as first_id, count(*) over (partition by k, path) as n,
+         max(k) over (partition by conv_id) as last_k, lag(path) over (partition by conv_id order by k) as parent_path
+  from paths),
+told as (
+  select *, max(last_k) over (partition by k, path) as deepest from members),
+summed as (
+  select *, sum(w) over deeper as words_below,
+         sum(case when conv_id = first_id then w else 0 end) over deeper as own_below,
+         max(case when conv_id = first_id and k = deepest then 1 else 0 end) over (partition by conv_id) as leads
+  from told window deeper as (partition by conv_id order by k desc)),
+nodes as (
+  select k as depth, path, first_id as conv_id, any_value(parent_path) as parent_path, any_value(n) as n_convs, sum(leads) as n_leaves,
+         sum(words_below) - sum(own_below) as saved_tokens,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (last_k = k), '')) as ends_sha256
+  from summed group by k, path, first_id),
+children as (select depth - 1 as depth, parent_path as path, count(*) as n_children from nodes where depth > 0 group by all)
+select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, coalesce(n_children, 0) as n_children, cast(v.n_leaves as bigint) as n_leaves,
+       cast(v.saved_tokens as bigint) as saved_tokens, v.ends_sha256
+from nodes v left join nodes p on p.depth = v.depth - 1 and p.path = v.parent_path
+left join children c on c.depth = v.depth and c.path = v.path
+"""
+
 @query
 def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document: strong patterns, and weak parts that complete each other."""
@@ -306,3 +373,23 @@ from docs left join listed using (rid)
 
 
 ORACLE["op12_secrets"] = _secrets_sql()
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` with faults planted by the CRC32 of conv_id and turn: dropped, emptied, cut short, repeated or reroled rows."""
+    def told(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    rows = turns.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), (
+        F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20).alias("fate")).filter("fate != 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(True), F.when(F.col("fate") == 3, 2).otherwise(1)))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of all conversations after damage, and the cheapest edits that repair them."""
+    turns = table(spark, folder, "conversations")
+    return repair.report(damaged(turns), turns)
