@@ -12,6 +12,7 @@ from quillframe.functions.columns import as_double, comparable, complete, known,
 from quillframe.functions.scalars import month_of, months_apart
 from quillframe.operators import blocks, profile, stats, timeseries
 from quillframe.operators.prep import cast_column, predicate, sort_keys
+from quillframe.operators.summaries import summaries
 
 # Fixed values.
 KPI_COLUMNS = 8
@@ -61,9 +62,7 @@ def group_aggregate(df: DataFrame, group_cols: Sequence[str], agg_col: str, agg_
 def kpis(df: DataFrame, columns: Sequence[str] | None = None, date_col: str | None = None) -> DataFrame:
     """Up to eight numeric columns: total, mean, median, min, max, std, count, null % and growth."""
     cols = (known(df, columns) if columns else numeric_columns(df))[:KPI_COLUMNS]
-    out = blocks.column_rows(df, cols, lambda c, x: {
-        "total": F.sum(x), "mean": F.bround(F.avg(x), 4), "min": F.min(x), "max": F.max(x), "std": F.stddev_samp(x),
-        "count": F.count(x), "rows": F.count("*")})
+    out = summaries(df, cols).select("column", "total", F.bround("mean", 4).alias("mean"), "min", "max", "std", "count", "rows")
     null_pct = percent(F.col("rows") - F.col("count"), F.col("rows"))
     out = out.withColumn("null_pct", null_pct).drop("rows").filter(F.col("count") > 0)
     medians = blocks.quantiles(df, cols, [0.5]).select("column", F.col("q")[0].alias("median"))
@@ -76,8 +75,7 @@ def kpis(df: DataFrame, columns: Sequence[str] | None = None, date_col: str | No
 def kpi_cards(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """First four numeric columns: sum, mean, min, max, count."""
     cols = (known(df, columns) if columns else numeric_columns(df))[:CARD_COLUMNS]
-    out = blocks.column_rows(df, cols, lambda c, x: {
-        "sum": F.sum(x), "mean": F.bround(F.avg(x), 4), "min": F.min(x), "max": F.max(x), "count": F.count(x)})
+    out = summaries(df, cols).select("column", F.col("total").alias("sum"), F.bround("mean", 4).alias("mean"), "min", "max", "count")
     return out.filter(F.col("count") > 0)
 
 

@@ -12,16 +12,19 @@ None of them puts a whole table, or a whole key, into one task:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.columns import as_double, plain
 from quillframe.session import write_out
 
-SKETCH_ACCURACY = 10_000
+PARTS = 65_535  # the last part of a bin that quantiles divide
 # Aggregates compiled into one loop; a larger loop is no longer optimised by the JVM and is
 # several times slower.
 AGGREGATES_PER_SCAN = 24
@@ -184,66 +187,186 @@ def _lerp(low: Column, high: Column, weight: Column) -> Column:
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles: (by..., column, n, q array).
 
-    A bounded sketch brackets every quantile, what lies below the bracket is counted, and only the
-    distinct values inside it are ordered, so no task ever holds all values of a column or group.
+    Radix selection: values fold to counts of bins that keep their order, and only the bins that hold a wanted rank are
+    divided further, at most three times; a bin of one value is done at once. No value is sorted or kept, only bins are, of which
+    there is a bounded number per column, group and quantile.
     """
-    if not columns:
-        nothing = long_form(df, columns, keep=by)
-        return nothing.select(*by, "column", F.lit(0).cast("bigint").alias("n"), F.array("value").alias("q"))
-    return _sketched_quantiles(long_form(df, columns, keep=by), [*by, "column"], probabilities)
+    if not by:
+        return _column_quantiles(df, columns, probabilities)
+    found = _grouped_ranks(df, columns, probabilities, by)
 
+    def value(rank: Column) -> Column:  # the value that holds this 0-based rank
+        return F.max(F.when((F.col("_base") <= rank) & (rank < F.col("_base") + F.col("_count")), F.col("_value")))
+
+    ranks = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]
+    ends = [end.alias(f"_{name}{i}") for i, r in enumerate(ranks) for name, end in (("low", value(F.floor(r))), ("high", value(F.ceil(r))))]
+    parts = [_lerp(F.col(f"_low{i}"), F.col(f"_high{i}"), r - F.floor(r)) for i, r in enumerate(ranks)]
+    names = F.array(*[F.lit(c) for c in columns]).cast("array<string>")
+    return found.groupBy(*by, "_c", "_n").agg(*ends).select(
+        *by, F.get(names, F.col("_c")).alias("column"), F.col("_n").alias("n"), F.array(*parts).cast("array<double>").alias("q"))
+
+
+def _keys_of(x: np.ndarray) -> np.ndarray:
+    """64-bit keys in the order of the values; one for both zeros."""
+    bits = (x + 0.0).view(np.uint64)
+    negative = bits >> np.uint64(63) == 1
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
+
+
+def _value_of(key: int) -> float:
+    bits = key & ((1 << 63) - 1) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
 
-def _sketched_quantiles(
-    long: DataFrame, keys: list[str], probabilities: Sequence[float], accuracy: int = SKETCH_ACCURACY, slack: int = 3
-) -> DataFrame:
-    """Bracket each quantile by sketched values ``slack`` sketch errors away, then rank inside the bracket.
 
-    Groups of at most ``accuracy`` rows are ranked whole. Should a bracket miss its rank, the
-    groups concerned are done again with a wider one.
+def _signed(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Quantiles of whole columns, by 16 bits of the values' keys at a time.
+
+    Tasks count the bins of their batches; the bins to divide, two per column and quantile at most, go to the tasks with the job.
     """
-    margin = slack / accuracy  # the sketch errs by about 1/accuracy of the rows
-    edges = [float(e) for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    whole = (F.col("n") <= accuracy) | F.lit(margin >= 1)
-    sketch = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
-        F.percentile_approx("value", edges, accuracy).alias("_edges"))
-    wanted = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            (F.lit(float(p)) * (F.col("n") - 1)).alias("rank"),
-            F.when(whole, F.col("_min")).otherwise(F.col("_edges")[2 * i]).alias("lo"),
-            F.when(whole, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("hi"),
-        )
-        for i, p in enumerate(probabilities)
-    ])
-    brackets = sketch.select(*keys, "n", wanted.alias("_wanted"))
-    # One row per value and bracket it is not above; rows below a bracket fold into one count.
-    near = (
-        join_small(long, brackets, keys)
-        .select(*keys, "n", "value", F.explode("_wanted").alias("w"))
-        .filter(F.col("value") <= F.col("w.hi"))
-        .select(*keys, "n", F.col("w.i").alias("i"), F.col("w.rank").alias("rank"),
-                F.when(F.col("value") >= F.col("w.lo"), F.col("value")).alias("value"))
-        .groupBy(*keys, "n", "i", "rank", "value").agg(F.count("*").alias("c"))
-    )
-    placed = positions(near, [F.col("value").asc_nulls_first()], by=[*keys, "i"])
-    ranked = prefix_scan(placed, F.col("c"), "_upto", by=[*keys, "i"])
-
-    def at(rank):  # the value holding this 0-based rank
-        hit = (F.col("_upto") > rank) & (F.col("_upto") - F.col("c") <= rank)
-        return F.max(F.when(hit, F.col("value")))
-
-    picked = ranked.groupBy(*keys, "n", "i", "rank").agg(
-        at(F.floor("rank")).alias("lo"), at(F.ceil("rank")).alias("hi"))
-    value = _lerp(F.col("lo"), F.col("hi"), F.col("rank") - F.floor("rank"))
-    found = write_out(picked.groupBy(*keys, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q")), "quantiles")
-    missed = found.filter(F.exists("q", lambda v: v.isNull()) | (F.size("q") < len(probabilities)))
-    if margin >= 1 or missed.limit(1).count() == 0:
-        return found
-    again = join_small(long, missed.select(*keys), keys)
-    rest = found.join(missed.select(*keys), keys, "left_anti")
-    return rest.unionByName(_sketched_quantiles(again, keys, probabilities, accuracy, 4 * slack))
+    spark = df.sparkSession
+    sizes: dict[int, int] = {}
+    done, wanted = [], None
+    for level in range(4 if columns else 0):
+        open_columns = [i for i in range(len(columns)) if wanted is None or any(c == i for c, _ in wanted)]
+        wide = df.select(*[as_double(df, columns[i]).alias(f"x{i}") for i in open_columns])
+        counts = _bin_counts(wide, open_columns, level, wanted).withColumn("_bin", F.shiftright("_key", 48 - 16 * level))
+        if wanted is not None:
+            c, prefix = zip(*wanted)
+            n, base = zip(*wanted.values())
+            types = {"_c": pa.int32(), "_above": pa.int64(), "_n": pa.int64(), "_base": pa.int64()}
+            above = spark.createDataFrame(pa.table([pa.array(v, t) for v, t in zip((c, prefix, n, base), types.values())], names=list(types)))
+            counts = counts.withColumn("_above", F.shiftright("_key", 64 - 16 * level)).join(F.broadcast(above), ["_c", "_above"])
+        hits = _hit(counts, ["_c"], ["_bin"] if wanted is None else ["_above", "_bin"], probabilities).collect()  # a bounded number
+        sizes |= {r["_c"]: r["_n"] for r in hits}
+        done += [(r["_c"], r["_base"], r["_base"] + r["_count"], _value_of(r["_lo"] + (1 << 63))) for r in hits if r["_lo"] == r["_hi"]]
+        wanted = {(r["_c"], r["_bin"]): (r["_n"], r["_base"]) for r in hits if r["_lo"] < r["_hi"]}
+        if not wanted:
+            break
+
+    def at(c: int, rank: int) -> float:
+        return next(v for i, first, end, v in done if i == c and first <= rank < end)
+
+    def between(c: int, p: float) -> float:
+        rank = float(p) * (sizes[c] - 1)
+        low, high, weight = at(c, math.floor(rank)), at(c, math.ceil(rank)), rank - math.floor(rank)
+        return low if low == high or weight == 0 else low + (high - low) * weight
+
+    known = sorted(sizes)
+    found = [[columns[c] for c in known], [sizes[c] for c in known], [[between(c, p) for p in probabilities] for c in known]]
+    return spark.createDataFrame(pa.table(
+        [pa.array(v, t) for v, t in zip(found, (pa.string(), pa.int64(), pa.list_(pa.float64())))], names=["column", "n", "q"]))
+
+
+def _bin_counts(wide: DataFrame, places: Sequence[int], level: int, wanted: dict | None) -> DataFrame:
+    """(_c, _key, _count, _lo, _hi): per bin of 16 (level + 1) bits its smallest key, its values, and the first and last key seen."""
+    shift, size = np.uint64(48 - 16 * level), len(places)
+    prefixes = [np.array([p for c, p in wanted or () if c == i], np.int64) for i in places]
+
+    def starts(digits: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, digits[1:] != digits[:-1]])
+
+    def binned(keys: np.ndarray):
+        keys = np.sort(keys)
+        first = starts(keys >> shift)
+        ends = np.r_[first[1:], len(keys)]
+        return keys[first] >> shift << shift, ends - first, keys[first], keys[ends - 1]
+
+    def bins(keys: np.ndarray, counts: np.ndarray, lows: np.ndarray, highs: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        keys, counts, lows, highs = keys[order], counts[order], lows[order], highs[order]
+        first = starts(keys)
+        return keys[first], np.add.reduceat(counts, first), np.minimum.reduceat(lows, first), np.maximum.reduceat(highs, first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[] for _ in range(size)]
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                x = column.to_numpy(zero_copy_only=False)
+                keys = _keys_of(x[~np.isnan(x)])
+                if wanted is not None:
+                    at = _signed(keys) >> np.int64(64 - 16 * level)
+                    keys = keys[np.logical_or.reduce([at == p for p in prefixes[i]])]
+                if len(keys):
+                    held[i].append(binned(keys))
+                if len(held[i]) >= 64:
+                    held[i] = [bins(*map(np.concatenate, zip(*held[i])))]
+        for i, parts in enumerate(held):
+            if parts:
+                keys, counts, lows, highs = bins(*map(np.concatenate, zip(*parts)))
+                for a in range(0, len(keys), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys[part]), places[i], np.int32)), pa.array(_signed(keys[part])), pa.array(counts[part]),
+                         pa.array(_signed(lows[part])), pa.array(_signed(highs[part]))], names=["_c", "_key", "_count", "_lo", "_hi"])
+
+    found = wide.mapInArrow(run, "_c int, _key long, _count long, _lo long, _hi long")
+    return found.groupBy("_c", "_key").agg(F.sum("_count").alias("_count"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+
+def _grouped_ranks(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The bins of one value that hold the wanted ranks of each group.
+
+    Bins are sixteenths of a power of two at first, then 65,536 equal parts of what the bin above holds, and in the end single values.
+    """
+    keys = [*by, "_c"]
+    cells = _cells(df, columns, by).withColumn("_b1", _magnitude(F.col("_x")))
+    held, wanted, found = [], None, []
+    for level in range(1, 5):
+        bins = [f"_b{i}" for i in range(1, level + 1)]
+        if level > 1:
+            cells = _join_same(cells, wanted, [*keys, *bins[:-1]])
+            inside = F.col("_x") if level == 4 else F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)
+            cells = cells.withColumn(bins[-1], inside).drop("_lo", "_hi")
+            held = ["_n", "_base"]
+        counts = cells.groupBy(*keys, *bins, *held).agg(F.count("*").alias("_count"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        hits = write_out(_hit(counts, keys, bins, probabilities), "ranks")
+        found.append(hits.filter("_lo = _hi").select(*keys, "_n", "_base", "_count", F.col("_lo").alias("_value")))
+        wanted = hits.filter("_lo < _hi").drop("_count")
+        if level == 4 or wanted.isEmpty():
+            break
+        cells = cells.drop(*held)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _cells(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by..., _c, _x): the known values with their column's place, negative zero as zero."""
+    structs = [F.struct(F.lit(i).alias("_c"), (as_double(df, c) + 0.0).alias("_x")) for i, c in enumerate(columns)]
+    if len(structs) == 1:
+        cells = df.select(*by, structs[0].alias("_cell"))
+    else:
+        array = F.array(*structs).cast("array<struct<_c:int,_x:double>>")
+        cells = df.select(*by, F.explode(array).alias("_cell"))
+    return cells.select(*by, "_cell.*").filter(F.col("_x").isNotNull())
+
+
+def _magnitude(x: Column) -> Column:
+    """A bin number that grows with ``x``: sign, and sixteenths of its power of two."""
+    size = F.abs(x)
+    bin_ = F.when(size == 0, 0).when(size == float("inf"), 40_000).otherwise(F.floor(F.log2(size) * 16).cast("int") + 20_000)
+    return F.when(x < 0, -bin_).otherwise(bin_)
+
+
+def _join_same(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys are equal; the columns of ``keys`` come once."""
+    renamed = small.select(*[F.col(k).alias(f"_of{k}") if k in keys else F.col(k) for k in small.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
+    return rows.join(renamed, same).drop(*[f"_of{k}" for k in keys])
+
+
+def _hit(counts: DataFrame, keys: Sequence[str], bins: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """The bins that hold a wanted rank, with the rows below them and, at the first level, the rows of the column."""
+    above = [*keys, *bins[:-1]]
+    upto = F.sum("_count").over(Window.partitionBy(*above).orderBy(bins[-1]).rowsBetween(Window.unboundedPreceding, 0))
+    if len(bins) == 1:
+        counts = counts.withColumns({"_n": F.sum("_count").over(Window.partitionBy(*above)), "_base": F.lit(0).cast("long")})
+    placed = counts.withColumn("_base", F.col("_base") + upto - F.col("_count"))
+    ends = [end(F.lit(float(p)) * (F.col("_n") - 1)) for p in probabilities for end in (F.floor, F.ceil)]
+    inside = [(F.col("_base") <= r) & (r < F.col("_base") + F.col("_count")) for r in ends]
+    return placed.filter(reduce(lambda a, b: a | b, inside))
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], **options) -> dict[str, list]:

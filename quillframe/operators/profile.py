@@ -14,6 +14,7 @@ from quillframe.functions.columns import (
 )
 from quillframe.functions.messages import REASONS
 from quillframe.operators import blocks
+from quillframe.operators.summaries import summaries
 from quillframe.session import write_out
 
 # Thresholds of the reports.
@@ -23,8 +24,6 @@ TEXT_LENGTH = 40
 TOP_VALUES = 10
 SAMPLE_VALUES = 5
 
-COLUMNS_PER_SCAN = 4  # about six aggregates each
-
 
 # --- logical types --------------------------------------------------------------------
 
@@ -55,11 +54,6 @@ def _string_probe(df: DataFrame, name: str) -> Column:
     )
 
 
-def logical_type(df: DataFrame, name: str) -> Column:
-    fixed = _typed(df, name)
-    return F.lit(fixed) if fixed else _string_probe(df, name)
-
-
 def logical_types(df: DataFrame) -> dict[str, str]:
     """Logical type of every column (one row collected; no job without string columns)."""
     fixed = {c: _typed(df, c) for c in df.columns}
@@ -134,42 +128,61 @@ def sample_values(df: DataFrame, order_by: Sequence[str] | None = None, k: int =
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """One row per column: types, nulls and range; a few columns share a scan."""
-    names = list(enumerate(df.columns))
-    parts = [_column_stats(df, names[i:i + COLUMNS_PER_SCAN]) for i in range(0, len(names), COLUMNS_PER_SCAN)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _column_stats(df: DataFrame, names: Sequence[tuple[int, str]]) -> DataFrame:
-    aggregates: list[Column] = [F.count("*").alias("rows")]
-    specs = []
-    for i, c in names:
-        kind = dtype_of(df, c)
-        aggregates += [F.count(plain(df, c)).alias(f"n{i}"), logical_type(df, c).alias(f"t{i}")]
-        low = high = mean = std = F.lit(None).cast("string")
-        if isinstance(kind, T.NumericType):
-            x = as_double(df, c)
-            aggregates += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                           F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-            low, high = F.col(f"lo{i}").cast("string"), F.col(f"hi{i}").cast("string")
-            mean, std = F.col(f"m{i}"), F.col(f"s{i}")
-        elif isinstance(kind, TEMPORAL):
-            aggregates += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-            low, high = F.col(f"lo{i}").cast("string"), F.col(f"hi{i}").cast("string")
-        elif isinstance(kind, T.StringType):
-            when = F.try_to_timestamp(F.col(f"`{c}`"))
-            aggregates += [F.min(when).alias(f"lo{i}"), F.max(when).alias(f"hi{i}")]
-            is_date = F.col(f"t{i}") == "datetime"
-            low = F.when(is_date, F.col(f"lo{i}").cast("string"))
-            high = F.when(is_date, F.col(f"hi{i}").cast("string"))
-        nulls = F.col("rows") - F.col(f"n{i}")
-        specs.append({
-            "position": F.lit(i), "column": F.lit(c), "dtype": F.lit(kind.simpleString()),
-            "inferred_type": F.col(f"t{i}"), "rows": F.col("rows"), "null_count": nulls,
-            "null_pct": F.coalesce(percent(nulls, F.col("rows")), F.lit(0.0)),
-            "min_val": low, "max_val": high, "mean_val": mean.cast("double"), "std_val": std.cast("double"),
-        })
-    return blocks.rows_per_column(df.agg(*aggregates), specs)
+    """One row per column: types, nulls and range. Two scans for any number of columns: one for the numbers, one for the rest."""
+    fixed = {c: _typed(df, c) for c in df.columns}
+    numbers = numeric_columns(df)
+    others = [c for c in df.columns if c not in numbers]
+    text = [F.col(c).cast("string").alias(c) for c in ("min_val", "max_val")]
+    parts = []
+    if numbers:
+        parts.append(summaries(df, numbers).select(
+            "column", "rows", "count", F.lit("numeric").alias("inferred_type"), F.col("min").cast("string").alias("min_val"),
+            F.col("max").cast("string").alias("max_val"), F.col("mean").alias("mean_val"), F.col("std").alias("std_val")))
+    if others:
+        parts.append(_other_stats(df, others, fixed).select(
+            "column", "rows", "count", "inferred_type", *text, F.lit(None).cast("double").alias("mean_val"), F.lit(None).cast("double").alias("std_val")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], f"position int, column string, dtype string, {STAT_FIELDS}")
+    nulls = F.col("rows") - F.col("count")
+    places = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
+    kinds = F.create_map(*[F.lit(x) for c in df.columns for x in (c, dtype_of(df, c).simpleString())])
+    return reduce(DataFrame.unionByName, parts).select(
+        places[F.col("column")].alias("position"), "column", kinds[F.col("column")].alias("dtype"), "inferred_type", "rows", nulls.alias("null_count"),
+        F.coalesce(percent(nulls, F.col("rows")), F.lit(0.0)).alias("null_pct"), "min_val", "max_val", "mean_val", "std_val")
+
+
+STAT_FIELDS = ("inferred_type string, rows bigint, null_count bigint, null_pct double, min_val string, max_val string, "
+               "mean_val double, std_val double")
+
+
+def _other_stats(df: DataFrame, columns: Sequence[str], fixed: dict[str, str | None]) -> DataFrame:
+    """(column, rows, count, inferred_type, min_val, max_val) of columns that are no numbers, folded as cells.
+
+    Times are compared as times. Strings are dates if all parse; only then do they have a range.
+    """
+    kinds = ("date", "timestamp", "timestamp_ntz")
+    cells = []
+    for i, c in enumerate(columns):
+        kind, col = dtype_of(df, c), F.col(f"`{c}`")
+        is_text = isinstance(kind, T.StringType)
+        times = [(col if kind.typeName() == k else F.lit(None)).cast(k).alias(k) for k in kinds]
+        cells.append(F.struct(
+            F.lit(i).alias("i"), col.isNotNull().alias("known"), F.length(col if is_text else F.lit(None).cast("string")).alias("length"),
+            (F.try_to_timestamp(col) if is_text else F.lit(None).cast("timestamp")).alias("parsed"), *times))
+    folded = df.select(F.inline(F.array(*cells))).groupBy("i").agg(
+        F.count("*").alias("rows"), F.count_if("known").alias("count"), F.avg("length").alias("length"), F.count("parsed").alias("dates"),
+        *[end(k).cast("string").alias(f"{n}_{k}") for k in ("parsed", *kinds) for n, end in (("lo", F.min), ("hi", F.max))])
+    of_text = F.when(F.col("count") == 0, "categorical").when(F.col("dates") == F.col("count"), "datetime").when(
+        F.col("length") > TEXT_LENGTH, "text").otherwise("categorical")
+    named = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit(fixed[c]).cast("string").alias("fixed")) for i, c in enumerate(columns)])
+    found = df.sparkSession.range(1).select(F.inline(named)).join(F.broadcast(folded), "i", "left")  # one row per column
+    zero = F.lit(0).cast("long")
+    found = found.withColumns({"rows": F.coalesce("rows", zero), "count": F.coalesce("count", zero), "dates": F.coalesce("dates", zero)})
+    found = found.withColumn("inferred_type", F.coalesce("fixed", of_text))
+    is_date = F.col("fixed").isNull() & (F.col("inferred_type") == "datetime")
+    return found.select("column", "rows", "count", "inferred_type", *[
+        F.when(is_date, F.col(f"{n}_parsed")).otherwise(F.coalesce(*[f"{n}_{k}" for k in kinds])).alias(f"{end}_val")
+        for n, end in (("lo", "min"), ("hi", "max"))])
 
 
 SCHEMA_FIELDS = (
@@ -317,8 +330,7 @@ def _entropy_of(counts: DataFrame) -> DataFrame:
 def summary_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Numeric columns: count, mean, std, min, 25/50/75/90 %, max."""
     cols = known(df, columns) if columns else numeric_columns(df)
-    base = blocks.column_rows(df, cols, lambda c, x: {
-        "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)})
+    base = summaries(df, cols).select("column", "count", "mean", "std", "min", "max")
     q = blocks.quantiles(df, cols, [0.25, 0.5, 0.75, 0.9])
     q = q.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75", "p90"])])
     return base.join(F.broadcast(q), "column", "left")  # one row per column
@@ -367,8 +379,7 @@ def histogram(df: DataFrame, column: str, max_bins: int, min_bins: int = 1, by_d
 def distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Numeric columns: skew, excess kurtosis (both population) and five quantiles."""
     cols = known(df, columns) if columns else numeric_columns(df)
-    base = blocks.column_rows(df, cols, lambda c, x: {
-        "skewness": F.bround(F.skewness(x), 4), "kurtosis": F.bround(F.kurtosis(x), 4)})
+    base = summaries(df, cols).select("column", F.bround("skewness", 4).alias("skewness"), F.bround("kurtosis", 4).alias("kurtosis"))
     names = ["p5", "p25", "p50", "p75", "p95"]
     q = blocks.quantiles(df, cols, [0.05, 0.25, 0.5, 0.75, 0.95])
     q = q.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
@@ -431,10 +442,10 @@ def profile_dataset(df: DataFrame, exact: bool = True) -> DataFrame:
         "unique_count", (F.col("unique_count") <= 1).alias("is_constant"), (F.col("unique_count") == rows).alias("is_unique"))
     # The tables joined below hold one row per column.
     if numbers:
-        moments = blocks.column_rows(df, numbers, lambda c, x: {
-            "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x),
-            "skewness": F.bround(F.skewness(x), 4), "kurtosis": F.bround(F.kurtosis(x), 4),
-            "has_negatives": F.bool_or(x < 0), "has_zeros": F.bool_or(x == 0)})
+        some = F.col("count") > 0
+        moments = summaries(df, numbers).select(
+            "column", "mean", "std", "min", "max", F.bround("skewness", 4).alias("skewness"), F.bround("kurtosis", 4).alias("kurtosis"),
+            F.when(some, F.col("negatives") > 0).alias("has_negatives"), F.when(some, F.col("zeros") > 0).alias("has_zeros"))
         q = blocks.quantiles(df, numbers, [0.25, 0.5, 0.75, 0.95])
         q = q.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75", "p95"])])
         moments = moments.join(F.broadcast(q), "column", "left").withColumnRenamed("column", "name")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.columns import as_double, finite, known, numeric_columns, percent
+from quillframe.functions.columns import as_double, known, numeric_columns, percent
 from quillframe.functions.pvalues import correlation_p
 from quillframe.functions.scalars import corr_strength
 from quillframe.operators import blocks
+from quillframe.operators.summaries import co_moments, summaries
 from quillframe.session import write_out
 
 # Fixed values.
@@ -28,54 +27,21 @@ def _cols(df: DataFrame, columns) -> list[str]:
     return known(df, columns) if columns else numeric_columns(df)
 
 
-def _pair_sums(df: DataFrame, columns: Sequence[str], centre: list[float]) -> DataFrame:
-    """(i, j, n, sx, sy, sxx, syy, sxy) of every pair i <= j over the rows where both are known, less ``centre``.
-
-    One scan for any number of columns: each task adds up matrix products of its batches and emits its sums once.
-    """
-    size, middle = len(columns), np.array(centre)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((6, size, size))
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype("float64")
-            there = ~np.isnan(rows)
-            x, there = np.where(there, rows - middle, 0.0), there.astype("float64")
-            with np.errstate(invalid="ignore", over="ignore"):
-                sums += np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x])
-        i, j = np.triu_indices(size)
-        found = sums[:, i, j]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(f) for f in found]],
-            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    wide = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    parts = wide.mapInArrow(run, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-
-
 def _pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, column_a, column_b, rows, corr) for a <= b in column order, pairwise complete; null where one side is constant."""
     names = F.array(*[F.lit(c) for c in columns]).cast("array<string>")
-    moments = [F.count("*").alias("rows")] + [F.avg(finite(as_double(df, c))).alias(f"m{i}") for i, c in enumerate(columns)]
-    row = df.agg(*moments).first()
-    centre = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
-    sums = _pair_sums(df, columns, centre)
-    middle = F.array(*[F.lit(float(c)) for c in centre]).cast("array<double>")
-
-    def spread(total: str, squares: str, column: str) -> Column:
-        found = F.col(squares) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
-        noise = F.pow(F.get(middle, F.col(column)) * 1e-14, F.lit(2)) * F.col("n")  # of rounding around the centre
-        return F.when(found > noise, found)
-
-    cross = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
-    corr = cross / F.sqrt(spread("sx", "sxx", "i") * spread("sy", "syy", "j"))
-    corr = F.nanvl(corr, F.lit(None))
-    corr = F.when(F.col("i") == F.col("j"), F.when(spread("sx", "sxx", "i").isNotNull() & (F.col("n") > 1), 1.0)).otherwise(
+    found = co_moments(df, columns)
+
+    def spread(squares: str, mean: str) -> Column:
+        noise = F.pow(F.col(mean) * 1e-14, F.lit(2)) * F.col("n")  # of rounding around the mean
+        return F.when(F.col(squares) > noise, F.col(squares))
+
+    corr = F.nanvl(F.col("cxy") / F.sqrt(spread("cxx", "mx") * spread("cyy", "my")), F.lit(None))
+    corr = F.when(F.col("i") == F.col("j"), F.when(spread("cxx", "mx").isNotNull() & (F.col("n") > 1), 1.0)).otherwise(
         F.when(F.abs(corr) > 1, F.signum(corr)).otherwise(corr))
-    return sums.select(
+    return found.select(
         F.col("i").alias("a"), F.col("j").alias("b"), F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"),
-        F.lit(row["rows"]).alias("rows"), corr.alias("corr"))
+        "rows", corr.alias("corr"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, min_rows: int = MIN_CORRELATION_ROWS) -> DataFrame:
@@ -206,8 +172,8 @@ def anomaly_report(
 ) -> DataFrame:
     """Per column and method: anomaly count, share and the first ``listed`` keys."""
     cols = _cols(df, columns)
-    row = blocks.stats_row(df, {f"{n}{i}": f(as_double(df, c)) for i, c in enumerate(cols)
-                                for n, f in (("m", F.avg), ("s", F.stddev_pop), ("n", F.count))})
+    known_by = {r["column"]: r for r in summaries(df, cols).collect()}  # one row per column
+    row = {f"{n}{i}": known_by[c][f] for i, c in enumerate(cols) for n, f in (("m", "mean"), ("s", "std_pop"), ("n", "count"))}
     bounds = fences(df, cols)
     marks, sizes = [], {}
     for i, c in enumerate(cols):

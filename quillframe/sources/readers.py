@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import types as T
 from quillframe.functions.columns import string_columns
 from quillframe.operators import blocks
 from quillframe.operators.text import FORBIDDEN_SQL
+from quillframe.sources import csv_records
 
 # Texts read as null, truth values, databases a query may be sent to.
 NULL_TOKENS = (
@@ -22,17 +26,32 @@ TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 JDBC_SCHEMES = ("postgresql", "mysql", "sqlite", "sqlserver")
 
-LATIN, UTF8 = "ISO-8859-1", "UTF-8"
+SPLIT_ENCODINGS = ("UTF-8", "ISO-8859-1", "US-ASCII")  # whose lines Spark can tell apart and decode
 
 
-def _encodings(spark: SparkSession, path) -> dict[str, list[str]]:
-    """Files per encoding: Latin-1 where a line is not valid UTF-8. One row per bad file is collected."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.expr("is_valid_utf8(value)").alias("ok"))
-    bad = [r["f"] for r in lines.filter(~F.col("ok")).select("f").distinct().collect()]
-    if not bad:
-        return {UTF8: [path] if isinstance(path, str) else list(path)}
-    good = [f for f in spark.read.text(path).inputFiles() if f not in set(bad)]
-    return {e: files for e, files in ((UTF8, good), (LATIN, bad)) if files}
+def _names(header: str, sep: str, quote: str) -> list[str]:
+    """The columns of a header, named as Spark does: empty names by place, repeated ones with their place."""
+    names = next(csv.reader(io.StringIO(header, newline=""), delimiter=sep, quotechar=quote))
+    lowered = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _csv_rows(spark: SparkSession, path, encoding: str | None, options: dict) -> DataFrame:
+    """All fields as strings. Files with the same header are read together; the columns of others are matched by name."""
+    sep, quote = options.get("sep", options.get("delimiter", ",")), options.get("quote", '"')
+    rows, files = csv_records.records(spark, path, sep, quote, encoding)
+    first = files.filter("header IS NOT NULL").groupBy("header").agg(F.min("file").alias("file"))
+    headers = [r["header"] for r in first.orderBy("file").collect()]  # one per layout
+    parts = []
+    for header in headers:
+        part = rows if len(headers) == 1 else rows.join(files.filter(F.col("header") == header).select("file"), "file")
+        names = _names(header, sep, quote)
+        fields = ", ".join(f"`f{i}` string" for i in range(len(names)))
+        parsed = F.from_csv("text", F.lit(fields), {**options, "escape": '"', "mode": "PERMISSIVE"})
+        parts.append(part.select(parsed.alias("r")).select(*[F.col(f"r.f{i}").alias(n) for i, n in enumerate(names)]))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_csv(
@@ -41,15 +60,15 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header. Files that are not UTF-8 are read as Latin-1; null tokens become null.
 
-    Quoted fields may hold line breaks, so a file is one task; ``lines`` says that they hold none, and
-    Spark then splits large files. Without a ``schema`` columns become bigint, double or boolean if all their values fit.
+    Quoted fields may hold line breaks, and large files are read by many tasks all the same: see ``csv_records``. ``lines`` says that
+    no field holds one (and all files are UTF-8 or in ``encoding``), which spares a pass. Without a ``schema`` columns become
+    bigint, double or boolean if all their values fit. A named encoding other than those of ``SPLIT_ENCODINGS`` makes a file one task.
     """
-    groups = {encoding: [path] if isinstance(path, str) else list(path)} if encoding else _encodings(spark, path)
-    out = None
-    for name, files in groups.items():
-        reader = spark.read.options(header=True, encoding=name, mode="PERMISSIVE", escape='"', multiLine=not lines, **options)
-        part = reader.csv(files)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if lines or (encoding or "UTF-8").upper() not in SPLIT_ENCODINGS:
+        reader = spark.read.options(header=True, encoding=encoding or "UTF-8", mode="PERMISSIVE", escape='"', multiLine=not lines, **options)
+        out = reader.csv(path if isinstance(path, str) else list(path))
+    else:
+        out = _csv_rows(spark, path if isinstance(path, str) else list(path), encoding, options)
     out = out.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in out.columns])
     if schema is None:
         return infer_types(out)

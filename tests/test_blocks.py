@@ -86,11 +86,9 @@ PROBS = [0.0, 0.05, 0.25, 0.5, 0.77, 0.9, 1.0]
 
 
 @pytest.mark.parametrize("by", [[], ["key"]])
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_sketched_quantiles_are_exact(rows, by, accuracy):
+def test_quantiles_are_exact(rows, by):
     pdf, df = rows
-    long = blocks.long_form(df, ["x", "t"], keep=by)
-    got = blocks._sketched_quantiles(long, [*by, "column"], PROBS, accuracy).collect()
+    got = blocks.quantiles(df, ["x", "t"], PROBS, by).collect()
     groups = {(): pdf} if not by else {(k,): g for k, g in pdf.groupby("key")}
     assert len(got) == 2 * len(groups)
     for r in got:
@@ -99,6 +97,36 @@ def test_sketched_quantiles_are_exact(rows, by, accuracy):
         np.testing.assert_allclose(r["q"], np.quantile(g[r["column"]], PROBS), atol=1e-9)
 
 
+def test_quantiles_of_close_and_far_values(spark):
+    """Neighbouring doubles need every level; the rest spans all magnitudes."""
+    rng = np.random.default_rng(3)
+    near = [np.float64(1.0)]
+    for _ in range(300):
+        near.append(np.nextafter(near[-1], 2.0))
+    sets = {
+        "near": np.array(near + [1.04] * 5), "far": np.concatenate([10.0 ** rng.uniform(-320, 308, 200), -(10.0 ** rng.uniform(-320, 308, 201))]),
+        "signs": np.array([-0.0, 0.0, -5e-324, 5e-324, 1.0, -1.0, 0.1, 0.1]), "one": np.array([3.5])}
+    rows = [(None if name == "one" else name, float(v)) for name, values in sets.items() for v in values]
+    got = {r["g"]: r["q"] for r in blocks.quantiles(spark.createDataFrame(rows, "g string, x double"), ["x"], PROBS, ["g"]).collect()}
+    assert set(got) == {"near", "far", "signs", None}
+    for name, values in sets.items():  # as a whole column, too
+        whole = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (None,)], "x double")
+        assert blocks.quantiles(whole, ["x"], PROBS).first()["q"] == got[None if name == "one" else name]
+    for name, values in sets.items():
+        values, want = np.sort(values), []
+        for p in PROBS:
+            at = p * (len(values) - 1)
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            want.append(low if low == high or at == int(at) else low + (high - low) * (at - np.floor(at)))
+        assert got[None if name == "one" else name] == want
+
+
+def test_quantiles_need_no_sort_of_values(rows, capsys):
+    _, df = rows
+    blocks.quantiles(df, ["x", "t"], PROBS, ["key"]).explain()
+    assert "rangepartitioning" not in capsys.readouterr().out
+
+
 def test_quantiles_of_infinities(spark):
     df = spark.createDataFrame([(float(x),) for x in ("inf", "inf", "-inf", "1", "2")], "x double")
     q = blocks.quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0]).first()["q"]

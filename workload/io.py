@@ -42,54 +42,59 @@ def read_json(t):
     return readers.read_json(t.spark, path)
 
 
-def one_file(df, label):
+def documents(df, label):
+    """Rows of text as files of one document each, written by all tasks."""
     path = scratch_path(df.sparkSession, label)
-    df.coalesce(1).write.text(path)
+    df.write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
-NATION_SQL = "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation"
+def items(t, by, *columns):
+    """(by, items): the line items of each supplier or order as a list; no list grows with the table."""
+    return t.lineitem.groupBy(by).agg(F.collect_list(F.struct(*columns)).alias("items"))
 
 
-@query(NATION_SQL)
+LISTED = ["l_orderkey", "l_linenumber", "l_quantity"]
+LISTED_SQL = "select l_orderkey, l_linenumber::bigint as l_linenumber, l_quantity from lineitem"
+
+
+@query(LISTED_SQL)
 def read_json_list(t):
-    """One document that is a list."""
-    rows = t.nation.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
-    return readers.read_json(t.spark, one_file(rows, "list"))
+    """A file per supplier, each a list."""
+    rows = items(t, "l_suppkey", *LISTED).select(F.to_json("items").alias("value"))
+    return readers.read_json(t.spark, documents(rows, "list"))
 
 
-@query(NATION_SQL)
+@query(LISTED_SQL)
 def read_json_first_list(t):
-    """One document over several lines, whose first list by position is not the first by name."""
-    rows = F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))
-    text = F.concat(F.lit('{"z": 1,\n "rows":\n'), rows, F.lit(',\n "a": [{"n_name": "none"}]}'))
-    return readers.read_json(t.spark, one_file(t.nation.agg(text.alias("value")), "object"))
+    """A file per supplier, over several lines, whose first list by position is not the first by name."""
+    text = F.concat(F.lit('{"z": 1,\n "rows":\n'), F.to_json("items"), F.lit(',\n "a": [{"l_quantity": 0.5}]}'))
+    return readers.read_json(t.spark, documents(items(t, "l_suppkey", *LISTED).select(text.alias("value")), "object"))
 
 
-@query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
+@query(LISTED_SQL)
 def read_json_records(t):
-    """One document per region, each with its nations under its first list-valued key."""
+    """A line per order, each with its items under a named key."""
     path = scratch_path(t.spark, "json")
-    nations = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("nations"))
-    nations.select(F.to_json(F.struct("n_regionkey", "nations")).alias("value")).write.text(path)
-    return readers.read_json(t.spark, path, records_path="nations")
+    items(t, "l_orderkey", *LISTED).select(F.to_json(F.struct("l_orderkey", F.col("items").alias("lines"))).alias("value")).write.text(path)
+    return readers.read_json(t.spark, path, records_path="lines")
 
 
-@query("select n_nationkey::bigint as n_nationkey, n_name from nation")
+@query(LISTED_SQL)
 def read_api_dump(t):
-    """Landed responses, one per region, with the rows at ``data.items``."""
+    """Landed responses, a line per order, with the rows at ``data.items``."""
     path = scratch_path(t.spark, "api")
-    items = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("items"))
-    items.select(F.to_json(F.struct(F.lit("ok").alias("status"), F.struct("items").alias("data"))).alias("value")).write.text(path)
+    body = F.struct(F.lit("ok").alias("status"), F.struct("items").alias("data"))
+    items(t, "l_orderkey", *LISTED).select(F.to_json(body).alias("value")).write.text(path)
     return readers.read_api_dump(t.spark, path, "$.data.items")
 
 
-@query("select count(*) as items, 'ok' as status from nation")
+@query("select l_suppkey, count(*) as items, 'ok' as status from lineitem group by l_suppkey")
 def read_api_dump_whole(t):
-    """One response, kept as one row."""
-    body = F.to_json(F.struct(F.lit("ok").alias("status"), F.collect_list("n_name").alias("names")))
-    dump = readers.read_api_dump(t.spark, one_file(t.nation.agg(body.alias("value")), "api"))
-    return dump.select(F.size("names").cast("bigint").alias("items"), "status")
+    """A response per supplier, each kept as one row."""
+    body = F.to_json(F.struct(F.lit("ok").alias("status"), "l_suppkey", "items"))
+    dump = readers.read_api_dump(t.spark, documents(items(t, "l_suppkey", "l_orderkey").select(body.alias("value")), "api"))
+    return dump.select("l_suppkey", F.size("items").cast("bigint").alias("items"), "status")
 
 
 BROKEN_LINES = "doc_id || ',\"quoted\"' || chr(10) || text || chr(10)"
