@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import ID, hash_bucket, let, numbered, packed, part_count, unpacked
-from quillframe.llm.draws import split_counts, summed
+from quillframe.llm.common import ROW, kept_splits, let, packed, unpacked
+from quillframe.llm.draws import mirror_points, permuted, split_counts, summed
 from quillframe.session import write_out
 
 SEED = 20_251
 FAN_OUT = 16  # children of a node in the tree of parts
+SPLIT_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
+ROUNDS = 24  # of a permutation
+SLOTS = 256  # slots of a shard that go to one place in the exchange
 
 
 def communication_matrix(sizes: DataFrame, parts: int, capacities: list[int], seed: int = SEED) -> DataFrame:
@@ -47,35 +50,39 @@ def communication_matrix(sizes: DataFrame, parts: int, capacities: list[int], se
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``shard`` (0 .. ``shards`` - 1) and ``slot`` (0, 1, ... within the shard).
+    """``docs`` with ``shard`` (0 .. ``shards`` - 1) and ``slot`` (0, 1, ... within the shard), in that order within each partition.
 
-    Every assignment of rows to places is equally likely, and shard sizes differ by one at most.
-    Rows are numbered by one write, spread over parts by a hash of the number, permuted in each part
-    and dealt to the shards in the counts of ``communication_matrix``; inside a shard they are spread
-    over blocks, permuted again and numbered from the blocks' counts. No part or block depends on a
-    column's values, so repeated rows, nulls and hot keys spread like any other. Repeated rows each
-    get a place. An empty table gives an empty one. Input columns called shard or slot are replaced.
-    The same files read in the same splits give the same shards.
+    The input's splits are the parts. Their rows are permuted in place, by a keyed permutation of their numbers, and dealt to the
+    shards in the counts of ``communication_matrix``; where a part's rows begin in a shard follows from the counts, and a
+    second keyed permutation over the shard gives the slot. Then whole rows are exchanged once, to blocks of slots. Shard sizes differ by one
+    at most. No part or slot depends on a column's values, so repeated rows, nulls, very long texts and hot keys spread
+    like any other rows, and each row has a place of its own. An empty table gives an empty one. Input columns called shard or slot are
+    replaced. The same files read in the same splits give the same shards; a table that is more than files read,
+    filtered and projected is written first, so that its splits stay.
     """
-    rows = numbered(docs.select(packed(docs)), "shard-rows")
-    total = rows.count()
-    parts = part_count(total)
-    blocks = max(1, parts // shards)
-    placed = rows.select(ID, hash_bucket(parts, seed, ID).alias("part"))
+    docs = kept_splits(docs, "shard-rows")
+    place = F.monotonically_increasing_id()
+    rows = docs.select(packed(docs), F.shiftright(place, SPLIT_BITS).alias("part"), place.bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)).alias("index"))
+    sizes = write_out(rows.groupBy("part").agg(F.count("*").alias("n")), "shard-sizes")
+    most, total = sizes.agg(F.coalesce(F.max("part"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     capacities = [total // shards + (i < total % shards) for i in range(shards)]
-    matrix = write_out(
-        communication_matrix(placed.groupBy("part").agg(F.count("*").alias("n")), parts, capacities, seed), "shard-matrix")
+    matrix = communication_matrix(sizes, 1 << int(most).bit_length(), capacities, seed)
 
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), F.col(ID)), ID)
-    dealt = placed.withColumn("rank", F.row_number().over(local)).join(matrix, "part")
-    upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: summed(F.slice("counts", F.lit(1), i)))
-    dealt = dealt.withColumn("shard", F.size(F.filter(upto, lambda c: c < F.col("rank"))))
-    dealt = write_out(dealt.select(ID, "shard", hash_bucket(blocks, seed + 2, ID).alias("block")), "shard-dealt")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = [F.coalesce(F.sum(F.col("counts")[i]).over(before), F.lit(0)) for i in range(shards)]
+    upto = F.transform(F.sequence(F.lit(0), F.lit(shards)), lambda i: summed(F.slice("counts", F.lit(1), i)))
+    plan = matrix.select("part", F.array(*starts).alias("starts"), upto.alias("upto")).join(sizes, "part")
+    plan = write_out(plan.withColumn("points", mirror_points(F.col("n"), ROUNDS, seed + 1, F.col("part"))), "shard-plan")
+    size = F.array(*[F.lit(max(c, 1)).cast("long") for c in capacities])
+    points = docs.sparkSession.range(1).select(F.array(*[
+        mirror_points(size[i], ROUNDS, seed + 2, F.lit(i)) for i in range(shards)]).alias("shard_points"))
 
-    counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "block").orderBy(F.xxhash64(F.lit(seed + 3), F.col(ID)), ID)
-    slots = dealt.withColumn("rank", F.row_number().over(inside)).join(starts, ["shard", "block"])
-    slots = slots.select(ID, "shard", (F.col("start") + F.col("rank") - 1).alias("slot"))
-    return unpacked(rows.join(slots, ID), "shard", "slot")
+    # The plan has one row per input split, of 128 MB by default: a millionth of the input. The other side is one row.
+    dealt = rows.join(F.broadcast(plan), "part").crossJoin(F.broadcast(points))
+    dealt = dealt.withColumn("rank", permuted(F.col("index"), F.col("n"), F.col("points"), F.col("part")))
+    dealt = dealt.withColumn("shard", F.size(F.filter("upto", lambda c: c <= F.col("rank"))) - 1)
+    at = F.col("rank") - F.get("upto", F.col("shard")) + F.get("starts", F.col("shard"))
+    slot = permuted(at, F.get(size, F.col("shard")), F.get("shard_points", F.col("shard")), F.col("shard"))
+    placed = dealt.select(ROW, "shard", slot.alias("slot"))
+    blocks = F.floor(F.col("slot") / SLOTS)
+    return unpacked(placed.repartition("shard", blocks).sortWithinPartitions("shard", "slot"), "shard", "slot")
