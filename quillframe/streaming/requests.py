@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillframe.functions.columns import complete, percent
 from quillframe.operators import blocks
-from quillframe.session import scratch_path
+from quillframe.session import scratch_path, write_out
 
 # Requests allowed per endpoint before the caller is idle for the window.
 LIMITS = {"upload": 10, "query": 60, "insights": 20, "chart": 100, "report": 5, "default": 200}
@@ -41,19 +43,100 @@ def rate_limit(
 
     A session ends after ``window_seconds`` without a request, so every request renews it. The
     log is sorted once by (endpoint, caller, time, key): a caller with a third of all requests
-    is spread over many partitions, and sessions are carried across their borders.
+    is spread over many partitions. Each is scanned on its own; the last request before a partition and the session open there
+    come from tables of one row per partition.
     """
     by = [endpoint, caller]
     names = list(dict.fromkeys([*by, time, *key]))
-    placed = blocks.ordinals(blocks.positions(complete(df.select(*names), [*by, time]), [time, *key], by=by), by)
-    before = lambda w: {"_previous": F.lag(time).over(w)}
-    rows = blocks.blocked(placed, before, before=1, by=by)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    fresh = F.col("_previous").isNull() | (micros(time) - micros("_previous") >= window_seconds * 1_000_000)
-    rows = blocks.prefix_scan(rows, F.when(fresh, F.col("_pos")), "_began", how="max")
-    hits = (F.col("_pos") - F.col("_began") + 1).alias("hits")
+    placed = blocks.positions(complete(df.select(*names), [*by, time]), [time, *key], by=by)
+    here = Window.partitionBy("_part").orderBy("_pos")
+    request = F.struct(*by, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
+    ends = placed.groupBy("_part").agg(F.max_by(request, "_pos").alias("_end"))
+    carried = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_end"))  # one row per sorted partition
+    rows = placed.withColumn("_before", F.lag(request).over(here)).join(F.broadcast(carried), "_part")
+    before = F.coalesce("_before", "_end")
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b) == before[b]
+    fresh = ~F.coalesce(same & (request["_at"] - before["_at"] < window_seconds * 1_000_000), F.lit(False))
+    began = F.max(F.when(fresh, F.col("_pos"))).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    scanned = write_out(rows.select(*names, "_part", "_pos", began.alias("_began")), "sessions")
+    open_ = scanned.groupBy("_part").agg(F.max("_began").alias("_open"))
+    open_ = open_.select("_part", F.max("_open").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    scanned = scanned.join(F.broadcast(open_), "_part")
+    hits = (F.col("_pos") - F.coalesce("_began", "_open") + 1).alias("hits")
     limit = limit_of(F.col(endpoint), limits)
-    return rows.select(*names, hits).withColumn("allowed", F.col("hits") <= limit)
+    return scanned.select(*names, hits).withColumn("allowed", F.col("hits") <= limit)
+
+
+class _Decisions(StatefulProcessor):
+    """Requests wait until the watermark has passed them, then are counted in order; a session is a last time and a count.
+
+    State per key: the open session, and what waits, which the watermark's delay bounds.
+    """
+
+    def __init__(self, names: list[str], time: str, order: list[str], by: list[str], waiting: T.StructType, window_seconds: int):
+        self.names, self.time, self.order, self.by, self.window = names, time, order, by, window_seconds * 1_000_000
+        self.schema = waiting
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "last long, hits long")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = []
+        for frame in rows:
+            at = frame[self.time].astype("datetime64[us]").astype("int64")
+            new += list(zip(at.tolist(), *(frame[c].tolist() for c in self.order)))
+        self.waiting.appendList(new)
+        for at in {-(-row[0] // 1000) for row in new}:  # a timer per millisecond that holds a request
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in rows if r[0] <= passed]
+        if not due:
+            return
+        left = [r for r in rows if r[0] > passed]
+        self.waiting.put(left) if left else self.waiting.clear()
+        last, hits = tuple(self.session.get()) if self.session.exists() else (None, 0)
+        counts = []
+        for at, *_ in due:
+            hits = 1 if last is None or at - last >= self.window else hits + 1
+            last = at
+            counts.append(hits)
+        self.session.update((last, hits))
+        columns = {b: [k] * len(due) for b, k in zip(self.by, key)}
+        columns |= {self.time: pd.to_datetime([r[0] for r in due], unit="us")} | {c: [r[i + 1] for r in due] for i, c in enumerate(self.order)}
+        yield pd.DataFrame(columns | {"hits": counts})[[*self.names, "hits"]]
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_decisions(
+    log: DataFrame, time: str, endpoint: str, caller: str, key: Sequence[str], watermark: str = "10 minutes",
+    window_seconds: int = WINDOW_SECONDS, limits: dict[str, int] | None = None,
+) -> DataFrame:
+    """``rate_limit`` for a stream: ``hits`` and ``allowed`` of every request, as soon as the watermark has passed it.
+
+    Requests that come out of order within the watermark's delay are put in order by (time, ``key``) first, so each gets what the batch
+    operator gives it; those that come later are dropped. All requests of an endpoint and caller pass the state of
+    that key. The state store must be RocksDB (set here).
+    """
+    log.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    by, order = [endpoint, caller], [k for k in dict.fromkeys(key) if k not in (endpoint, caller, time)]
+    names = [*by, time, *order]
+    rows = as_timestamp(complete(log.select(*names), [*by, time]), time).withWatermark(time, watermark)
+    waiting = T.StructType([T.StructField("at", T.LongType()), *[T.StructField(c, rows.schema[c].dataType) for c in order]])
+    out = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in names], T.StructField("hits", T.LongType())])
+    counted = rows.groupBy(*by).transformWithStateInPandas(
+        _Decisions(names, time, order, by, waiting, window_seconds), out, "Append", "EventTime")
+    return counted.withColumn("allowed", F.col("hits") <= limit_of(F.col(endpoint), limits))
 
 
 def rate_limit_sessions(

@@ -1,6 +1,7 @@
 """Files, the catalog, and request logs as streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,26 @@ def test_late_rows_are_dropped_by_the_stream(spark, log, tmp_path):
 def test_usage_of_an_empty_log(log):
     got = requests.usage_total(log.limit(0), F.col("e") == "q", F.col("id")).first()
     assert (got["calls"], got["amount"], got["success_rate"]) == (0, 0, 100.0)
+
+
+def test_decisions_of_a_stream_equal_the_batch_across_a_restart(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("qr"), rng.choice(["u", "v"]), rng.randrange(40_000)) for i in range(300)]
+    log = spark.createDataFrame(rows, "id long, e string, c string, s int").withColumn("t", F.expr("timestamp '2024-01-01 00:00:00.0005' + make_interval(0,0,0,0,0,0,s)")).drop("s")
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    seconds = F.unix_timestamp("t") - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
+    run = lambda: requests.run_available(
+        requests.rate_limit_decisions(requests.read_log(spark, path, log.schema), "t", "e", "c", ["id"], "2 hours", 1800, LIMITS), "t", out)
+    seen = []
+    for low, high in ((0, 15_000), (12_000, 28_000), (25_000, 40_000)):  # each part starts before the last has ended
+        part = log.filter((seconds >= low) & (seconds < high) & ~F.col("id").isin([-1, *seen]))
+        seen += [r["id"] for r in part.select("id").collect()]
+        part.orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(path)
+        first = run().count()
+    end = spark.createDataFrame([(9999, "end", "end")], "id long, e string, c string").withColumn("t", F.expr("timestamp '2024-02-01 00:00:00'"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    got = run()
+    want = requests.rate_limit(log, "t", "e", "c", ["id"], 1800, LIMITS)
+    assert 0 < first < got.count() == 300
+    shown = lambda df: sorted(map(tuple, df.select("id", "e", "c", "t", "hits", "allowed").collect()))
+    assert shown(got) == shown(want)

@@ -22,6 +22,17 @@ def rate_limit(t):
     return requests.rate_limit(t.events, "ts", "event_type", "user_id", ["event_id"], WINDOW, LIMITS).drop("ts")
 
 
+@query(f"""
+{SESSIONS}
+select event_id, event_type, user_id, hits, hits <= {LIMIT_SQL} as allowed from (
+  select *, cast(row_number() over (partition by event_type, user_id, s order by ts, event_id) as bigint) hits from s)
+where ts <= (select max(ts) - interval 10 minutes from events)""")
+def rate_limit_decisions(t):
+    """The decision on every request that the watermark has passed once the whole log has been read as a stream."""
+    decided = requests.rate_limit_decisions(_stream(t), "ts", "event_type", "user_id", ["event_id"], "10 minutes", WINDOW, LIMITS)
+    return requests.run_available(decided, "decisions").drop("ts")
+
+
 MICROS = "%Y-%m-%d %H:%M:%S.%f"
 SESSION_ROWS = f"""
 {SESSIONS}, r as (select event_type, user_id, min(ts) a, max(ts) + interval {WINDOW} seconds b, count(*) hits from s group by event_type, user_id, s)
