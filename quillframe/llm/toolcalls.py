@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.session import write_out
@@ -14,6 +16,10 @@ ACCEPTED = {
 }
 
 
+#: A string or a number in JSON text.
+TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?\d[\d.eE+-]*'
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """(call_id, depth, cyclic) for ``calls`` (call_id, after): how many calls must come before each.
 
@@ -25,15 +31,32 @@ def depths(calls: DataFrame) -> DataFrame:
     up = calls.select("call_id", "after").join(known, "after", "left")
     up = up.select("call_id", F.when(F.col("found"), F.col("after")).alias("up"))
     state = write_out(up.withColumn("depth", F.col("up").isNotNull().cast("bigint")), "call-depths")
+    settled, open_ = [state.filter(F.col("up").isNull())], state.filter(F.col("up").isNotNull())
     rounds = state.count().bit_length() + 1
     for _ in range(rounds):
-        if state.filter(F.col("up").isNotNull()).limit(1).count() == 0:
+        if open_.isEmpty():
             break
-        beyond = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = write_out(state.join(beyond, "up", "left").select(
-            "call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "call-depths")
+        every = reduce(DataFrame.unionByName, settled).unionByName(open_)
+        beyond = every.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        state = write_out(open_.join(beyond, "up").select(
+            "call_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")), "call-depths")
+        settled.append(state.filter(F.col("up").isNull()))  # these take part in no further round
+        open_ = state.filter(F.col("up").isNotNull())
+    every = reduce(DataFrame.unionByName, settled).unionByName(open_)
     cyclic = F.col("up").isNotNull()
-    return state.select("call_id", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+    return every.select("call_id", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+
+
+def canonical_numbers(text: Column) -> Column:
+    """JSON text with each number in one form: whole ones below 1e18 as digits, others as the shortest that gives the same double."""
+    def form(token: Column) -> Column:
+        value = token.try_cast("double")
+        whole = (value == F.rint(value)) & (F.abs(value) < 1e18)
+        return F.when(token.startswith('"') | token.rlike(r"^(0|-?[1-9]\d*)$"), token).when(
+            whole, value.cast("bigint").cast("string")).otherwise(F.coalesce(value.cast("string"), token))
+
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), form)
+    return F.array_join(F.zip_with(F.split(text, TOKEN), tokens, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), "")
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -71,7 +94,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     ``record``: canonical JSON with sorted keys and no blanks. Sorting by (conv_id, depth, turn) puts every call behind what it needs.
     An identifier that repeats is one call: its smallest (turn, name, arguments) counts, and n_calls says how many
     there were; results likewise. Rows without an identifier are left out. Arguments that are no JSON
-    appear as null in the record.
+    appear as null in the record. Arguments and contents are kept whole, however long. Other columns are ignored,
+    whatever their names. Empty tables give what the other table has, or nothing.
     """
     first_call = F.struct("turn", "conv_id", "name", "arguments", "after")
     asked = calls.filter(F.col("call_id").isNotNull()).groupBy("call_id").agg(
@@ -83,7 +107,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     errors = argument_errors(asked.select("call_id", "name", F.try_parse_json("arguments").alias("args")), schemas)
     asked = asked.join(depths(asked), "call_id").join(errors, "call_id", "left")
     asked = asked.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
-    joined = asked.join(answers, "call_id", "full_outer")
+    joined = asked.hint("shuffle_hash").join(answers.hint("shuffle_hash"), "call_id", "full_outer")
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     joined = joined.withColumn("status", status).withColumn("args", F.try_parse_json("arguments"))
     record = F.to_json(F.struct(
@@ -93,4 +117,4 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         F.coalesce("conv_id", "r.conv_id").alias("conv_id"), F.coalesce("turn", "r.turn").alias("turn"), "call_id", "name", "status",
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
         "depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
-        F.coalesce(F.size("errors"), F.lit(0)).alias("n_errors"), record.alias("record"))
+        F.coalesce(F.size("errors"), F.lit(0)).alias("n_errors"), canonical_numbers(record).alias("record"))
