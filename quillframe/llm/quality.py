@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import ROW, let, lower_ascii, packed, word_count, words
+from quillframe.llm.common import ID, ROW, kept_splits, let, lower_ascii, packed, sieved, word_count, words
 from quillframe.session import write_out
 
-LEAST_DOCS = 10  # a line in no more documents than this is never removed
-HOST_SHARE = 0.05  # of the host's documents; a line in more of them is removed
-LEAST_LEFT = 0.5  # of the words; a document that keeps less is rejected
+LEAST_DOCS = 10  # of a host; a line in more of them is removed, however large the host is
+LEAST_LEFT = 0.75  # of the words; a document that keeps less is rejected
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -46,45 +45,60 @@ def _line_hash(line: Column) -> Column:
     return let(words(line), lambda w: F.xxhash64(lower_ascii(F.array_join(w, " "))))
 
 
-def common_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(host, h): lines found in more than ``least_docs`` documents and ``host_share`` of the host's documents.
+def _hashed(rows: DataFrame) -> DataFrame:
+    """(_id, host, text_key, lines) of ``rows`` (_id, host, text): every line with a word as (at, h), its place and hash; written once."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.transform(F.split(text, "\n"), lambda s, i: F.when(s.rlike(WORD), F.struct(i.alias("at"), _line_hash(s).alias("h"))))
+    found = F.filter(lines, lambda x: x.isNotNull())
+    return write_out(rows.select(ID, "host", F.md5(text.cast("binary")).alias("text_key"), found.alias("lines")), "line-hashes")
+
+
+def common_lines(hashed: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(host, h): lines found in more than ``least_docs`` documents of their host.
 
     Equal texts of a host count as one document, so that copying a document does not make its lines common.
     Equal (host, line, text) triples fold before the shuffle.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hashes = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD)), _line_hash))
-    rows = docs.select(_host().alias("host"), F.md5(text.cast("binary")).alias("text_key"), hashes.alias("lines"))
-    seen = rows.select("host", "text_key", F.explode("lines").alias("h")).distinct()
-    counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
-    hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return counts.join(hosts, "host").filter(F.col("n") > F.col("docs") * host_share).select("host", "h")
+    once = F.array_distinct(F.transform("lines", lambda x: x["h"]))
+    seen = hashed.select("host", "text_key", F.explode(once).alias("h")).distinct()
+    return seen.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs).select("host", "h")
 
 
-def _with_clean(docs: DataFrame, least_docs: int, host_share: float) -> DataFrame:
-    """(_row, text, clean): each row of ``docs``, its text, and the text without the common lines of its host.
+def _with_clean(docs: DataFrame, least_docs: int) -> DataFrame:
+    """(_row, text, clean, cut): each row of ``docs``, its text, the text without the common lines of its host, and whether that has any.
 
-    A host has at most 1 / ``host_share`` times as many common lines as its documents have on average.
+    Only texts with common lines, and the few that a sieve cannot tell from them, are joined with the places of these lines.
     """
-    common = common_lines(docs, least_docs, host_share).groupBy("host").agg(F.collect_set("h").alias("common"))
-    common = write_out(common, "common-lines")
-    rows = docs.select(packed(docs), _host().alias("host"), F.col("text")).join(common, "host", "left")
-    left = F.filter(F.split("text", "\n"), lambda s: ~F.array_contains("common", _line_hash(s)))
-    return rows.select(ROW, "text", F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("clean"))
-
-
-def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+    docs = kept_splits(docs, "quality-rows")
+    rows = docs.select(packed(docs), _host().alias("host"), F.col("text"), F.monotonically_increasing_id().alias(ID))
+    hashed = _hashed(rows)
+    common = write_out(common_lines(hashed, least_docs), "common-lines")
+    places = hashed.select(ID, "host", F.inline("lines")).join(common, ["host", "h"])
+    places = write_out(places.groupBy(ID).agg(F.collect_list("at").alias("places")), "common-places")  # no more than the text has lines
+    told = sieved(rows.select(ROW, ID, "text"), places, "_maybe")
+    met = told.filter("_maybe").join(places, ID, "left")
+
+    def rest(lines):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    cut = F.col("places").isNotNull()
+    clean = F.when(cut, let(F.split("text", "\n"), rest)).otherwise(F.col("text"))
+    whole = told.filter("NOT _maybe").select(ROW, "text", F.col("text").alias("clean"), F.lit(False).alias("cut"))
+    return whole.unionByName(met.select(ROW, "text", clean.alias("clean"), cut.alias("cut")))
+
+
+def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` (text, source as host, any others) with the lines of ``common_lines`` removed from the texts.
 
-    All rows, columns and other lines stay as they are and in order; a text whose lines are all removed becomes empty.
+    All rows, columns and other lines stay as they are and in order; a text whose lines are all removed becomes empty. Null hosts
+    count as the empty one. An empty table gives an empty one.
     """
-    rows = _with_clean(docs, least_docs, host_share)
+    rows = _with_clean(docs, least_docs)
     return rows.select(*[F.col("clean").alias(c) if c.lower() == "text" else F.col(f"{ROW}.`{c}`") for c in docs.columns])
 
 
-def judge(
-    docs: DataFrame, least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT
-) -> DataFrame:
+def judge(docs: DataFrame, least_docs: int = LEAST_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source as host) with the base figures, removed_words and kept.
 
     Removed are the words that the texts of ``cleaned`` no longer have. A document is rejected if less than ``least_left``
@@ -93,12 +107,14 @@ def judge(
     columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = _with_clean(docs.select("doc_id", "text", "source"), least_docs, host_share)
+    rows = _with_clean(docs.select("doc_id", "text", "source"), least_docs)
     rows = rows.select(
-        F.col(f"{ROW}.doc_id").alias("doc_id"), text.alias("text"), words(text).alias("w"), word_count(F.col("clean")).alias("n_left"),
+        F.col(f"{ROW}.doc_id").alias("doc_id"), text.alias("text"), words(text).alias("w"),
+        F.when(F.col("cut"), word_count(F.col("clean"))).alias("n_left"),
         F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD)).alias("rows"))
+    n_words = F.size("w").cast("long")
     rows = rows.select(
-        "doc_id", "n_left", F.size("w").cast("long").alias("n_words"),
+        "doc_id", F.coalesce("n_left", n_words).alias("n_left"), n_words.alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("rows") - F.size(F.array_distinct("rows"))).cast("long").alias("n_dup_lines"),

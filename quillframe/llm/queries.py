@@ -133,10 +133,7 @@ lines as (
   from (select rid, host, text, unnest(string_split(text, chr(10))) as line from docs)),
 worded as (select * from lines where n > 0),
 dups as (select rid, count(*) - count(distinct line) as n_dup_lines from worded group by rid),
-hosts as (select host, count(distinct text) as docs from docs group by host),
-common as (
-  select host, norm from (select host, norm, count(distinct text) as n from worded group by host, norm) join hosts using (host)
-  where n > 10 and n > docs * 0.05),
+common as (select host, norm from worded group by host, norm having count(distinct text) > 10),
 removed as (
   select rid, cast(sum(worded.n) as bigint) as removed_words from worded join common using (host, norm) group by rid),
 runs as (
@@ -153,7 +150,7 @@ rows as (
          coalesce(removed_words, 0) as removed_words
   from docs left join dups using (rid) left join removed using (rid) left join repeated using (rid))
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * (n_words - removed_words) >= n_words as kept
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 4 * (n_words - removed_words) >= 3 * n_words as kept
 from rows
 """
 

@@ -171,7 +171,7 @@ def test_decontamination_of_empty_tables(spark):
     assert decontamination.report(docs.limit(0), spark.createDataFrame([(1, "some words")], "item_id int, text string")).count() == 0
 
 
-def brute_quality(docs, least_docs, share):
+def brute_quality(docs, least_docs):
     blank = " \t\n\x0b\x0c\r"
 
     def split(t):
@@ -180,13 +180,12 @@ def brute_quality(docs, least_docs, share):
     def norm(line):
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in " ".join(split(line)))
 
-    hosts, seen = collections.defaultdict(set), collections.defaultdict(set)
+    seen = collections.defaultdict(set)
     for _, text, host in docs:
-        hosts[host or ""].add(text or "")
         for line in (text or "").split("\n"):
             if split(line):
                 seen[host or "", norm(line)].add(text)
-    common = {k for k, v in seen.items() if len(v) > least_docs and len(v) > share * len(hosts[k[0]])}
+    common = {k for k, v in seen.items() if len(v) > least_docs}
     for doc, text, host in docs:
         w = split(text)
         lines = [x for x in (text or "").split("\n") if split(x)]
@@ -197,7 +196,7 @@ def brute_quality(docs, least_docs, share):
         removed = sum(len(split(x)) for x in lines if (host or "", norm(x)) in common)
         failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
         yield (doc, len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)),
-               len(repeated), removed, failed, not failed and 2 * (len(w) - removed) >= len(w))
+               len(repeated), removed, failed, not failed and 4 * (len(w) - removed) >= 3 * len(w))
 
 
 def test_quality_equals_brute_force(spark):
@@ -213,7 +212,7 @@ def test_quality_equals_brute_force(spark):
     docs += [(400 + i, docs[0][1], "h1") for i in range(50)]
     table = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id int, text string, source string, host string, lines int")
     got = collections.Counter(tuple(r) for r in quality.judge(table).collect())
-    want = collections.Counter(brute_quality(docs, quality.LEAST_DOCS, quality.HOST_SHARE))
+    want = collections.Counter(brute_quality(docs, quality.LEAST_DOCS))
     assert got == want
     assert any(r[6] and not r[7] and not r[8] for r in want) and any(r[8] for r in want)
     assert quality.judge(table.limit(0)).count() == 0
