@@ -9,13 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.operators import blocks
 from quillframe.session import write_out
 
 BLANKS = r"[\x20\x09-\x0D]+"
 ITEM_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROW, ID = "_row", "_id"  # a whole input row as a struct, and its number
-SIEVE_BITS = 1 << 25  # 4 MB
 
 
 def words(text: Column, breaks: str = BLANKS) -> Column:
@@ -68,14 +68,8 @@ def kept_splits(df: DataFrame, label: str) -> DataFrame:
 
 
 def sieved(df: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
-    """``df`` with ``flag``: false where ``_id`` is surely not in ``ids`` (_id). The bitmaps behind it hold ``SIEVE_BITS`` in all,
-    whatever the size of the tables, and are broadcast; where ids are many, more rows pass for which only a join can tell."""
-    place = F.pmod(F.xxhash64(ID), F.lit(SIEVE_BITS)) + 1
-    bits = ids.groupBy(F.bitmap_bucket_number(place).alias("_chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    met = df.withColumn("_chunk", F.bitmap_bucket_number(place)).join(F.broadcast(write_out(bits, "sieve")), "_chunk", "left")
-    return met.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_chunk", "_bits")
+    """``df`` with ``flag``: false where ``_id`` is surely not in ``ids`` (_id)."""
+    return blocks.sieved(df, ids, ID, flag)
 
 
 def numbered(df: DataFrame, label: str) -> DataFrame:
