@@ -26,13 +26,18 @@ def session():
 
 
 def cell(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
     if isinstance(value, float):
         return repr(value + 0.0 if value else 0.0)
     return str(value)
 
 
+def pandas_of(df) -> pd.DataFrame:
+    """The rows of a Spark table; whole numbers stay whole beside nulls."""
+    return df.toPandas().astype({c: {"bigint": "Int64", "int": "Int32"}[kind] for c, kind in df.dtypes if kind in ("bigint", "int")})
+
+
 def shape(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(cell(v) for v in row) for row in frame.astype(object).itertuples(index=False))
@@ -40,7 +45,7 @@ def shape(frame: pd.DataFrame) -> list[tuple]:
 
 def kind(dtype) -> str:
     text = str(dtype)
-    return {"object": "str", "string": "str"}.get(text, text)
+    return {"object": "str", "string": "str", "Int64": "int64", "Int32": "int32"}.get(text, text)
 
 
 def compare(got: pd.DataFrame, want: pd.DataFrame) -> str:
@@ -68,7 +73,7 @@ def main(parts: list[str]) -> int:
             continue
         start = time.time()
         try:
-            got = run(spark, folder).toPandas()
+            got = pandas_of(run(spark, folder))
             took = time.time() - start
             if name not in ORACLE:
                 verdict = f"rows only ({len(got)})"

@@ -40,3 +40,11 @@ REASONS = {
     "made_logged": "Log-transformed '{}'",
     "made_encoded": "Label encoded '{}'",
 }
+
+#: What to do about a finding, by its category.
+ACTIONS = {
+    "diagnostic": "Check whether '%s' drives '%s' or both follow something else.",
+    "anomaly": "Review the rows of '%s' beyond the fences before averaging it.",
+    "descriptive": "Fill '%s' or leave its empty rows out.",
+    "predictive": "Plan for '%s' going on %s.",
+}

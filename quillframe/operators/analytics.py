@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.columns import as_double, comparable, complete, known, numeric_columns, percent, plain, sum_or_zero
+from quillframe.functions.messages import ACTIONS
 from quillframe.functions.scalars import month_of, months_apart
 from quillframe.operators import blocks, profile, stats, timeseries
 from quillframe.operators.prep import cast_column, predicate, sort_keys
@@ -21,6 +22,7 @@ SEGMENT_METRICS = 3
 TOP_GROUPS = 20
 QUERY_ROWS = 500
 UNKNOWN_STAGE = 999
+FALSE_DISCOVERIES = 0.05
 
 AGGREGATES = ("sum", "mean", "count", "min", "max", "median", "std", "nunique")
 
@@ -220,12 +222,18 @@ def query_spec(df: DataFrame, spec: dict[str, Any] | str) -> DataFrame:
     return out.limit(min(spec.get("limit", QUERY_ROWS), QUERY_ROWS))
 
 
-def insight_findings(df: DataFrame, columns: Sequence[str] | None = None, date_col: str | None = None) -> DataFrame:
-    """Findings from the statistics: correlations, outliers, missing values and trends, ranked."""
+def insight_findings(
+    df: DataFrame, columns: Sequence[str] | None = None, date_col: str | None = None, false_discoveries: float = FALSE_DISCOVERIES
+) -> DataFrame:
+    """Findings from the statistics: correlations, outliers, missing values and trends, ranked, with what to do about them.
+
+    Of the trends of all columns, those are reported of which at most ``false_discoveries`` are expected to be chance.
+    """
     cols = known(df, columns) if columns else numeric_columns(df)
 
-    def finding(source, place, category, title, description, data, size, related):
+    def finding(source, place, category, title, description, data, size, related, about=("column",)):
         return source.select(
+            F.array(F.format_string(ACTIONS[category], *about)).alias("action_items"),
             F.lit(place).alias("_place"), size.alias("_size"), F.lit(category).alias("category"), title.alias("title"),
             description.alias("description"), data.alias("supporting_data"), related.alias("related_columns"))
 
@@ -233,7 +241,7 @@ def insight_findings(df: DataFrame, columns: Sequence[str] | None = None, date_c
     pairs = stats.top_correlations(df, cols)
     parts = [finding(
         pairs, 1, "diagnostic", F.concat("column_a", F.lit(" and "), "column_b", F.lit(" move together")), F.col("text"),
-        F.create_map(F.lit("corr"), text("corr", 4)), F.abs("corr"), F.array("column_a", "column_b"))]
+        F.create_map(F.lit("corr"), text("corr", 4)), F.abs("corr"), F.array("column_a", "column_b"), ("column_a", "column_b"))]
     out = stats.outlier_summary(df, cols).filter("outlier_count > 0")
     parts.append(finding(
         out, 2, "anomaly", F.concat(F.lit("Outliers in "), "column"),
@@ -248,12 +256,13 @@ def insight_findings(df: DataFrame, columns: Sequence[str] | None = None, date_c
         F.col("missing_pct"), F.array("column")))
     if date_col:
         long = blocks.long_form(df.withColumn("_time", cast_column(df, date_col, "datetime")), cols, keep=["_time"])
-        trends = timeseries.trend(long, "_time", "value", by=["column"]).filter("significant")
+        trends = timeseries.trend(long, "_time", "value", by=["column"])
+        trends = stats.false_discovery(trends).filter(F.col("q_value") <= false_discoveries)
         parts.append(finding(
             trends, 4, "predictive", F.concat(F.initcap("direction"), F.lit(" trend in "), "column"),
             F.format_string("'%s' shows a %s %s trend", "column", "strength", "direction"),
-            F.create_map(F.lit("slope"), text("slope", 6), F.lit("r_squared"), text("r_squared", 4)),
-            F.col("r_squared"), F.array("column")))
+            F.create_map(F.lit("slope"), text("slope", 6), F.lit("r_squared"), text("r_squared", 4), F.lit("q_value"), text("q_value", 6)),
+            F.col("r_squared"), F.array("column"), ("column", "direction")))
     everything = parts[0]
     for p in parts[1:]:
         everything = everything.unionByName(p)
@@ -261,4 +270,4 @@ def insight_findings(df: DataFrame, columns: Sequence[str] | None = None, date_c
     rank = F.row_number().over(Window.orderBy("_place", F.col("_size").desc(), "title"))
     return everything.select(
         "category", "title", "description", "supporting_data", F.lit(0.8).alias("confidence"), rank.alias("priority"),
-        F.array().cast("array<string>").alias("action_items"), "related_columns")
+        "action_items", "related_columns")

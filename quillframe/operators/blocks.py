@@ -40,6 +40,33 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFra
     return big.join(write_out(small, "small"), list(keys))
 
 
+SIEVE_BITS = 1 << 25  # 4 MB in all
+
+
+def sieved(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """``df`` with ``flag``: false where its ``key`` is surely not among those of ``keys`` (key).
+
+    The bitmaps behind it have ``SIEVE_BITS`` bits, whatever the size of the tables, so they are broadcast. Where keys are many, more
+    rows pass for which only a comparison can tell.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)) + 1
+    bits = keys.groupBy(F.bitmap_bucket_number(place).alias("_chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = df.withColumn("_chunk", F.bitmap_bucket_number(place)).join(F.broadcast(write_out(bits, "sieve")), "_chunk", "left")
+    return met.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_chunk", "_bits")
+
+
+def suspects(df: DataFrame, keys: Sequence[str], flag: str = "_suspect") -> DataFrame:
+    """``df`` with ``flag``: whether another row may have the same ``keys``. False is certain.
+
+    Only 64-bit hashes are shuffled, and equal ones fold before; rows whose hash is single are told apart where they are read.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*keys))
+    repeated = hashed.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h")
+    return sieved(hashed, write_out(repeated, "repeated-hashes"), "_h", flag).drop("_h")
+
+
 # --- global order ---------------------------------------------------------------------
 
 

@@ -37,11 +37,15 @@ def deduplicate(df: DataFrame, subset: Sequence[str] | None = None, order_by: Se
     """One row per distinct row, or the first row by ``order_by`` per ``subset``.
 
     The rank filter is applied in every map task first, so a hot key reaches its reducer as
-    one candidate per task.
+    one candidate per task. Of whole rows, those whose hash is single stay where they are read, and the others are compared.
     """
     if not subset:
         keys = {f"_k{i}": comparable(df, c) for i, c in enumerate(df.columns)}
-        return df.withColumns(keys).dropDuplicates(list(keys)).drop(*keys) if _has_wide(df) else df.dropDuplicates()
+        if not keys:
+            return df.dropDuplicates()
+        told = blocks.suspects(df.withColumns(keys), list(keys))
+        single, rest = told.filter("NOT _suspect").select(*df.columns), told.filter("_suspect")
+        return single.unionByName(rest.dropDuplicates(list(keys) if _has_wide(df) else df.columns).select(*df.columns))
     order = list(order_by or [c for c in df.columns if c not in subset])
     return blocks.top_per(df, list(subset), [F.col(o) if isinstance(o, str) else o for o in order], 1, "_rank").drop("_rank")
 

@@ -225,12 +225,13 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows equal an earlier row. Long strings shuffle as digests."""
+    """One row: how many rows equal an earlier row. Only rows whose hash is not single are compared; long strings travel as digests."""
+    if not df.columns:
+        return df.agg(F.count("*").alias("rows")).withColumn("duplicate_rows", F.greatest(F.col("rows") - 1, F.lit(0)))
     keys = df.select(*[comparable(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)])
-    counts = keys.groupBy(*keys.columns).agg(F.count("*").alias("c"))
-    return counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicate_rows"))
+    counts = blocks.suspects(keys, keys.columns).filter("_suspect").groupBy(*keys.columns).agg(F.count("*").alias("c"))
+    again = counts.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicate_rows"))
+    return df.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(again))  # one row each
 
 
 # The lexical kinds a raw string column may mix.

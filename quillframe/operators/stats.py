@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.columns import as_double, known, numeric_columns, percent
@@ -147,6 +147,19 @@ def outlier_summary(df: DataFrame, columns: Sequence[str] | None = None, min_row
         "column", "outlier_count", "outlier_pct", "lower_fence", "upper_fence", "extreme_low", "extreme_high")
 
 
+def false_discovery(df: DataFrame, p: str = "p_value", out: str = "q_value") -> DataFrame:
+    """``df``, one row per test, with the smallest false-discovery rate at which each is still a finding (Benjamini-Hochberg).
+
+    Rows without a p-value are no tests and get null.
+    """
+    tested = F.col(p).isNotNull()
+    rising = Window.partitionBy(tested).orderBy(p)  # as many rows as there are columns or pairs that were tested
+    rate = F.col(p) * F.count("*").over(Window.partitionBy(tested)) / F.row_number().over(rising)
+    from_above = Window.partitionBy(tested).orderBy(F.desc(p))  # equal ones included
+    ranked = df.withColumn("_rate", F.when(tested, rate))
+    return ranked.withColumn(out, F.when(tested, F.least(F.min("_rate").over(from_above), F.lit(1.0)))).drop("_rate")
+
+
 def anomalies_zscore(df: DataFrame, column: str, threshold: float = Z_THRESHOLD) -> DataFrame:
     """The rows whose population z-score exceeds ``threshold``, with ``z`` added."""
     x = as_double(df, column)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.operators import blocks, prep, stats, timeseries
+from quillframe.operators import blocks, prep, profile, stats, summaries, timeseries
 
 
 @pytest.fixture(scope="module")
@@ -230,3 +230,78 @@ def test_decompose_equals_pandas(spark, period):
 def test_decompose_needs_two_periods(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(13)], "i int, v double").withColumn("t", F.expr("date_add(date '2000-01-01', i)"))
     assert timeseries.decompose(df, "t", "v").count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 25])
+def test_only_rows_with_shared_hashes_are_suspects(spark, monkeypatch, bits):
+    monkeypatch.setattr(blocks, "SIEVE_BITS", bits)
+    rows = [(i % 900, None if i % 7 == 0 else f"s{i % 900}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    told = blocks.suspects(df, ["a", "b"])
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    assert {(r["a"], r["b"]) for r in told.filter("NOT _suspect").collect()} <= {k for k, n in counts.items() if n == 1}
+    assert told.filter("NOT _suspect").count() > (0 if bits == 1 << 15 else 700)
+    assert sorted(map(str, prep.deduplicate(df).collect())) == sorted(map(str, df.distinct().collect()))
+    assert tuple(profile.duplicate_rows(df).first()) == (1000, 1000 - len(counts))
+    assert tuple(profile.duplicate_rows(df.limit(0)).first()) == (0, 0)
+
+
+def test_rows_without_copies_are_not_shuffled(spark, capsys):
+    profile.duplicate_rows(spark.range(500).selectExpr("id", "concat('text ', id) as s")).explain()
+    plan = capsys.readouterr().out
+    assert "_suspect" not in plan.split("Exchange hashpartitioning(k0")[0][-400:]  # what passes the exchange has been filtered
+
+
+def test_summaries_take_one_scan(spark, tmp_path, capsys):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({f"c{i}": rng.normal(i, 1 + i, 500) for i in range(60)})
+    pdf.loc[::3, "c1"] = np.nan
+    pdf["c2"], pdf["c3"] = 0.1, None
+    pdf["c3"] = pdf["c3"].astype(float)
+    spark.createDataFrame(pdf).repartition(6).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    scans = []
+    for columns in (df.columns[:2], df.columns):
+        for frame in (summaries.summaries(df, columns), summaries.co_moments(df, columns)):
+            capsys.readouterr()
+            frame.explain()
+            scans.append(capsys.readouterr().out.count("FileScan"))
+    assert scans == [1, 1, 1, 1]
+    got = {r["column"]: r for r in summaries.summaries(df, df.columns).collect()}
+    for c in df.columns:
+        x = pdf[c].dropna()
+        r = got[c]
+        assert (r["rows"], r["count"], r["negatives"], r["zeros"]) == (500, len(x), (x < 0).sum(), (x == 0).sum())
+        if not len(x):
+            assert (r["mean"], r["std"], r["min"], r["skewness"], r["total"]) == (None,) * 5
+            continue
+        np.testing.assert_allclose([r["mean"], r["std"], r["min"], r["max"], r["total"]], [x.mean(), x.std() if c != "c2" else 0.0, x.min(), x.max(), x.sum()], rtol=1e-10, atol=1e-12)
+        if c == "c2":
+            assert r["skewness"] is None and r["kurtosis"] is None
+        else:
+            d = x - x.mean()
+            np.testing.assert_allclose(
+                [r["skewness"], r["kurtosis"]], [(d**3).mean() / (d**2).mean()**1.5, (d**4).mean() / (d**2).mean()**2 - 3], rtol=1e-8, atol=1e-10)
+    corr = {(r["column_a"], r["column_b"]): r["corr"] for r in stats.correlation_matrix(df).collect()}
+    want = pdf.corr()
+    for (a, b), r in corr.items():
+        assert r is None if {a, b} & {"c2", "c3"} else abs(r - want.loc[a, b]) < 1e-10
+
+
+def test_summaries_far_from_zero(spark):
+    x = 1e9 + np.random.default_rng(1).normal(0, 1e-3, 4000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": -x})).repartition(7)
+    r = summaries.summaries(df, ["x"]).first()
+    assert abs(r["std"] / x.std(ddof=1) - 1) < 1e-6
+    assert abs({(q["column_a"], q["column_b"]): q["corr"] for q in stats.correlation_matrix(df).collect()}["x", "y"] + 1) < 1e-9
+
+
+def test_false_discovery_rates(spark):
+    p = [0.001, 0.03, 0.02, None, 0.5, 0.02, 0.9]
+    got = {r["i"]: r["q_value"] for r in stats.false_discovery(spark.createDataFrame(list(enumerate(p)), "i int, p_value double")).collect()}
+    known = sorted(x for x in p if x is not None)
+    for i, x in enumerate(p):
+        want = None if x is None else min(min(y * len(known) / (known.index(y) + known.count(y)) for y in known if y >= x), 1.0)
+        assert got[i] is None if want is None else abs(got[i] - want) < 1e-12

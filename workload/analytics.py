@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillframe.operators import analytics, timeseries
 from quillframe.plans.analyze import analyze
 from workload.base import (
-    LINE_NUMBERS, SQL_GAPS, all_rounded, day, gaps, query, rounded, union_all,
+    LINE_NUMBERS, SQL_GAPS, all_rounded, day, gaps, query, rounded, sql_p_value, union_all,
 )
 
 GROUP_KEYS = ["l_returnflag", "l_linestatus"]
@@ -253,21 +253,64 @@ MISSING_SQL = union_all(
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
 
 
-@query(f"""
-with p as (select * from ({PAIR_SQL}) order by abs(r) desc, a, b limit 5),
-f as (
+FINDINGS = """
   select 1 as place, abs(r) as size, 'diagnostic' as category, x || ' and ' || y || ' move together' as title,
     '''' || x || ''' ↔ ''' || y || ''': ' || case when r > 0 then 'positive' else 'negative' end || ' (' || printf('%.2f', r) || ')' as description,
-    x || ',' || y as related from p
+    x || ',' || y as related, '{"corr":"' || printf('%.4f', r) || '"}' as supporting,
+    'Check whether ''' || x || ''' drives ''' || y || ''' or both follow something else.' as action from p
   union all
-  select 2, k / n, 'anomaly', 'Outliers in ' || c, k || ' values (' || printf('%.2f', round_even(k / n * 100, 2)) || '%) lie outside the fences of ''' || c || '''', c from ({OUTLIER_SQL}) where k > 0
+  select 2, k / n, 'anomaly', 'Outliers in ' || c, k || ' values (' || printf('%.2f', round_even(k / n * 100, 2)) || '%) lie outside the fences of ''' || c || '''', c,
+    '{"outlier_count":"' || k || '","outlier_pct":"' || printf('%.2f', round_even(k / n * 100, 2)) || '"}',
+    'Review the rows of ''' || c || ''' beyond the fences before averaging it.' from o where k > 0
   union all
-  select 3, k / n, 'descriptive', 'Missing values in ' || c, '''' || c || ''' has ' || printf('%.2f', round_even(k / n * 100, 2)) || '% missing values', c from ({MISSING_SQL}) where k > 0)
-select category, title, description, related, 0.8::double as confidence,
-  cast(row_number() over (order by place, size desc, title) as int) as priority from f""")
+  select 3, k / n, 'descriptive', 'Missing values in ' || c, '''' || c || ''' has ' || printf('%.2f', round_even(k / n * 100, 2)) || '% missing values', c,
+    '{"missing_count":"' || k || '","missing_pct":"' || printf('%.2f', round_even(k / n * 100, 2)) || '"}',
+    'Fill ''' || c || ''' or leave its empty rows out.' from m where k > 0"""
+RANKED_FINDINGS = """
+select category, title, description, related, supporting, action, 0.8::double as confidence,
+  cast(row_number() over (order by place, size desc, title) as int) as priority from f"""
+
+
+def _findings(out):
+    return out.select(
+        "category", "title", "description", F.array_join("related_columns", ",").alias("related"), F.to_json("supporting_data").alias("supporting"),
+        F.array_join("action_items", "|").alias("action"), "confidence", "priority")
+
+
+@query(f"with p as (select * from ({PAIR_SQL}) order by abs(r) desc, a, b limit 5), o as ({OUTLIER_SQL}), m as ({MISSING_SQL}), f as ({FINDINGS}){RANKED_FINDINGS}")
 def insight_findings(t):
-    out = analytics.insight_findings(gaps(t), LINE_NUMBERS)
-    return out.select("category", "title", "description", F.array_join("related_columns", ",").alias("related"), "confidence", "priority")
+    return _findings(analytics.insight_findings(gaps(t), LINE_NUMBERS))
+
+
+#: The line items with a column that grows with the shipping date, beside those that do not.
+DATED = ["l_quantity", "l_discount", "l_tax", "l_age"]
+SQL_DATED = f"(select l_shipdate, l_quantity, l_discount, l_tax, date_diff('day', date '1992-01-01', cast(l_shipdate as date)) + l_quantity as l_age from {SQL_GAPS})"
+DATED_PAIRS = union_all(
+    f"select {i} a, {j} b, '{x}' x, '{y}' y, corr({x}, {y}) r from {SQL_DATED}" for i, x in enumerate(DATED) for j, y in enumerate(DATED) if i < j)
+DATED_OUTLIERS = union_all(
+    f"""select '{c}' c, count(*) filter ({c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) k, count({c}) n
+from {SQL_DATED}, (select quantile_cont({c}, 0.25) q1, quantile_cont({c}, 0.75) q3 from {SQL_DATED})""" for c in DATED)
+DATED_MISSING = union_all(f"select '{c}' c, count(*) - count({c}) k, count(*) n from {SQL_DATED}" for c in ["l_shipdate", *DATED])
+DATED_TRENDS = union_all(
+    f"""select '{c}' c, regr_slope(v, i) s, corr(v, i) r, count(*) n
+from (select {c} v, row_number() over (order by l_shipdate, {c}) - 1 i from {SQL_DATED} where {c} is not null)""" for c in DATED)
+
+
+@query(f"""
+with p as (select * from ({DATED_PAIRS}) order by abs(r) desc, a, b limit 5), o as ({DATED_OUTLIERS}), m as ({DATED_MISSING}),
+t as (select *, round_even({sql_p_value("r", "n")}, 6) as pv, round_even(r * r, 4) as r2, case when s > 0 then 'upward' else 'downward' end as way from ({DATED_TRENDS})),
+ranked as (select *, pv * count(*) over () / row_number() over (order by pv) as rate from t),
+rated as (select *, least(min(rate) over (order by pv desc), 1.0) as q from ranked),
+f as ({FINDINGS}
+  union all
+  select 4, r2, 'predictive', upper(way[1]) || way[2:] || ' trend in ' || c,
+    '''' || c || ''' shows a ' || case when abs(r) > 0.7 then 'strong' when abs(r) > 0.4 then 'moderate' else 'weak' end || ' ' || way || ' trend', c,
+    '{{"slope":"' || printf('%.6f', round_even(s, 6)) || '","r_squared":"' || printf('%.4f', r2) || '","q_value":"' || printf('%.6f', q) || '"}}',
+    'Plan for ''' || c || ''' going on ' || way || '.' from rated where q <= 0.05){RANKED_FINDINGS}""")
+def insight_trends(t):
+    age = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) + F.col("l_quantity")
+    dated = gaps(t).select("l_shipdate", "l_quantity", "l_discount", "l_tax", age.alias("l_age"))
+    return _findings(analytics.insight_findings(dated, DATED, "l_shipdate"))
 
 
 # --- the same analyses by name --------------------------------------------------------
