@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import ID, ROW, kept_splits, let, lower_ascii, packed, sieved, word_count, words
+from quillframe.operators import blocks
 from quillframe.session import write_out
 
 LEAST_DOCS = 10  # of a host; a line in more of them is removed, however large the host is
@@ -72,8 +73,10 @@ def _with_clean(docs: DataFrame, least_docs: int) -> DataFrame:
     docs = kept_splits(docs, "quality-rows")
     rows = docs.select(packed(docs), _host().alias("host"), F.col("text"), F.monotonically_increasing_id().alias(ID))
     hashed = _hashed(rows)
-    common = write_out(common_lines(hashed, least_docs), "common-lines")
-    places = hashed.select(ID, "host", F.inline("lines")).join(common, ["host", "h"])
+    mark = F.xxhash64("host", "h").alias("mark")
+    common = write_out(common_lines(hashed, least_docs).select("host", "h", mark), "common-lines")
+    lines = hashed.select(ID, "host", F.inline("lines")).select("*", mark)
+    places = blocks.sieved(lines, common, "mark", "_maybe").filter("_maybe").join(common.drop("mark"), ["host", "h"])
     places = write_out(places.groupBy(ID).agg(F.collect_list("at").alias("places")), "common-places")  # no more than the text has lines
     told = sieved(rows.select(ROW, ID, "text"), places, "_maybe")
     met = told.filter("_maybe").join(places, ID, "left")
