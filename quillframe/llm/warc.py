@@ -195,6 +195,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     responses = records.filter(F.col("record_type") == "response").select(
         F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("whole")).groupBy("refers_to").agg(F.first("whole").alias("whole"))
     kind = pages.schema["page_id"].dataType
-    return records.join(responses, "refers_to", "left").select(
+    again = F.col("record_type") == "revisit"
+    told = records.filter(~again).withColumn("whole", F.lit(None).cast("long")).unionByName(records.filter(again).join(responses, "refers_to", "left"))
+    return told.select(
         F.col("page_id").cast(kind), F.coalesce("payload_bytes", "whole").alias("payload_bytes"), "payload_digest", "record_type",
         F.col("refers_to").cast(kind))
