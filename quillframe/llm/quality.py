@@ -76,10 +76,10 @@ def _with_clean(docs: DataFrame, least_docs: int) -> DataFrame:
     mark = F.xxhash64("host", "h").alias("mark")
     common = write_out(common_lines(hashed, least_docs).select("host", "h", mark), "common-lines")
     lines = hashed.select(ID, "host", F.inline("lines")).select("*", mark)
-    places = blocks.sieved(lines, common, "mark", "_maybe").filter("_maybe").join(common.drop("mark"), ["host", "h"])
+    places = blocks.sieved(lines, common, "mark", "_maybe").filter("_maybe").join(common.drop("mark").hint("merge"), ["host", "h"])
     places = write_out(places.groupBy(ID).agg(F.collect_list("at").alias("places")), "common-places")  # no more than the text has lines
     told = sieved(rows.select(ROW, ID, "text"), places, "_maybe")
-    met = told.filter("_maybe").join(places, ID, "left")
+    met = told.filter("_maybe").join(places.hint("merge"), ID, "left")  # places grow with the texts: no broadcast on small tables either
 
     def rest(lines):
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
