@@ -1,5 +1,7 @@
 """Feature columns."""
 
+from pyspark.sql import functions as F
+
 from quillframe.operators import features
 from workload.base import day, query, rounded
 
@@ -21,7 +23,12 @@ def zscore_scale(t):
 
 @query("select event_id, value, round(ln(1 + value), 6) as value_log from events where (select min(value) from events) > 0")
 def log1p_if_skewed(t):
-    return rounded(features.log1p_if_skewed(t.events.select("event_id", "value"), ["value"]), value_log=6)
+    """Where a value is not positive there are no rows, as in the SQL; where the operator finds no skew, rows without a log."""
+    out = features.log1p_if_skewed(t.events.select("event_id", "value"), ["value"])
+    if "value_log" not in out.columns:
+        positive = t.events.agg(F.min("value").alias("least")).filter("least > 0").select()  # one row or none
+        out = out.withColumn("value_log", F.lit(None).cast("double")).crossJoin(F.broadcast(positive))
+    return rounded(out, value_log=6)
 
 
 @query("""
