@@ -1,5 +1,7 @@
 """Registered queries on small tables of their own."""
 
+import glob
+
 import pytest
 
 from workload import QUERIES
@@ -16,3 +18,18 @@ def test_log_query_of_columns_that_get_no_log(spark, tmp_path, values, want):
     got = QUERIES["log1p_if_skewed"](spark, str(tmp_path))
     assert got.dtypes == [("event_id", "bigint"), ("value", "double"), ("value_log", "double")]
     assert [r["value_log"] for r in got.orderBy("event_id").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["read_api_dump_whole"])
+def test_files_do_not_grow_with_the_suppliers(spark, tmp_path, monkeypatch, name):
+    """300 suppliers, a null one and repeated rows."""
+    rows = [(i // 2, 1, float(i % 7), i % 300) for i in range(600)] + [(None, 2, None, None)] * 3
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr("workload.io.scratch_path", lambda spark, label: str(tmp_path / label))
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(glob.glob(str(tmp_path / "*" / "part-*.txt"))) <= 20
+    if name == "read_api_dump_whole":
+        assert {(r["l_suppkey"], r["items"]) for r in got} == {(None, 3), *((i, 2) for i in range(300))} and len(got) == 301
+    else:
+        key = lambda r: str((r[0] is None, *r))
+        assert sorted((tuple(r[c] for c in ("l_orderkey", "l_linenumber", "l_quantity")) for r in got), key=key) == sorted((r[:3] for r in rows), key=key)
