@@ -126,8 +126,20 @@ def _one_per_line(spark: SparkSession, path) -> bool:
     return False
 
 
+def _document_schema(spark: SparkSession, path) -> T.StructType | None:
+    """The columns of files of one document each; None where a file is not plain UTF-8 JSON.
+
+    Spark's own inference opens such files one by one to plan its tasks. Read as text they share tasks; no separator that JSON may hold
+    cuts them.
+    """
+    found = spark.read.json(path, lineSep="\0").schema
+    return None if spark.conf.get("spark.sql.columnNameOfCorruptRecord") in found.names else found
+
+
 def _documents(spark: SparkSession, path, schema, lines: bool | None) -> tuple[DataFrame, bool]:
     lines = _one_per_line(spark, path) if lines is None else lines
+    if schema is None and not lines:
+        schema = _document_schema(spark, path)
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path, multiLine=not lines), lines
 

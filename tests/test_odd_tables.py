@@ -4,6 +4,7 @@ import glob
 
 import pytest
 
+from quillframe.sources import readers
 from workload import QUERIES
 
 
@@ -20,7 +21,7 @@ def test_log_query_of_columns_that_get_no_log(spark, tmp_path, values, want):
     assert [r["value_log"] for r in got.orderBy("event_id").collect()] == want
 
 
-@pytest.mark.parametrize("name", ["read_api_dump_whole"])
+@pytest.mark.parametrize("name", ["read_json_first_list", "read_api_dump_whole"])
 def test_files_do_not_grow_with_the_suppliers(spark, tmp_path, monkeypatch, name):
     """300 suppliers, a null one and repeated rows."""
     rows = [(i // 2, 1, float(i % 7), i % 300) for i in range(600)] + [(None, 2, None, None)] * 3
@@ -33,3 +34,21 @@ def test_files_do_not_grow_with_the_suppliers(spark, tmp_path, monkeypatch, name
     else:
         key = lambda r: str((r[0] is None, *r))
         assert sorted((tuple(r[c] for c in ("l_orderkey", "l_linenumber", "l_quantity")) for r in got), key=key) == sorted((r[:3] for r in rows), key=key)
+
+
+@pytest.mark.parametrize("files", [
+    ['{"a": 1,\n"b": [1, 2.5]}', '{"a": 2.5, "c": {"x": null}}'], ['[{"a": 1},\n{"b": "x"}]', "[]"], ["", '{"a": 1}\r\n'],
+    [b'\xef\xbb\xbf{"a": 1}'], ['{"a": 1} {"b": 2}'],
+])
+def test_columns_of_documents_are_those_that_spark_infers(spark, tmp_path, files):
+    for i, text in enumerate(files):
+        (tmp_path / f"{i}.json").write_bytes(text if isinstance(text, bytes) else text.encode())
+    assert readers._document_schema(spark, str(tmp_path)) == spark.read.json(str(tmp_path), multiLine=True).schema
+
+
+def test_documents_that_are_not_utf8_or_broken_are_left_to_spark(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes('{"a": "é"}'.encode("utf-16"))
+    assert readers._document_schema(spark, str(tmp_path)) is None
+    assert [tuple(r) for r in readers.read_json(spark, str(tmp_path), lines=False).collect()] == [("é",)]
+    (tmp_path / "b.json").write_text('{"a": ')
+    assert "_corrupt_record" in readers.read_json(spark, str(tmp_path), lines=False).columns
