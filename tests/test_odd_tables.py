@@ -21,7 +21,7 @@ def test_log_query_of_columns_that_get_no_log(spark, tmp_path, values, want):
     assert [r["value_log"] for r in got.orderBy("event_id").collect()] == want
 
 
-@pytest.mark.parametrize("name", ["read_json_first_list", "read_api_dump_whole"])
+@pytest.mark.parametrize("name", ["read_json_list", "read_json_first_list", "read_api_dump_whole"])
 def test_files_do_not_grow_with_the_suppliers(spark, tmp_path, monkeypatch, name):
     """300 suppliers, a null one and repeated rows."""
     rows = [(i // 2, 1, float(i % 7), i % 300) for i in range(600)] + [(None, 2, None, None)] * 3

@@ -69,9 +69,8 @@ LISTED_SQL = "select l_orderkey, l_linenumber::bigint as l_linenumber, l_quantit
 
 @query(LISTED_SQL)
 def read_json_list(t):
-    """A file per supplier, each a list."""
-    rows = items(t, "l_suppkey", *LISTED).select(F.to_json("items").alias("value"))
-    return readers.read_json(t.spark, documents(rows, "list"))
+    """A file per batch of line items, each a list."""
+    return readers.read_json(t.spark, documents(batches(t, *LISTED).select(F.to_json("items").alias("value")), "list"))
 
 
 @query(LISTED_SQL)
