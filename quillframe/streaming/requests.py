@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,7 @@ LIMITS = {"upload": 10, "query": 60, "insights": 20, "chart": 100, "report": 5,
 WINDOW_SECONDS = 3600
 
 LATENCY_QUANTILES = (0.5, 0.9, 0.99)
+BUCKETS = 4096  # of callers that share a state in a stream
 
 
 def as_timestamp(df: DataFrame, time: str) -> DataFrame:
@@ -69,49 +72,82 @@ def rate_limit(
     return scanned.select(*names, hits).withColumn("allowed", F.col("hits") <= limit)
 
 
+def _rows_in(frame: pd.DataFrame) -> bytes:
+    """A frame as an Arrow stream, the form in which rows wait in a state."""
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows_of(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(rows).read_pandas()
+
+
+def decided(due: pd.DataFrame, sessions: pd.DataFrame | None, by: list[str], order: list[str], window: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """``due`` (by, at, order) in order with ``hits``, and the last time and count (by, at, hits) of every caller.
+
+    ``sessions`` is that second table as the earlier requests left it.
+    """
+    due = due.sort_values(["at", *order], kind="stable", na_position="first", ignore_index=True)
+    rows = due[[*by, "at"]].assign(hits=1)
+    carried = 0 if sessions is None else len(sessions)
+    if carried:  # an earlier session is a request that counts as many times
+        rows = pd.concat([sessions, rows], ignore_index=True)
+    rows = rows.sort_values([*by, "at"], kind="stable")
+    at, weight = rows["at"].to_numpy(), rows["hits"].to_numpy()
+    turns = np.zeros(len(rows) - 1, bool)
+    for b in by:
+        keys = rows[b].to_numpy()
+        turns |= keys[1:] != keys[:-1]
+    fresh = np.r_[True, turns | (np.diff(at) >= window)]
+    before = np.cumsum(weight) - weight
+    rows["hits"] = before + weight - before[fresh][np.cumsum(fresh) - 1]
+    new = rows.index >= carried
+    counted = due.iloc[rows.index[new] - carried].assign(hits=rows["hits"].to_numpy()[new])
+    return counted, rows[np.r_[turns, True]]
+
+
 class _Decisions(StatefulProcessor):
-    """Requests wait until the watermark has passed them, then are counted in order; a session is a last time and a count.
+    """Requests wait until the watermark has passed them, then those of all callers of a bucket are counted in order at once.
 
-    State per key: the open session, and what waits, which the watermark's delay bounds.
+    State per bucket: the sessions that another request may still continue, and what waits, which the watermark's delay bounds. A timer
+    stands at or before the earliest request that waits.
     """
 
-    def __init__(self, names: list[str], time: str, order: list[str], by: list[str], waiting: T.StructType, window_seconds: int):
-        self.names, self.time, self.order, self.by, self.window = names, time, order, by, window_seconds * 1_000_000
-        self.schema = waiting
+    def __init__(self, by: list[str], order: list[str], window_seconds: int):
+        self.by, self.order, self.window = by, order, window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "last long, hits long")
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.sessions = handle.getValueState("sessions", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def _wait(self, frame: pd.DataFrame) -> None:
+        self.waiting.appendValue((_rows_in(frame),))
+        self.handle.registerTimer(-(-int(frame["at"].min()) // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
-        new = []
         for frame in rows:
-            at = frame[self.time].astype("datetime64[us]").astype("int64")
-            new += list(zip(at.tolist(), *(frame[c].tolist() for c in self.order)))
-        self.waiting.appendList(new)
-        for at in {-(-row[0] // 1000) for row in new}:  # a timer per millisecond that holds a request
-            self.handle.registerTimer(at)
+            self._wait(frame[[*self.by, "at", *self.order]])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in rows if r[0] <= passed]
-        if not due:
+        found = [_rows_of(w[0]) for w in self.waiting.get()] if self.waiting.exists() else []
+        if not found:
+            return
+        rows = pd.concat(found, ignore_index=True)
+        due = rows[rows["at"] <= passed]
+        if due.empty:
             return
-        left = [r for r in rows if r[0] > passed]
-        self.waiting.put(left) if left else self.waiting.clear()
-        last, hits = tuple(self.session.get()) if self.session.exists() else (None, 0)
-        counts = []
-        for at, *_ in due:
-            hits = 1 if last is None or at - last >= self.window else hits + 1
-            last = at
-            counts.append(hits)
-        self.session.update((last, hits))
-        columns = {b: [k] * len(due) for b, k in zip(self.by, key)}
-        columns |= {self.time: pd.to_datetime([r[0] for r in due], unit="us")} | {c: [r[i + 1] for r in due] for i, c in enumerate(self.order)}
-        yield pd.DataFrame(columns | {"hits": counts})[[*self.names, "hits"]]
+        self.waiting.clear()
+        if len(due) < len(rows):
+            self._wait(rows[rows["at"] > passed])
+        sessions = _rows_of(self.sessions.get()[0]) if self.sessions.exists() else None
+        counted, sessions = decided(due, sessions, self.by, self.order, self.window)
+        self.sessions.update((_rows_in(sessions[sessions["at"] > passed - self.window]),))
+        yield counted[[*self.by, "at", *self.order, "hits"]]
 
     def close(self) -> None:
         pass
@@ -124,19 +160,21 @@ def rate_limit_decisions(
     """``rate_limit`` for a stream: ``hits`` and ``allowed`` of every request, as soon as the watermark has passed it.
 
     Requests that come out of order within the watermark's delay are put in order by (time, ``key``) first, so each gets what the batch
-    operator gives it; those that come later are dropped. All requests of an endpoint and caller pass the state of
-    that key. The state store must be RocksDB (set here).
+    operator gives it; those that come later are dropped. Endpoints and callers are dealt into ``BUCKETS`` by their hash; a bucket's
+    requests pass its state together, in a few calls per batch whatever their number. The state store must be RocksDB (set here).
     """
     log.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    by, order = [endpoint, caller], [k for k in dict.fromkeys(key) if k not in (endpoint, caller, time)]
-    names = [*by, time, *order]
-    rows = as_timestamp(complete(log.select(*names), [*by, time]), time).withWatermark(time, watermark)
-    waiting = T.StructType([T.StructField("at", T.LongType()), *[T.StructField(c, rows.schema[c].dataType) for c in order]])
-    out = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in names], T.StructField("hits", T.LongType())])
-    counted = rows.groupBy(*by).transformWithStateInPandas(
-        _Decisions(names, time, order, by, waiting, window_seconds), out, "Append", "EventTime")
-    return counted.withColumn("allowed", F.col("hits") <= limit_of(F.col(endpoint), limits))
+    names = [endpoint, caller, *[k for k in dict.fromkeys(key) if k not in (endpoint, caller, time)]]
+    by, order = ["k0", "k1"], [f"k{i}" for i in range(2, len(names))]
+    rows = as_timestamp(complete(log.select(*names, time), [endpoint, caller, time]), time).withWatermark(time, watermark)
+    bucket = F.pmod(F.xxhash64(endpoint, caller), F.lit(BUCKETS)).alias("bucket")
+    rows = rows.select(bucket, *[F.col(c).alias(k) for k, c in zip([*by, *order], names)], F.unix_micros(time).alias("at"), F.col(time).alias("time"))
+    out = T.StructType([*[rows.schema[c] for c in (*by, "at", *order)], T.StructField("hits", T.LongType())])
+    counted = rows.groupBy("bucket").transformWithStateInPandas(_Decisions(by, order, window_seconds), out, "Append", "EventTime")
+    columns = {**dict(zip(names, [*by, *order])), time: "at"}
+    shown = [F.timestamp_micros("at").alias(c) if c == time else F.col(columns[c]).alias(c) for c in [endpoint, caller, time, *names[2:]]]
+    return counted.select(*shown, "hits").withColumn("allowed", F.col("hits") <= limit_of(F.col(endpoint), limits))
 
 
 def rate_limit_sessions(

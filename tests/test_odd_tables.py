@@ -2,9 +2,11 @@
 
 import glob
 
+import pandas as pd
 import pytest
 
 from quillframe.sources import readers
+from quillframe.streaming import requests
 from workload import QUERIES
 
 
@@ -52,3 +54,30 @@ def test_documents_that_are_not_utf8_or_broken_are_left_to_spark(spark, tmp_path
     assert [tuple(r) for r in readers.read_json(spark, str(tmp_path), lines=False).collect()] == [("é",)]
     (tmp_path / "b.json").write_text('{"a": ')
     assert "_corrupt_record" in readers.read_json(spark, str(tmp_path), lines=False).columns
+
+
+def test_sessions_go_on_and_close(spark):
+    """Two callers of one bucket; the earlier session of one goes on, that of the other has ended. Whole numbers stay exact."""
+    big = 2**53 + 1
+    due = pd.DataFrame({"k0": ["q", "q", "r"], "k1": [big, big, big - 1], "at": [150, 100, 200], "k2": [1, 2, 3]})
+    sessions = pd.DataFrame({"k0": ["q", "r", "s"], "k1": [big, big - 1, 1], "at": [95, 90, 99], "hits": [4, 9, 2]})
+    counted, left = requests.decided(due, sessions, ["k0", "k1"], ["k2"], 100)
+    assert sorted(counted.itertuples(index=False, name=None)) == [("q", big, 100, 2, 5), ("q", big, 150, 1, 6), ("r", big - 1, 200, 3, 1)]
+    assert sorted(left.itertuples(index=False, name=None)) == [("q", big, 150, 6), ("r", big - 1, 200, 1), ("s", 1, 99, 2)]
+
+
+def test_stream_sets_a_timer_per_batch_not_per_request():
+    class Handle:
+        timers: list = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Waiting:
+        def appendValue(self, value):
+            assert len(requests._rows_of(value[0])) == 500
+
+    state = requests._Decisions(["k0", "k1"], [], 60)
+    state.handle, state.waiting = Handle(), Waiting()
+    frame = pd.DataFrame({"bucket": 1, "k0": "q", "k1": range(500), "at": range(1_500, 501_500, 1_000)})
+    assert list(state.handleInputRows((1,), iter([frame]), None)) == [] and Handle.timers == [2]
