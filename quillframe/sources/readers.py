@@ -106,10 +106,10 @@ def _key_path(key: str) -> str:
 def _first_list_key(spark: SparkSession, path) -> str | None:
     """The first key, in document order, whose value is a list (one key is collected)."""
     raw = spark.read.text(path, wholetext=True).filter(F.trim("value").startswith("{"))
-    keys = raw.select("value", F.posexplode(F.json_object_keys("value")).alias("pos", "key"))
-    value = F.expr("variant_get(try_parse_json(value), '$', 'map<string,variant>')[key]")
-    lists = keys.withColumn("v", value).filter(F.schema_of_variant("v").startswith("ARRAY"))
-    first = lists.orderBy("pos").select("key").first()
+    fields = F.expr("variant_get(try_parse_json(value), '$', 'map<string,variant>')")
+    found = raw.select(F.json_object_keys("value").alias("keys"), F.explode(fields).alias("key", "v"))
+    lists = found.filter(F.expr("try_variant_get(v, '$', 'array<variant>')").isNotNull())
+    first = lists.orderBy(F.array_position("keys", F.col("key"))).select("key").first()
     return first["key"] if first else None
 
 
